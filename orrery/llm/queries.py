@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, quality_rules, url_filters
+from . import mixing, near_duplicates, pii, quality_rules, url_filters
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"quality.{f}").alias(f) for f in fields])
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(_docs(spark, sf_dir), near_duplicates.Join(words=4, num=85, den=100))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_docs(spark, sf_dir).select("doc_id", "source", "text"))
     return mixed.drop("text")
@@ -41,6 +45,7 @@ ORACLES: dict[str, str] = {}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_mix_sources": op4_mix_sources,
     "op5_url_filters": op5_url_filters,
     "op7_pii": op7_pii,
