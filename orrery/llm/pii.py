@@ -106,18 +106,19 @@ def disclosing_terms(texts: DataFrame, rule: Disclosure = Disclosure()) -> tuple
     beside = spans.select(_entity(F.col("s")).alias("entity"), F.reverse(words(left)).alias("before"), right.alias("after"))
     beside = beside.select("entity", F.slice("before", 1, rule.window).alias("before"), F.slice("after", 1, rule.window).alias("after"))
     beside = beside.select("entity", F.xxhash64("before", "after").alias("context"), F.explode(F.array_distinct(F.concat("before", "after"))).alias("term"))
-    pairs = beside.distinct().groupBy("term", "entity").agg(F.count("*").alias("together")).filter(F.col("together") >= rule.support)
-    pairs = settled(pairs, "pii-pairs")
-    terms = bounded(pairs.select("term").distinct())
+    pairs = beside.distinct().groupBy("term", "entity").agg(F.count("*").alias("together"))
+    # The entity that a term stands beside most; terms beside many others as well can't disclose it.
+    pairs = pairs.groupBy("term").agg(F.max("together").alias("together"), F.sum("together").alias("beside"))
+    pairs = settled(pairs.filter((F.col("together") >= rule.support) & (F.col("together") >= rule.share * F.col("beside"))), "pii-pairs")
+    terms = bounded(pairs.select("term"))
     own = texts.select("_row", F.explode(F.array_distinct(words(F.col("_text")))).alias("term"))
     rows = settled(own.join(terms, "term", "left_semi").distinct(), "pii-rows")
     everywhere = rows.groupBy("term").agg(F.count("*").alias("rows"))
     total = texts.count()
-    best = pairs.join(everywhere, "term").groupBy("term").agg(F.max(F.struct("together", "rows")).alias("b"))
-    share = F.least(F.lit(1.0), F.col("b.together") / F.col("b.rows"))
+    share = F.col("together") / F.greatest("rows", "beside", "together")
     # log2 P(entity | term) / P(entity), where the entity's own rate is estimated from the same contexts.
-    bits = F.log2(share * total / F.col("b.together"))
-    found = best.select("term", share.alias("share"), bits.alias("bits")).filter((F.col("share") >= rule.share) & (F.col("bits") >= rule.bits))
+    bits = F.log2(share * total / F.col("together"))
+    found = pairs.join(everywhere, "term").select("term", share.alias("share"), bits.alias("bits")).filter((F.col("share") >= rule.share) & (F.col("bits") >= rule.bits))
     found = settled(found.withColumn("remove", F.col("share") >= rule.remove), "pii-terms")
     return found, rows
 
