@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_duplicates, pii, quality_rules, url_filters
+from . import language_id, media, mixing, near_duplicates, packing, pii, quality_classifier, quality_rules, token_counts, url_filters
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"quality.{f}").alias(f) for f in fields])
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_tokens(_docs(spark, sf_dir))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(_docs(spark, sf_dir), near_duplicates.Join(words=4, num=85, den=100))
 
@@ -37,16 +41,39 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "url", "url_host", "url_entries", "url_rule", "url_action", "url_kept")
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(_docs(spark, sf_dir)).drop("error")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.detect(_docs(spark, sf_dir).select("doc_id", "text")))
 
 
 ORACLES: dict[str, str] = {}
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_classifier.classify(docs, quality_classifier.train(docs, labels))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return language_id.identify(docs, language_id.train(docs))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_token_counts": op2_token_counts,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_mix_sources": op4_mix_sources,
     "op5_url_filters": op5_url_filters,
+    "op6_media_columns": op6_media_columns,
     "op7_pii": op7_pii,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_language_id": op9_language_id,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
