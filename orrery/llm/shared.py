@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 #: The white space that separates words, as a regular expression class body.
 SPACE = r"\x20\x09-\x0D"
 #: A side of a join is broadcast only when a count has shown that it has no more rows than this.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -55,7 +55,7 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str], size: Column, into: str, rows: int, per_bucket: int = 50_000) -> DataFrame:
+def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str], size: Column, into: str, rows: int, per_bucket: int = 4_000) -> DataFrame:
     """Add `into`: the sum of `size` over the rows before this one in its group `by`.
 
     Rows are dealt to buckets by a hash of the order columns; a window runs within (group, bucket)
@@ -64,7 +64,7 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str], size: Column,
     columns): fixed by the rows' values, not by how they are partitioned. Equal rows take turns.
     `rows` is the number of rows of `df`; it sets the number of buckets.
     """
-    n = max(1, min(1 << 20, rows // per_bucket + 1))
+    n = max(1, min(1 << 16, rows // per_bucket + 1))
     dealt = df.withColumns({"_bucket": F.pmod(F.xxhash64(*order), F.lit(n)), "_size": size.cast("long")})
     within = Window.partitionBy(*by, "_bucket").orderBy(*order)
     before = Window.partitionBy(*by).orderBy("_bucket")
