@@ -1,8 +1,10 @@
 """Near duplicates: a similarity join of n-gram sets and its connected components.
 
-1. One pass over the texts gives each document its set of n-gram hashes, sorted: the global order. Equal sets are one class.
-2. Two similar sets share an element among the first few of each (the prefix). Elements with small hashes are counted over
-   all classes; those in very many move to the end of the order, so that boilerplate doesn't bring documents together.
+1. One pass over the texts gives each document its set of n-gram hashes. Equal sets are one class.
+2. Two similar sets share an element among the first few of each (the prefix), in any order that is the same for all. The
+   order here is by the number of classes that have the element, then by hash, so that prefixes hold the rarest ones and
+   passages that many documents share come last. Elements with small hashes are counted for all classes; those
+   beyond only for the classes whose prefix isn't full without them.
 3. Classes that share a prefix element are compared by parity bitmaps, whose distance never exceeds that of the sets. Pairs
    that pass are candidates; their components are blocks.
 4. Each block's sets, made again from the texts, are joined in a prefix tree, which finds every link or another path.
@@ -33,22 +35,24 @@ _S = np.uint64(33)
 
 @dataclass(frozen=True)
 class Join:
-    """words: of an n-gram. num / den: similarity. counted: share of the hash range whose elements are counted. hot: an
-    element in more classes goes last. group: rows of one task's group."""
+    """words: of an n-gram. num / den: similarity. counted: share of the hash range whose elements are counted first. hot: of
+    those, an element in more classes goes last. group: rows of a group that is compared as a whole. cell: sets of one prefix
+    tree."""
 
     words: int = 5
     num: int = 80
     den: int = 100
-    counted: float = 0.25
+    counted: float = 0.2
     hot: int = 128
-    group: int = 1024
+    group: int = 4096
+    cell: int = 1024
 
 
 class _Words(dict):
     """64-bit hashes of words; starts anew when it is large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
@@ -85,7 +89,7 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
 
 
 def _profiles(join: Join):
-    """Pass 1. keys: elements in the counted range; rest: as many as the prefix might need beyond them."""
+    """Pass 1. keys: elements in the counted range; p: size of the prefix."""
     limit, top = Threshold(join.num, join.den), np.uint64(int(join.counted * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,10 +109,9 @@ def _profiles(join: Join):
                         pa.array(p, pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                         _lists([s[:k] for s, k in zip(sets, low, strict=True)]),
-                        _lists([s[k : k + q] for s, k, q in zip(sets, low, p, strict=True)]),
                         pa.array([_bitmap(s) for s in sets], pa.binary()),
                     ],
-                    names=["node", "doc_id", "text_hash", "n", "p", "digest", "keys", "rest", "bits"],
+                    names=["node", "doc_id", "text_hash", "n", "p", "digest", "keys", "bits"],
                 )
                 node += len(sets)
 
@@ -156,71 +159,95 @@ def _compare(join: Join):
     """Within each group: edges that connect the rows whose sizes and bitmaps allow similarity."""
     limit = Threshold(join.num, join.den)
 
-    def near(n: np.ndarray, bits: list[bytes], forest: Forest, node: np.ndarray) -> list[tuple[int, int]]:
-        order, out = np.argsort(n, kind="stable"), []
+    def near(n: np.ndarray, bits: list[bytes], node: np.ndarray) -> list[tuple[int, int]]:
+        """Edges between rows in the order of their sizes; each row is compared with all smaller ones at once."""
+        order = np.argsort(n, kind="stable")
+        sizes, node, forest, out = n[order], node[order], Forest(len(n)), []
         maps = [np.frombuffer(bits[i], np.uint8) for i in order]
-        sizes = n[order]
+        widths = np.array([len(m) for m in maps])
+        table = {int(w): (at := np.flatnonzero(widths == w), np.stack([maps[i] for i in at])) for w in np.unique(widths)}
+        least = np.searchsorted(sizes * limit.den, limit.num * sizes)
         for q in range(1, len(order)):
-            first = int(np.searchsorted(sizes[:q] * limit.den, limit.num * sizes[q]))
-            for k in range(first, q):
-                a, b = int(order[k]), int(order[q])
-                if forest.find(a) == forest.find(b):
+            for width, (at, held) in table.items():
+                a, b = np.searchsorted(at, (least[q], q))
+                if width > widths[q] or a == b:
                     continue
-                small = maps[k]
-                apart = int(np.bitwise_count(small ^ _fold(maps[q], len(small))).sum())
-                if apart <= sizes[k] + sizes[q] - 2 * limit.overlap(int(sizes[k]), int(sizes[q])):
-                    forest.join(a, b)
-                    out.append((int(node[a]), int(node[b])))
+                apart = np.bitwise_count(held[a:b] ^ _fold(maps[q], width)).sum(axis=1, dtype=np.int64)
+                both = sizes[at[a:b]] + sizes[q]
+                allowed = both - 2 * -(-limit.num * both // (limit.num + limit.den))
+                for k in at[a:b][apart <= allowed]:
+                    if forest.join(int(k), q):
+                        out.append((int(node[k]), int(node[q])))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, ["h", "i", "j"]):
-            keys = np.stack([table.column(c).to_numpy() for c in ("h", "i", "j")])
-            starts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0), True])
+        for table in _groups(batches, ["h"]):
+            h = table.column("h").to_numpy()
+            starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
             n, node, bits = table.column("n").to_numpy(), table.column("node").to_numpy(), table.column("bits")
             seen: set[tuple[int, int]] = set()
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 if b - a > 1:
-                    seen.update(near(n[a:b], bits[a:b].to_pylist(), Forest(b - a), node[a:b]))
+                    seen.update(near(n[a:b], bits.slice(a, b - a).to_pylist(), node[a:b]))
             yield _edges(list(seen))
 
     return run
 
 
-def _candidates(heads: DataFrame, join: Join) -> DataFrame:
+def _first(rows: DataFrame, wanted: DataFrame, number: str) -> DataFrame:
+    """(h, node): of each node's elements, the rarest that fill its prefix, as far as others have them too.
+
+    rows: (h, node, count), elements in more than one class. wanted: a row for each node with `total`, its number of elements in
+    this part of the order; `number` says how many of them are in the prefix. Elements in one class come first: they
+    fill places but bring no one together.
+    """
+    held = rows.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "h"))).alias("held"))
+    places = F.expr(number) - (F.col("total") - F.size("held"))
+    held = held.join(wanted, "node").withColumn("places", places.cast("int")).filter("places > 0")
+    return held.select(F.explode(F.slice("held", F.lit(1), F.least("places", F.size("held")))).alias("e"), "node").select("e.h", "node")
+
+
+def _made(texts: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
+    """`wanted` (node, doc_id, text_hash, digest, ...) with items, the sets, made again from the texts."""
+    rows = bounded(wanted.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
+    own = texts.join(rows, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left_semi")
+    return own.select("text").mapInArrow(_sets(join), "digest binary, items array<bigint>").join(wanted.drop("doc_id", "text_hash"), "digest").dropDuplicates(["node"])
+
+
+def _candidates(texts: DataFrame, heads: DataFrame, join: Join) -> DataFrame:
     """Edges (a, b) over the nodes: two similar classes are connected by them.
 
-    An element of the counted range in more than `hot` classes is hot; the order is: counted elements that aren't hot, then
-    elements beyond the range, then hot ones, each by hash. Groups of a key with more than `group` rows are dealt to a
-    grid of cells, so that any two rows meet in one of them; those that a hot element holds together (near copies of one
-    text, as the prefix has nothing rarer) are joined to their smallest node without comparison.
+    The order: counted elements that aren't hot, then those beyond the counted range, then hot ones, each by count and
+    hash. Groups of a key with more than `group` rows, which have nothing rarer in common, are near copies of one text as a
+    rule; they are joined to their smallest node without comparison and so make up one block.
     """
-    rows = heads.select("node", "n", "p", F.posexplode("keys").alias("at", "h")).select("h", "node", F.col("n").cast("int").alias("n"), (F.col("at") < F.col("p")).alias("first"))
     same = Window.partitionBy("h")
-    counted = rows.withColumn("count", F.count("*").over(same)).filter("count > 1")
-    counted = settled(counted, "ngram-counted")
-    hots = counted.filter(F.col("count") > join.hot).groupBy("node").agg(F.sort_array(F.collect_list("h")).alias("hots"))
-    hots = settled(hots, "ngram-hot")
-    lately = bounded(hots.select("node").withColumn("has_hot", F.lit(True)))
-    plain = counted.filter(F.col("count") <= join.hot).join(lately, "node", "left").filter("first OR has_hot").select("h", "node")
-    none = F.array().cast("array<bigint>")
-    late = heads.select("node", "p", "rest", F.size("keys").alias("low")).join(bounded(hots), "node", "left").withColumn("hots", F.coalesce("hots", none))
-    late = late.withColumn("need", (F.col("p") - F.col("low") + F.size("hots")).cast("int")).filter("need > 0")
-    beyond = F.slice("rest", F.lit(1), F.least("need", F.size("rest")))
-    still = F.col("need") - F.size("rest")
-    last = F.when(still > 0, F.slice("hots", F.lit(1), F.least(still, F.size("hots")))).otherwise(none)
-    keys = plain.union(late.select(F.explode(F.concat(beyond, last)).alias("h"), "node"))
-    sized = keys.withColumn("count", F.count("*").over(same)).filter("count > 1")
+
+    def shared(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("count", F.count("*").over(same).cast("int")).filter("count > 1")
+
+    counted = settled(shared(heads.select(F.explode("keys").alias("h"), "node")), "ngram-counted")
+    brief = heads.select("node", "p", F.size("keys").alias("low"))
+    hots = settled(counted.filter(F.col("count") > join.hot).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "h"))).alias("hots")), "ngram-hot")
+    cool = brief.join(bounded(hots.select("node", F.size("hots").alias("n_hot"))), "node", "left").select("node", "p", (F.col("low") - F.coalesce("n_hot", F.lit(0))).alias("total"))
+    keys = _first(counted.filter(F.col("count") <= join.hot), cool, "p")
+    # Classes with room in their prefix: the elements beyond the range are counted among these classes.
+    open_ = cool.filter("total < p").join(heads.select("node", "doc_id", "text_hash", "digest", "n", F.size("keys").alias("low")), "node")
+    open_ = settled(open_.select("node", "doc_id", "text_hash", "digest", "n", (F.col("p") - F.col("total")).alias("need"), "low"), "ngram-open")
+    beyond = _made(texts, open_, join).select("node", F.explode(F.slice("items", F.col("low") + 1, F.greatest(F.lit(1), F.size("items")))).alias("h"))
+    late = open_.select("node", "need", (F.col("n") - F.col("low")).alias("total"))
+    keys = keys.union(_first(shared(beyond), late, "need"))
+    short = late.filter("need > total").join(hots, "node")
+    keys = keys.union(short.select(F.explode(F.slice("hots", F.lit(1), F.least((F.col("need") - F.col("total")).cast("int"), F.size("hots")))).alias("e"), "node").select("e.h", "node"))
     # A row without a neighbour of like size has no partner in its group.
-    sized = sized.join(heads.select("node", "n"), "node")
+    sized = keys.join(heads.select("node", "n"), "node").withColumn("count", F.count("*").over(same))
     by_size = Window.partitionBy("h").orderBy("n", "node")
     like = (F.lag("n").over(by_size) * join.den >= F.col("n") * join.num) | (F.lead("n").over(by_size) * join.num <= F.col("n") * join.den)
     sized = settled(sized.withColumn("like", like).filter("like").select("h", "node", "n", "count"), "ngram-keys")
     big = sized.filter(F.col("count") > join.group)
     star = big.join(big.groupBy("h").agg(F.min("node").alias("a")), "h").filter("a <> node").select("a", F.col("node").alias("b"))
-    small = sized.filter(F.col("count") <= join.group).select("h", "node", "n", F.lit(0).alias("i"), F.lit(0).alias("j"))
-    small = small.join(heads.select("node", "bits"), "node").repartition("h").sortWithinPartitions("h")
-    pairs = small.mapInArrow(_compare(join), "a long, b long")
+    small = sized.filter(F.col("count") <= join.group).select("h", "node", "n").join(heads.select("node", "bits"), "node")
+    pairs = small.repartition("h").sortWithinPartitions("h").mapInArrow(_compare(join), "a long, b long")
     return settled(pairs.union(star).distinct(), "ngram-candidates")
 
 
@@ -261,29 +288,25 @@ def _search(join: Join):
 def _links(texts: DataFrame, heads: DataFrame, blocks: DataFrame, join: Join) -> DataFrame:
     """Edges (a, b) that connect the nodes as all similar pairs would.
 
-    A block of up to `group` sets is one cell. A larger one is first dealt to cells by a hash, with its smallest
+    A block of up to `cell` sets is one tree. A larger one is first dealt to cells by a hash, with its smallest
     set in each: near copies of one text become one component here. Then only the sets outside the block's largest
     component are looked up among all others: each is sent to all cells, the rest stay in one.
     """
-    wanted = heads.join(blocks, "node").select("node", "digest", "text_hash", "block")
-    wanted = settled(wanted, "ngram-blocks")
-    hashes = bounded(wanted.select("text_hash").distinct())
-    made = texts.join(hashes, "text_hash", "left_semi").select("text").mapInArrow(_sets(join), "digest binary, items array<bigint>")
-    made = made.join(wanted, "digest").dropDuplicates(["node"]).select("node", "block", "items")
-    made = settled(made, "ngram-sets")
+    wanted = settled(heads.join(blocks, "node").select("node", "doc_id", "text_hash", "digest", "block"), "ngram-blocks")
+    made = settled(_made(texts, wanted, join).select("node", "block", "items"), "ngram-sets")
 
     def search(cells: DataFrame) -> DataFrame:
         dealt = cells.repartition("block", "cell").sortWithinPartitions("block", "cell")
         return settled(dealt.mapInArrow(_search(join), "a long, b long"), "ngram-links")
 
     sizes = made.groupBy("block").agg(F.count("*").alias("size"), F.min("node").alias("pivot"))
-    cells = F.ceil(F.col("size") / join.group).cast("int")
+    cells = F.ceil(F.col("size") / join.cell).cast("int")
     dealt = made.join(bounded(sizes), "block").withColumn("cells", cells)
     own = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")
     everywhere = F.sequence(F.lit(0), F.col("cells") - 1)
     at = F.explode(F.when(F.col("node") == F.col("pivot"), everywhere).otherwise(F.array(own)))
     first = search(dealt.select("node", "block", "items", F.lit(True).alias("probe"), at.alias("cell")))
-    large = sizes.filter(F.col("size") > join.group)
+    large = sizes.filter(F.col("size") > join.cell)
     if large.limit(1).count() == 0:
         return first
     labels = components(first)
@@ -303,7 +326,7 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), text: str = "text", ke
     greater than all others: a component of null ids alone has a null component_id. Other columns of `docs` are not read.
     """
     texts = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
-    schema = f"node long, doc_id {docs.schema[key].dataType.simpleString()}, text_hash long, n long, p long, digest binary, keys array<bigint>, rest array<bigint>, bits binary"
+    schema = f"node long, doc_id {docs.schema[key].dataType.simpleString()}, text_hash long, n long, p long, digest binary, keys array<bigint>, bits binary"
     base = settled(texts.mapInArrow(_profiles(join), schema), "ngram-profiles")
     classes = base.filter("n > 0").groupBy("digest").agg(F.min("node").alias("head"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     classes = settled(classes, "ngram-classes")
@@ -311,7 +334,7 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), text: str = "text", ke
     extra = base.filter("n > 0").select("node", "digest").join(bounded(several), "digest").filter("node <> head").select("node")
     extra = settled(extra, "ngram-copies")
     heads = base.filter("n > 0").join(bounded(extra), "node", "left_anti")
-    edges = _candidates(heads, join)
+    edges = _candidates(texts, heads, join)
     blocks = components(edges).select("node", F.col("label").alias("block"))
     links = _links(texts, heads, blocks, join)
     labels = components(links)
@@ -334,10 +357,12 @@ def keep_one(docs: DataFrame, join: Join = Join(), text: str = "text", key: str
     own = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
     safe = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in own.items()])
     found = near_duplicates(safe, join, own[text], own[key])
-    stay = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    gone = bounded(settled(found.select("doc_id").distinct().join(stay, F.col("doc_id").eqNullSafe(stay["doc_id"]), "left_anti"), "ngram-gone"))
-    repeated = found.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id", F.lit(True).alias("_again"))
-    repeated = bounded(settled(repeated, "ngram-repeated"))
-    kept = safe.join(gone, safe[own[key]].eqNullSafe(gone["doc_id"]), "left_anti").join(repeated, F.col(own[key]).eqNullSafe(F.col("doc_id")), "left").drop("doc_id")
+    found = settled(found, "ngram-found")
+    gone = found.groupBy("doc_id").agg(F.bool_or(F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("stays")).filter("NOT stays")
+    gone = bounded(settled(gone.select(F.col("doc_id").alias("_gone")), "ngram-gone"))
+    repeated = found.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1")
+    repeated = bounded(settled(repeated.select(F.col("doc_id").alias("_repeated"), F.lit(True).alias("_again")), "ngram-repeated"))
+    kept = safe.join(gone, F.col(own[key]).eqNullSafe(F.col("_gone")), "left_anti")
+    kept = kept.join(repeated, F.col(own[key]).eqNullSafe(F.col("_repeated")), "left")
     once = kept.filter("_again").dropDuplicates([own[key], own[text]])
     return kept.filter("_again IS NULL").union(once).select(*[F.col(a).alias(c) for c, a in own.items()])
