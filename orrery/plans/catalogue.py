@@ -5,20 +5,789 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from orrery.operators import graph
-from orrery.sources.tables import Tables
+from orrery.functions import text
+from orrery.operators import derive, extract, graph, grep, lookup, merge, paging, refs, search
+from orrery.plans import guard
+from orrery.sources import files as sources
+from orrery.sources.tables import Tables, key
+from orrery.streaming import debounce
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: SQL forms of the adapters of orrery.sources.tables.
+FILES = """files AS (SELECT doc_id AS file_id, source || '/' || lang || '/' || doc_id || '.md' AS path, lang AS language,
+ CAST(len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS BIGINT) AS lines_total, n_chars AS file_size, text AS content FROM documents)"""
+FUNCTIONS = """functions AS (SELECT p_partkey AS id, p_partkey AS file_id, p_name AS name, p_brand || '.' || p_name AS qualified_name, p_type AS docstring,
+ CAST(p_size AS BIGINT) AS line_start, CAST(p_size + 2 AS BIGINT) AS line_end, p_name || chr(10) || p_type || chr(10) || 'return ' || p_brand AS body FROM part)"""
+CALLS = """calls AS (SELECT DISTINCT CASE WHEN l_linenumber % 2 = 1 THEN 'P' || l_partkey ELSE 'S' || l_suppkey END AS caller,
+ CASE WHEN l_linenumber % 2 = 1 THEN 'S' || l_suppkey ELSE 'P' || l_partkey END AS callee, CAST(l_linenumber AS BIGINT) AS line, l_orderkey AS file_id FROM lineitem)"""
+LINKS = """links AS (SELECT DISTINCT * FROM (
+ SELECT 'Order.' || o_orderkey AS from_object, 'Customer.' || o_custkey AS to_object, 'attr' AS link_kind, false AS is_universal FROM orders
+ UNION ALL SELECT 'Customer.' || c_custkey, 'Nation.' || c_nationkey, 'attr', false FROM customer
+ UNION ALL SELECT 'Supplier.' || s_suppkey, 'Nation.' || s_nationkey, 'attr', false FROM supplier
+ UNION ALL SELECT 'Nation.' || n_nationkey, 'Region.' || n_regionkey, 'owner', true FROM nation
+ UNION ALL SELECT 'Order.' || l_orderkey, 'Part.' || l_partkey, 'recorder', false FROM lineitem
+ UNION ALL SELECT 'Order.' || l_orderkey, 'Supplier.' || l_suppkey, 'recorder', false FROM lineitem))"""
+USAGES = """usages AS (SELECT 'Part.' || l_partkey AS object_ref, 'orders/' || l_orderkey || '.mod' AS file_path, l_returnflag AS usage_kind, CAST(l_linenumber AS BIGINT) AS line FROM lineitem)"""
+RIGHTS = """rights AS (SELECT DISTINCT c_mktsegment AS role_name, 'Nation.' || c_nationkey AS object_name, CASE WHEN c_acctbal > 0 THEN 'Update' ELSE 'Read' END AS right_name FROM customer)"""
+EXPORTS = """exports AS (SELECT 'src/' || s_nationkey || '/CommonModules/M' || (s_suppkey % 7) || '.mod' AS path, 'proc' || (s_suppkey % 61) AS name FROM supplier)"""
 
+
+def query(name: str, oracle: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+# ---- sources
+
+
+@query(
+    "files_by_category",
+    """WITH p AS (SELECT CASE WHEN page_id % 5 = 0 THEN 'a/b.PY' WHEN page_id % 5 = 1 THEN 'x/y.html' WHEN page_id % 5 = 2 THEN 'n/notes.md' WHEN page_id % 5 = 3 THEN 'q/raw.bin' ELSE 'l/Makefile' END AS path FROM pages)
+    SELECT CASE WHEN path IN ('a/b.PY', 'x/y.html') THEN 'code' WHEN path = 'n/notes.md' THEN 'text' ELSE 'binary' END AS category,
+    CASE WHEN path = 'a/b.PY' THEN 'python' WHEN path = 'x/y.html' THEN 'html' WHEN path = 'n/notes.md' THEN 'text' END AS language, CAST(count(*) AS BIGINT) AS files FROM p GROUP BY 1, 2""",
+)
+def files_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = F.col("page_id") % 5
+    path = F.when(rest == 0, "a/b.PY").when(rest == 1, "x/y.html").when(rest == 2, "n/notes.md").when(rest == 3, "q/raw.bin").otherwise("l/Makefile")
+    rows = Tables(spark, sf_dir).raw("pages").select(sources.category(path).alias("c"))
+    return rows.groupBy(F.col("c.category").alias("category"), F.col("c.language").alias("language")).agg(F.count("*").alias("files"))
+
+
+@query("source_weight", "SELECT CAST(count(*) AS BIGINT) AS files, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS bytes FROM documents")
+def source_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.weight(Tables(spark, sf_dir).raw("documents").select(F.col("n_chars").alias("file_size")))
+
+
+@query("content_hashes", "SELECT doc_id, sha256(text) AS content_hash, CASE WHEN n_chars <= 5000 THEN text END AS content, n_chars > 5000 AS oversize FROM documents")
+def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    over = F.col("n_chars") > 5000
+    return Tables(spark, sf_dir).raw("documents").select("doc_id", F.sha2("text", 256).alias("content_hash"), F.when(~over, F.col("text")).alias("content"), over.alias("oversize"))
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    files = Tables(spark, sf_dir).files().select("file_id", "path", F.sha2("content", 256).alias("content_hash"), F.col("file_id").alias("mtime"), "file_size")
+    kept = F.col("file_id") % 10
+    stored = files.filter(kept != 1).drop("file_id")
+    seen = files.filter(kept != 2).select("path", F.when(kept == 3, F.sha2("path", 256)).otherwise(F.col("content_hash")).alias("content_hash"), F.when(kept == 4, F.col("mtime") + 1).otherwise(F.col("mtime")).alias("mtime"), "file_size")
+    return stored, seen
+
+
+@query("file_change_diff", f"WITH {FILES} SELECT path, CASE file_id % 10 WHEN 1 THEN 'new' WHEN 2 THEN 'deleted' WHEN 3 THEN 'changed' WHEN 4 THEN 'touched' ELSE 'same' END AS change FROM files")
+def file_change_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.file_changes(*_snapshots(spark, sf_dir))
+
+
+@query("files_to_read", f"WITH {FILES} SELECT path FROM files WHERE file_id % 10 IN (1, 4)")
+def files_to_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.unchanged_fast(*_snapshots(spark, sf_dir)).select("path")
+
+
+@query("dominant_language", "SELECT 'python' AS language, CAST(count(*) AS BIGINT) AS files FROM (SELECT * FROM documents ORDER BY CASE WHEN doc_id % 3 = 0 THEN 'a/' || doc_id || '.go' ELSE 'a/' || doc_id || '.py' END LIMIT 4000) WHERE doc_id % 3 <> 0")
+def dominant_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(key("a/", "doc_id"), F.when(F.col("doc_id") % 3 == 0, ".go").otherwise(".py"))
+    return sources.dominant_language(Tables(spark, sf_dir).raw("documents").select(path.alias("path")))
+
+
+# ---- listing, statistics, slices
+
+
+@query("list_files_glob_brace", f"WITH {FILES} SELECT path, language, lines_total, file_size FROM files WHERE path GLOB 'src1/*.md' OR path GLOB 'src2*/en/*.md' OR path GLOB 'src2*/de/*.md'")
+def list_files_glob_brace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = Tables(spark, sf_dir).files()
+    hit = text.matches_glob(F.col("path"), "src1/**/*.md") | text.matches_glob(F.col("path"), "src2*/{en,de}/*.md")
+    return files.filter(hit).select("path", "language", "lines_total", "file_size")
+
+
+@query("list_files_prefix", f"WITH {FILES} SELECT path, language, lines_total, file_size FROM files WHERE starts_with(path, 'src1/en') ORDER BY path LIMIT 500")
+def list_files_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = Tables(spark, sf_dir).files()
+    return files.filter(F.col("path").startswith("src1/en")).orderBy("path").limit(500).select("path", "language", "lines_total", "file_size")
+
+
+@query(
+    "get_stats",
+    f"WITH {CALLS} SELECT 'files' AS entity, CAST(count(*) AS BIGINT) AS total FROM documents UNION ALL SELECT 'functions', count(*) FROM part UNION ALL SELECT 'classes', count(*) FROM supplier UNION ALL SELECT 'imports', count(*) FROM nation UNION ALL SELECT 'calls', count(*) FROM calls UNION ALL SELECT 'variables', count(*) FROM customer",
+)
+def get_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    parts = {"files": t.raw("documents"), "functions": t.raw("part"), "classes": t.raw("supplier"), "imports": t.raw("nation"), "calls": t.calls(), "variables": t.raw("customer")}
+    counts = [df.agg(F.count("*").alias("total")).select(F.lit(n).alias("entity"), "total") for n, df in parts.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.union(c)
+    return out
+
+
+@query("stat_files", f"WITH {FILES} SELECT language, CAST(count(*) AS BIGINT) AS files, CAST(sum(lines_total) AS BIGINT) AS lines, CAST(max(file_size) AS BIGINT) AS largest, CAST(count(*) FILTER (file_size > 5000) AS BIGINT) AS oversize FROM files GROUP BY language")
+def stat_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Tables(spark, sf_dir).files().groupBy("language").agg(F.count("*").alias("files"), F.sum("lines_total").alias("lines"), F.max("file_size").alias("largest"), F.count_if(F.col("file_size") > 5000).alias("oversize"))
+
+
+@query("read_lines_slice", f"WITH {FILES} SELECT path, array_to_string(list_slice(string_split(regexp_replace(content, '\\n$', ''), chr(10)), 2, 4), chr(10)) AS content, lines_total FROM files")
+def read_lines_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Tables(spark, sf_dir).files().select("path", text.line_slice(F.col("content"), 2, 4).alias("content"), "lines_total")
+
+
+@query(
+    "body_head_tail",
+    """WITH r AS (SELECT conv_id, string_split(string_agg(text, chr(10) ORDER BY turn, role, text), chr(10)) AS rows FROM conversations GROUP BY conv_id)
+    SELECT conv_id, CASE WHEN length(array_to_string(rows, chr(10))) > 300 AND len(rows) > 3 THEN array_to_string(rows[1:2], chr(10)) || chr(10) || '… ' || (len(rows) - 3) || ' lines omitted …' || chr(10) || rows[len(rows)] ELSE array_to_string(rows, chr(10)) END AS body FROM r""",
+)
+def body_head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = Tables(spark, sf_dir).raw("conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    body = F.array_join(F.transform("t", lambda x: x["text"]), "\n")
+    return rows.select("conv_id", text.head_tail(body, 300, 2, 1).alias("body"))
+
+
+# ---- lookup
+
+
+@query("get_function_exact", f"WITH {FUNCTIONS} SELECT id, name, qualified_name, line_start FROM functions WHERE name IN ('hot rod', 'Brand#8.red plate') OR qualified_name IN ('hot rod', 'Brand#8.red plate')")
+def get_function_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.exact(Tables(spark, sf_dir).functions(), ["hot rod", "Brand#8.red plate"]).select("id", "name", "qualified_name", "line_start")
+
+
+@query("lookup_ci_fallback", "SELECT s_suppkey AS id, s_name AS name, 'ignoring case' AS matched FROM supplier WHERE lower(s_name) = lower('SUPPLIER#000000001') AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_name = 'SUPPLIER#000000001')")
+def lookup_ci_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.resolve(Tables(spark, sf_dir).classes(), "SUPPLIER#000000001").select("id", "name", "matched")
+
+
+@query("many_hits_as_places", f"WITH {FUNCTIONS}, h AS (SELECT id, name, count(*) OVER () AS total, row_number() OVER (ORDER BY id) AS n FROM functions WHERE name = (SELECT min(p_name) FROM part)) SELECT id, name, CAST(total AS BIGINT) AS total FROM h WHERE total <= 5 OR n <= 50")
+def many_hits_as_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    functions = Tables(spark, sf_dir).functions()
+    least = functions.agg(F.min("name").alias("name"))
+    return lookup.places(functions.join(F.broadcast(least), "name"), ["id"]).select("id", "name", "total")
+
+
+@query("suggest_levenshtein", "WITH c AS (SELECT DISTINCT c_name AS name FROM customer WHERE starts_with(c_name, 'Custom')), d AS (SELECT name, least(levenshtein(lower(name), 'customer#00000012'), CASE WHEN length(name) > 17 THEN levenshtein(substr(lower(name), 1, 17), 'customer#00000012') + 1 ELSE 99 END) AS distance FROM c) SELECT name, CAST(distance AS BIGINT) AS distance FROM d WHERE distance <= 5 ORDER BY distance, name LIMIT 5")
+def suggest_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.suggest(Tables(spark, sf_dir).raw("customer"), "Customer#00000012", "c_name")
+
+
+@query(
+    "find_symbol_union",
+    f"""WITH {FUNCTIONS}, u AS (
+    SELECT 'function' AS category, name, qualified_name AS detail, file_id, line_start AS line FROM functions WHERE name = 'BUILDING' OR qualified_name = 'BUILDING'
+    UNION ALL SELECT 'class', s_name, n_name, CAST(s_nationkey AS BIGINT), s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_name = 'BUILDING'
+    UNION ALL SELECT 'variable', c_mktsegment, c_name, CAST(c_nationkey AS BIGINT), c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'
+    UNION ALL SELECT 'import', n_name, r_name, CAST(n_nationkey AS BIGINT), CAST(n_nationkey AS BIGINT) FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name = 'BUILDING' OR lower(n_name) = 'BUILDING')
+    SELECT category, name, detail, file_id, line FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY file_id, line, detail) AS n FROM u) WHERE n <= 50""",
+)
+def find_symbol_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    return lookup.find_symbol("BUILDING", t.functions(), t.classes(), t.variables(), t.imports())
+
+
+@query("get_imports", "SELECT CAST(n_nationkey AS BIGINT) AS file_id, r_name AS module, n_name AS name, lower(n_name) AS alias, CAST(n_nationkey AS BIGINT) AS line FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' ORDER BY file_id, line, name LIMIT 200")
+def get_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.imports_of(Tables(spark, sf_dir).imports(), module="ASIA")
+
+
+@query("symbol_known", f"WITH {CALLS} SELECT EXISTS (SELECT 1 FROM calls WHERE caller = 'S1' OR callee = 'S1') AS known")
+def symbol_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    return lookup.known("S1", t.functions(), t.calls())
+
+
+def _objects(t: Tables) -> DataFrame:
+    customers = t.raw("customer").select(F.concat(F.lit("Customer."), "c_name").alias("full_name"))
+    return customers.union(t.raw("supplier").select(F.concat(F.lit("Supplier."), "s_name")))
+
+
+OBJECTS = "objects AS (SELECT 'Customer.' || c_name AS full_name FROM customer UNION ALL SELECT 'Supplier.' || s_name FROM supplier)"
+
+
+@query("resolve_object_names", f"WITH {OBJECTS}, w AS (SELECT full_name AS wanted FROM objects UNION ALL SELECT upper(full_name) FROM objects UNION ALL SELECT full_name || '?' FROM objects WHERE full_name LIKE '%7') SELECT wanted, coalesce(e.full_name, c.f) AS full_name FROM w LEFT JOIN (SELECT DISTINCT full_name FROM objects) e ON e.full_name = wanted LEFT JOIN (SELECT lower(full_name) AS k, min(full_name) AS f FROM objects GROUP BY 1) c ON c.k = lower(wanted)")
+def resolve_object_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    objects = _objects(Tables(spark, sf_dir))
+    name = F.col("full_name")
+    wanted = objects.select(name.alias("wanted")).union(objects.select(F.upper(name))).union(objects.filter(name.endswith("7")).select(F.concat(name, F.lit("?"))))
+    return lookup.resolve_objects(objects, wanted)
+
+
+@query("objects_name_like", f"WITH {OBJECTS}, h AS (SELECT * FROM objects WHERE contains(lower(full_name), '00012') AND starts_with(full_name, 'Customer.') ORDER BY full_name LIMIT 51) SELECT full_name, (SELECT count(*) FROM h) > 50 AS more FROM (SELECT * FROM h ORDER BY full_name LIMIT 50)")
+def objects_name_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.name_like(_objects(Tables(spark, sf_dir)), "00012", "Customer")
+
+
+@query("similar_objects", f"WITH {OBJECTS} SELECT full_name, starts_with(full_name, 'Customer.') AS same_type FROM objects WHERE starts_with(lower(split_part(full_name, '.', 2)), 'suppli') ORDER BY same_type DESC, full_name LIMIT 8")
+def similar_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.similar_objects(_objects(Tables(spark, sf_dir)), "Customer.SupplierNew")
+
+
+# ---- full-text search
+
+
+def _bm25_sql(source: str, doc: str, fields: dict[str, float], tokens: list[str]) -> str:
+    lists = {f: f"regexp_extract_all(lower(coalesce({f}, '')), '[\\p{{L}}\\p{{N}}]+')" for f in fields}
+    size = " + ".join(f"len({x})" for x in lists.values())
+    tf = ", ".join(" + ".join(f"{w} * len(list_filter({lists[f]}, lambda x: starts_with(x, '{t}')))" for f, w in fields.items()) + f" AS tf{i}" for i, t in enumerate(tokens))
+    df = ", ".join(f"CAST(count(*) FILTER (tf{i} > 0) AS DOUBLE) AS df{i}" for i in range(len(tokens)))
+    part = " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * size / mean))" for i in range(len(tokens)))
+    hit = " OR ".join(f"tf{i} > 0" for i in range(len(tokens)))
+    return f"WITH r AS (SELECT {doc} AS doc, CAST({size} AS DOUBLE) AS size, {tf} FROM {source}), s AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(size) AS mean, {df} FROM r) SELECT doc, round(-({part}), 9) AS score FROM r, s WHERE {hit} ORDER BY score, doc LIMIT 20"
+
+
+@query("search_bm25_docs", _bm25_sql("documents", "doc_id", {"text": 1.0}, ["license", "apache"]))
+def search_bm25_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.bm25(Tables(spark, sf_dir).raw("documents"), "doc_id", {"text": 1.0}, "License apache")
+
+
+PART_FIELDS = {"p_name": 10.0, "p_brand": 5.0, "p_type": 2.0}
+
+
+@query("search_weighted_fields", _bm25_sql("part", "p_partkey", PART_FIELDS, ["tin", "blue"]))
+def search_weighted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.bm25(Tables(spark, sf_dir).raw("part"), "p_partkey", PART_FIELDS, "tin blue")
+
+
+@query("search_stored_index", _bm25_sql("part", "p_partkey", PART_FIELDS, ["steel", "red"]))
+def search_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = Tables(spark, sf_dir).raw("part")
+    index = search.postings(part, "p_partkey", list(PART_FIELDS))
+    sizes = index.groupBy("doc").agg(F.sum("tf").cast("double").alias("size"))
+    return search.bm25_postings(index, sizes, PART_FIELDS, "steel red")
+
+
+@query("postings", "SELECT term, doc, 'p_name' AS field, CAST(count(*) AS BIGINT) AS tf FROM (SELECT p_partkey AS doc, unnest(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+')) AS term FROM part) GROUP BY term, doc")
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.postings(Tables(spark, sf_dir).raw("part"), "p_partkey", ["p_name"])
+
+
+@query("search_path_filter", "WITH q AS (" + _bm25_sql("documents", "doc_id", {"text": 1.0}, ["license", "apache"]).replace(" LIMIT 20", " LIMIT 100") + ") SELECT doc, score, source || '/' || lang AS path FROM q JOIN documents ON doc_id = doc WHERE lang = 'en' ORDER BY score, doc LIMIT 10")
+def search_path_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = Tables(spark, sf_dir).raw("documents")
+    ranked = search.bm25(docs, "doc_id", {"text": 1.0}, "license apache", 100)
+    files = docs.select(F.col("doc_id").alias("doc"), F.concat_ws("/", "source", "lang").alias("path"))
+    return search.filtered_search(ranked, files, text.matches_glob(F.col("path"), "**/en"), 10)
+
+
+@query("search_trigram", "WITH s AS (SELECT doc_id, CAST(contains(lower(text), 'license') AS BIGINT) + CAST(contains(lower(text), 'trash') AS BIGINT) AS matched FROM documents) SELECT doc_id, matched FROM s WHERE matched > 0 ORDER BY matched DESC, doc_id LIMIT 20")
+def search_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.term_search(Tables(spark, sf_dir).raw("documents"), "doc_id", "text", "license trash")
+
+
+@query("trigram_postings", "SELECT t AS trigram, CAST(count(*) AS BIGINT) AS docs FROM (SELECT s_suppkey, unnest(list_distinct(list_transform(range(1, length(s_name) - 1), lambda i: substr(lower(s_name), i, 3)))) AS t FROM supplier) GROUP BY t")
+def trigram_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = Tables(spark, sf_dir).raw("supplier").select(F.explode(search.trigrams(F.col("s_name"))).alias("trigram"))
+    return rows.groupBy("trigram").agg(F.count("*").alias("docs"))
+
+
+@query(
+    "text_snippet",
+    """WITH a AS (SELECT doc_id, text, strpos(lower(text), 'license') AS pos FROM documents), b AS (SELECT *, greatest(1, pos - 80) AS s, least(length(text), pos + 6 + 80) AS e FROM a WHERE pos > 0)
+    SELECT doc_id, CASE WHEN s > 1 THEN '…' ELSE '' END || trim(regexp_replace(substr(text, s, e - s + 1), '\\s+', ' ', 'g')) || CASE WHEN e < length(text) THEN '…' ELSE '' END AS snippet FROM b""",
+)
+def text_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = Tables(spark, sf_dir).raw("documents").select("doc_id", text.snippet(F.col("text"), "license").alias("snippet"))
+    return rows.filter("snippet IS NOT NULL")
+
+
+# ---- grep
+
+LINES = "lines AS (SELECT path, unnest(string_split(regexp_replace(content, '\\n$', ''), chr(10))) AS text, generate_subscripts(string_split(regexp_replace(content, '\\n$', ''), chr(10)), 1) AS line FROM files)"
+PATTERN = r"[Ll]icense[sd]?\b"
+HITS = f"WITH {FILES}, {LINES}, hits AS (SELECT path, CAST(line AS BIGINT) AS line, text FROM lines WHERE regexp_matches(text, '[Ll]icense[sd]?\\b'))"
+
+
+@query("grep_lines", f"{HITS} SELECT * FROM hits")
+def grep_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grep.hits(Tables(spark, sf_dir).files(), PATTERN)
+
+
+@query("grep_ignore_case", f"WITH {FILES}, {LINES} SELECT path, CAST(line AS BIGINT) AS line, text FROM lines WHERE regexp_matches(text, '(?i)^érétre|mentation$')")
+def grep_ignore_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grep.hits(Tables(spark, sf_dir).files(), "^érétre|mentation$", ignore_case=True)
+
+
+@query("grep_scoped_limit", f"{HITS}, t AS (SELECT * FROM hits WHERE path GLOB 'src*/en/*.md' ORDER BY path, line LIMIT 100) SELECT *, (SELECT count(*) FROM t) >= 100 AS truncated FROM t")
+def grep_scoped_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = Tables(spark, sf_dir).files().filter(text.matches_glob(F.col("path"), "src*/en/*.md"))
+    return grep.limited(grep.hits(files, PATTERN), 100)
+
+
+@query("grep_byte_budget", f"{HITS}, s AS (SELECT *, CAST(strlen(text) AS BIGINT) AS bytes FROM hits), r AS (SELECT *, CAST(sum(bytes) OVER (ORDER BY path, line ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM s) SELECT * FROM r WHERE running <= 20000")
+def grep_byte_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grep.within_bytes(grep.hits(Tables(spark, sf_dir).files(), PATTERN), 20_000)
+
+
+@query("grep_lines_context2", f"{HITS}, near AS (SELECT l.path, l.line, l.text, max(h.line = l.line) AS is_hit FROM lines l JOIN hits h ON h.path = l.path AND l.line BETWEEN h.line - 2 AND h.line + 2 GROUP BY l.path, l.line, l.text) SELECT path, CAST(line AS BIGINT) AS line, text, is_hit FROM near")
+def grep_lines_context2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = Tables(spark, sf_dir).files()
+    return grep.with_context(files, grep.hits(files, PATTERN), 2)
+
+
+@query("grep_compact", f"{HITS} SELECT path, string_agg(line || ': ' || text, chr(10) ORDER BY line) AS hits FROM hits GROUP BY path")
+def grep_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grep.compact(grep.hits(Tables(spark, sf_dir).files(), PATTERN))
+
+
+@query(
+    "grep_body_first3",
+    f"""WITH {FUNCTIONS}, b AS (SELECT id, name, line_start, unnest(string_split(body, chr(10))) AS t, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM functions),
+    h AS (SELECT id, name, line_start + i - 1 AS line FROM b WHERE regexp_matches(t, '[Tt][Ii][Nn]|e'))
+    SELECT id, name, array_to_string(list_slice(list(line ORDER BY line), 1, 3), ',') AS lines, CASE WHEN count(*) > 3 THEN CAST(count(*) AS BIGINT) END AS match_count FROM h GROUP BY id, name""",
+)
+def grep_body_first3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grep.bodies(Tables(spark, sf_dir).functions(), "[Tt][Ii][Nn]|e")
+
+
+@query("files_unreadable", "SELECT CAST(count(*) FILTER (doc_id % 7 = 0 AND NOT n_chars > 5000) AS BIGINT) AS files_unreadable FROM documents")
+def files_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = Tables(spark, sf_dir).raw("documents").select(F.when((F.col("doc_id") % 7 != 0) & (F.col("n_chars") <= 5000), F.col("text")).alias("content"), (F.col("n_chars") > 5000).alias("oversize"))
+    return grep.unreadable(rows)
+
+
+# ---- graph
+
+
+@query("get_callers", f"WITH {CALLS} SELECT * FROM calls WHERE callee = 'S1'")
 def get_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.callers(Tables(spark, sf_dir).calls(), "S1")
 
 
-QUERIES["get_callers"] = get_callers
-ORACLES["get_callers"] = """
-SELECT DISTINCT 'P' || l_partkey AS caller, 'S' || l_suppkey AS callee, CAST(l_linenumber AS BIGINT) AS line, l_orderkey AS file_id
-FROM lineitem WHERE l_linenumber % 2 = 1 AND l_suppkey = 1
-"""
+@query("get_callees", f"WITH {CALLS} SELECT * FROM calls WHERE caller = 'S1'")
+def get_callees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.callees(Tables(spark, sf_dir).calls(), "S1")
+
+
+def _tree_sql(near: str, far: str) -> str:
+    return f"""WITH {CALLS}, l1 AS (SELECT DISTINCT * FROM calls WHERE {near} = 'S1'), l2 AS (SELECT DISTINCT * FROM calls WHERE {near} IN (SELECT {far} FROM l1)), l3 AS (SELECT DISTINCT * FROM calls WHERE {near} IN (SELECT {far} FROM l2))
+    SELECT CAST(depth AS BIGINT) AS depth, caller, callee, line, file_id FROM (SELECT 1 AS depth, * FROM l1 UNION ALL SELECT 2, * FROM l2 UNION ALL SELECT 3, * FROM l3) ORDER BY depth, caller, callee, line, file_id LIMIT 5000"""
+
+
+@query("call_tree_down_d3", _tree_sql("caller", "callee"))
+def call_tree_down_d3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.tree(Tables(spark, sf_dir).calls(), "S1", "callees", 3, 5000)
+
+
+@query("call_tree_up_d3", _tree_sql("callee", "caller"))
+def call_tree_up_d3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.tree(Tables(spark, sf_dir).calls(), "S1", "callers", 3, 5000)
+
+
+def _call_edges(t: Tables) -> DataFrame:
+    picked = t.calls().groupBy(F.col("caller").alias("src"), F.col("callee").alias("dst")).agg(F.min(F.struct("line", "file_id")).alias("pick"))
+    return picked
+
+
+@query("find_path_bfs", f"WITH RECURSIVE {CALLS}, e AS (SELECT DISTINCT caller, callee FROM calls), r(node, depth) AS (SELECT 'S1', 0 UNION SELECT callee, depth + 1 FROM r JOIN e ON caller = node WHERE depth < 3) SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY node")
+def find_path_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.depths(_call_edges(Tables(spark, sf_dir)), "S1", 3)
+
+
+def _path_sql(levels: int) -> str:
+    """Levels with the least (line, file, source) parent of each new node, then back from the goal."""
+    ctes = [f"{CALLS}, e AS (SELECT caller AS src, callee AS dst, min((line, file_id)) AS pick FROM calls GROUP BY 1, 2), l0 AS (SELECT 'S1' AS node)"]
+    for i in range(1, levels + 1):
+        seen = " UNION ALL ".join(f"SELECT node FROM l{j}" for j in range(i))
+        ctes.append(f"b{i} AS (SELECT dst AS node, min((pick, src)) AS p FROM e WHERE src IN (SELECT node FROM l{i - 1}) AND dst NOT IN ({seen}) GROUP BY dst), l{i} AS (SELECT node FROM b{i})")
+        ctes.append(f"t{i} AS (SELECT node, p[2] AS parent FROM b{i})")
+    goal = "(SELECT min(node) FROM l3)"
+    return "WITH " + ", ".join(ctes) + f", s3 AS (SELECT CAST(3 AS BIGINT) AS step, parent AS src, node AS dst FROM t3 WHERE node = {goal}), s2 AS (SELECT CAST(2 AS BIGINT), parent AS src, node AS dst FROM t2 WHERE node = (SELECT src FROM s3)), s1 AS (SELECT CAST(1 AS BIGINT), parent, node FROM t1 WHERE node = (SELECT src FROM s2)) SELECT * FROM s3 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s1"
+
+
+@query("find_path", _path_sql(3).replace("p[2]", "struct_extract_at(p, 2)"))
+def find_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """To the first name that is three calls away."""
+    edges = graph.settled(_call_edges(Tables(spark, sf_dir)), "edges")
+    goal = graph.depths(edges, "S1", 3).filter("depth = 3").agg(F.min("node")).first()
+    end = goal[0] if goal and goal[0] is not None else "S1"
+    return graph.path(edges, "S1", end, 5).select("step", "src", "dst")
+
+
+def _links_sql(start: str, src: str, dst: str, depth: int) -> str:
+    ctes, seen = [f"n0 AS (SELECT '{start}' AS node)"], ["SELECT node FROM n0"]
+    for d in range(1, depth + 1):
+        ctes.append(f"l{d} AS (SELECT {d} AS depth, * FROM links WHERE {src} IN (SELECT node FROM n{d - 1}))")
+        ctes.append(f"n{d} AS (SELECT DISTINCT {dst} AS node FROM l{d} WHERE NOT is_universal AND {dst} NOT IN ({' UNION ALL '.join(seen)}))")
+        seen.append(f"SELECT node FROM n{d}")
+    every = " UNION ALL ".join(f"SELECT * FROM l{d}" for d in range(1, depth + 1))
+    return f"WITH {LINKS}, {', '.join(ctes)} SELECT CAST(depth AS BIGINT) AS depth, from_object, to_object, link_kind FROM ({every}) ORDER BY depth, from_object, to_object, link_kind LIMIT 1000"
+
+
+@query("data_links_out_d4", _links_sql("Order.1", "from_object", "to_object", 4))
+def data_links_out_d4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.links(Tables(spark, sf_dir).data_links(), "Order.1", "out", 4)
+
+
+@query("data_links_in_d2", _links_sql("Nation.3", "to_object", "from_object", 2))
+def data_links_in_d2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.links(Tables(spark, sf_dir).data_links(), "Nation.3", "in", 2)
+
+
+@query("find_data_path", "SELECT CAST(1 AS BIGINT) AS step, 'Order.1' AS src, 'Customer.' || o_custkey AS dst FROM orders WHERE o_orderkey = 1 UNION ALL SELECT 2, 'Customer.' || c_custkey, 'Nation.' || c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey = 1")
+def find_data_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From an order to its customer's nation; recorder links lead to suppliers' nations as well, so they are left out."""
+    t = Tables(spark, sf_dir)
+    edges = t.data_links().filter("link_kind <> 'recorder'").select(F.col("from_object").alias("src"), F.col("to_object").alias("dst"), F.col("link_kind").alias("pick"), "is_universal")
+    goal = t.raw("orders").filter("o_orderkey = 1").join(t.raw("customer"), F.col("o_custkey") == F.col("c_custkey")).select(key("Nation.", "c_nationkey")).first()
+    return graph.path(edges, "Order.1", goal[0] if goal else "", 4, terminal="is_universal").select("step", "src", "dst")
+
+
+# ---- references
+
+
+@query("register_writers", f"WITH {LINKS} SELECT * FROM (SELECT DISTINCT 'writers' AS side, from_object AS object FROM links WHERE link_kind = 'recorder' AND to_object = 'Part.5' ORDER BY object LIMIT 500) UNION ALL SELECT * FROM (SELECT DISTINCT 'writes_to', to_object FROM links WHERE link_kind = 'recorder' AND from_object = 'Part.5' LIMIT 500)")
+def register_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refs.register_writers(Tables(spark, sf_dir).data_links(), "Part.5")
+
+
+@query("writers_by_type", f"WITH {LINKS} SELECT split_part(from_object, '.', 1) AS type, CAST(count(*) AS BIGINT) AS total FROM links WHERE link_kind = 'recorder' GROUP BY 1")
+def writers_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refs.by_type(Tables(spark, sf_dir).data_links().filter("link_kind = 'recorder'"), "from_object")
+
+
+@query("find_references_by_kind", f"WITH {LINKS}, {USAGES}, {RIGHTS} SELECT 'data_refs' AS section, link_kind AS kind, CAST(count(*) AS BIGINT) AS total FROM links WHERE lower(to_object) = 'part.5' GROUP BY 2 UNION ALL SELECT 'code_usages', usage_kind, count(*) FROM usages WHERE lower(object_ref) = 'part.5' GROUP BY 2 UNION ALL SELECT 'role_rights', right_name, count(*) FROM rights WHERE lower(object_name) = 'part.5' GROUP BY 2")
+def find_references_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    return refs.reference_counts(t.data_links(), t.code_usages(), t.role_rights(), "Part.5")
+
+
+@query("references_to_nation", f"WITH {LINKS}, {RIGHTS} SELECT 'data_refs' AS section, link_kind AS kind, CAST(count(*) AS BIGINT) AS total FROM links WHERE to_object = 'Nation.3' GROUP BY 2 UNION ALL SELECT 'role_rights', right_name, count(*) FROM rights WHERE object_name = 'Nation.3' GROUP BY 2")
+def references_to_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    return refs.reference_counts(t.data_links(), t.code_usages(), t.role_rights(), "NATION.3")
+
+
+@query("role_right_totals", f"WITH {RIGHTS} SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(DISTINCT role_name) AS BIGINT) AS roles FROM rights WHERE object_name = 'Nation.3'")
+def role_right_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refs.right_totals(Tables(spark, sf_dir).role_rights(), "Nation.3")
+
+
+@query("section_offset_page", f"WITH {USAGES} SELECT * FROM usages WHERE object_ref = 'Part.5' ORDER BY file_path, line, usage_kind LIMIT 10 OFFSET 5")
+def section_offset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refs.section(Tables(spark, sf_dir).code_usages(), "Part.5", 10, 5)
+
+
+@query("object_profile", f"WITH {LINKS}, {USAGES} SELECT 'Part.' || p_partkey AS full_name, CAST(coalesce(l.n, 0) AS BIGINT) AS n_data_links, CAST(coalesce(u.n, 0) AS BIGINT) AS n_usages FROM part LEFT JOIN (SELECT to_object, count(*) AS n FROM links GROUP BY 1) l ON l.to_object = 'Part.' || p_partkey LEFT JOIN (SELECT object_ref, count(*) AS n FROM usages GROUP BY 1) u ON u.object_ref = 'Part.' || p_partkey")
+def object_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    objects = t.raw("part").select(key("Part.", "p_partkey").alias("full_name"))
+    parts = {"data_links": t.data_links().select(F.col("to_object").alias("full_name")), "usages": t.code_usages().select(F.col("object_ref").alias("full_name"))}
+    return refs.profiles(objects, parts)
+
+
+@query("object_structure", "SELECT 'Event.' || event_id AS full_name, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(1 AS BIGINT) AS n_tags FROM events")
+def object_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    described = F.concat(F.lit('{"tags":['), "props", F.lit("]}"))
+    rows = Tables(spark, sf_dir).raw("events").select(key("Event.", "event_id").alias("full_name"), described.alias("attributes_json"))
+    return refs.structure(rows, "tags array<struct<k:bigint>>", ["tags"]).select("full_name", F.col("tags")[0]["k"].alias("k"), "n_tags")
+
+
+def _forms(t: Tables) -> DataFrame:
+    entry = F.struct(F.col("event_type").alias("event"), key("on_", "event_id").alias("handler"), F.when(F.col("event_id") % 3 > 0, key("field", "event_id")).alias("element"))
+    rows = t.raw("events").select(key("User.", "user_id").alias("owner_full_name"), key("Form", "event_id").alias("_f"), F.concat(F.lit("Form"), (F.col("event_id") % 2).cast("string")).alias("form_name"), entry.alias("e"))
+    return rows.groupBy("owner_full_name", "form_name").agg(F.to_json(F.collect_list("e")).alias("handlers_json"))
+
+
+@query("form_handlers", "SELECT 'Form' || (event_id % 2) AS form_name, event_type AS event, 'on_' || event_id AS handler, CASE WHEN event_id % 3 > 0 THEN 'field' || event_id END AS element FROM events WHERE user_id = 7 AND event_id % 2 = 1")
+def form_handlers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refs.form_handlers(_forms(Tables(spark, sf_dir)), "User.7", "Form1")
+
+
+@query("form_handlers_folded", "SELECT 'Form' || (event_id % 2) AS form_name, CAST(count(*) FILTER (event_id % 3 = 0) AS BIGINT) AS form_level, CAST(count(*) FILTER (event_id % 3 > 0) AS BIGINT) AS elements FROM events WHERE user_id = 7 GROUP BY 1")
+def form_handlers_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refs.folded_handlers(refs.form_handlers(_forms(Tables(spark, sf_dir)), "User.7"))
+
+
+@query("form_callers", "SELECT 'on_8' AS name, 'Form0' AS form_name, event_type AS event, false AS ambiguous FROM events WHERE event_id = 8")
+def form_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    functions = t.raw("events").select(key("on_", "event_id").alias("name"))
+    return refs.form_callers(functions, _forms(t), "on_8")
+
+
+@query("event_subscriptions", "WITH s AS (SELECT 'sub' || event_id AS name, event_type AS event, 'Module' || (user_id % 5) AS handler_module, 'Document.T' || (event_id % 9) AS source FROM events), f AS (SELECT * FROM s WHERE event = 'click' AND lower(source) = 'document.t4') SELECT name, event, handler_module, (SELECT CAST(count(*) AS BIGINT) FROM f) AS total FROM f ORDER BY name LIMIT 50")
+def event_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = F.to_json(F.array(F.concat(F.lit("DocumentObject.T"), (F.col("event_id") % 9).cast("string"))))
+    rows = Tables(spark, sf_dir).raw("events").select(key("sub", "event_id").alias("name"), F.col("event_type").alias("event"), F.concat(F.lit("Module"), (F.col("user_id") % 5).cast("string")).alias("handler_module"), source.alias("sources_json"))
+    return refs.subscriptions(rows, event="click", source="document.t4").drop("sources_json")
+
+
+@query("merged_structure", "SELECT object, field, arg_min(type, pr * 1000000 + CAST(src AS BIGINT)) AS type, CAST(arg_min(src, pr * 1000000 + CAST(src AS BIGINT)) AS VARCHAR) AS source FROM (SELECT 'O' || o_custkey AS object, o_orderstatus AS field, o_orderpriority AS type, o_orderkey % 3 AS pr, o_orderkey AS src FROM orders) GROUP BY object, field")
+def merged_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = Tables(spark, sf_dir).raw("orders").select(key("O", "o_custkey").alias("object"), F.col("o_orderstatus").alias("field"), F.col("o_orderpriority").alias("type"), (F.col("o_orderkey") % 3).alias("priority"), F.col("o_orderkey").alias("source"))
+    return refs.merged_structure(rows).withColumn("source", F.col("source").cast("string"))
+
+
+# ---- derived layer
+
+
+def _exports(t: Tables) -> DataFrame:
+    path = F.concat(key("src/", "s_nationkey"), F.lit("/CommonModules/M"), (F.col("s_suppkey") % 7).cast("string"), F.lit(".mod"))
+    return t.raw("supplier").select(path.alias("path"), F.concat(F.lit("proc"), (F.col("s_suppkey") % 61).cast("string")).alias("name"))
+
+
+@query("unique_export", f"WITH {EXPORTS} SELECT name, min(path) AS path FROM exports GROUP BY name HAVING count(*) = 1")
+def unique_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.unique_exports(_exports(Tables(spark, sf_dir)))
+
+
+@query("exported_procs", "SELECT 'CommonModules/M' || s_nationkey || '/Module.mod' AS path, s_name AS name, 'common' AS kind, 'M' || s_nationkey AS owner FROM supplier WHERE s_suppkey % 2 = 0")
+def exported_procs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(key("CommonModules/M", "s_nationkey"), F.lit("/Module.mod"))
+    args = F.when(F.col("s_suppkey") % 2 == 0, "(a, b) Export").otherwise("(a, b)")
+    return derive.exported(Tables(spark, sf_dir).raw("supplier").select(path.alias("path"), F.col("s_name").alias("name"), args.alias("args")))
+
+
+EDGES = """e AS (SELECT DISTINCT 'src/' || (l_suppkey % 25) || '/CommonModules/M' || (l_partkey % 7) || '.mod' AS path, 'main' AS caller,
+ CASE WHEN l_linenumber = 1 THEN 'proc' || (l_partkey % 80) WHEN l_linenumber = 2 THEN 'M' || (l_partkey % 9) || '.proc' || (l_suppkey % 61) WHEN l_linenumber = 3 THEN 'Items.I' || (l_partkey % 5) || '.proc' || (l_suppkey % 61) WHEN l_linenumber = 4 THEN 'array.Add' ELSE 'Print' END AS callee FROM lineitem)"""
+RESOLVED = f"""{EXPORTS}, {EDGES}, m AS (SELECT DISTINCT regexp_extract(path, 'M\\d+') AS module, path FROM exports), c AS (SELECT DISTINCT 'Items' AS collection, 'I' || regexp_extract(path, 'src/(\\d+)/', 1) AS object, path FROM exports),
+ r AS (SELECT e.path, caller, e.callee, coalesce(a.k, b.k, d.k, f.k) AS callee_key FROM e
+ LEFT JOIN (SELECT DISTINCT path, name, path || '::' || name AS k FROM exports) a ON a.path = e.path AND a.name = e.callee
+ LEFT JOIN (SELECT name, min(path) || '::' || name AS k FROM exports GROUP BY name HAVING count(*) = 1) b ON b.name = e.callee
+ LEFT JOIN (SELECT module || '.' || name AS n, min(exports.path || '::' || name) AS k FROM exports JOIN m ON m.path = exports.path GROUP BY 1) d ON d.n = e.callee
+ LEFT JOIN (SELECT collection || '.' || object || '.' || name AS n, min(exports.path || '::' || name) AS k FROM exports JOIN c ON c.path = exports.path GROUP BY 1) f ON f.n = e.callee)"""
+
+
+def _resolved(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    part = lambda c, n: (F.col(c) % n).cast("string")
+    path = F.concat(F.lit("src/"), part("l_suppkey", 25), F.lit("/CommonModules/M"), part("l_partkey", 7), F.lit(".mod"))
+    proc = F.concat(F.lit("proc"), part("l_suppkey", 61))
+    line = F.col("l_linenumber")
+    callee = (
+        F.when(line == 1, F.concat(F.lit("proc"), part("l_partkey", 80)))
+        .when(line == 2, F.concat(F.lit("M"), part("l_partkey", 9), F.lit("."), proc))
+        .when(line == 3, F.concat(F.lit("Items.I"), part("l_partkey", 5), F.lit("."), proc))
+        .when(line == 4, "array.Add")
+        .otherwise("Print")
+    )
+    edges = t.raw("lineitem").select(path.alias("path"), F.lit("main").alias("caller"), callee.alias("callee")).distinct()
+    exports = _exports(t)
+    modules = exports.select(F.regexp_extract("path", r"M\d+", 0).alias("module"), "path").distinct()
+    collections = exports.select(F.lit("Items").alias("collection"), F.concat(F.lit("I"), F.regexp_extract("path", r"src/(\d+)/", 1)).alias("object"), "path").distinct()
+    return derive.resolve_callees(edges, exports, exports, modules, collections), exports, modules, collections
+
+
+@query("callee_resolution", f"WITH {RESOLVED} SELECT * FROM r")
+def callee_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(Tables(spark, sf_dir))[0]
+
+
+@query("prune_unresolved", f"WITH {RESOLVED}, p AS (SELECT * FROM r WHERE NOT (callee_key IS NULL AND callee IN ('Print', 'array.Add'))) SELECT * FROM p WHERE NOT (callee_key IS NULL AND callee LIKE '%.%' AND split_part(callee, '.', 1) NOT IN (SELECT module FROM m) AND (callee LIKE '%.%.%' OR split_part(callee, '.', 1) <> 'Items'))")
+def prune_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, exports, modules, collections = _resolved(Tables(spark, sf_dir))
+    return derive.prune_methods(derive.prune_ballast(edges, ["Print", "Add"], exports), modules, collections)
+
+
+@query("call_graph_build", f"WITH {CALLS} SELECT DISTINCT * FROM (SELECT 'f' || file_id || '::' || caller AS caller_key, callee AS callee_name, 'direct' AS call_type FROM calls UNION ALL SELECT 'event::' || event_type, 'Mod.on_' || event_type, 'subscription' FROM events UNION ALL SELECT 'form::User.' || user_id || '::F::' || event_type, 'User.' || user_id || '::F::on_' || event_type, 'form_event' FROM events UNION ALL SELECT s_name, 'ext_' || s_name, 'extension_override' FROM supplier)")
+def call_graph_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    handler = F.concat(F.lit("on_"), "event_type")
+    events = t.raw("events")
+    return derive.call_graph(
+        t.calls().select(key("f", "file_id").alias("path"), "caller", "callee"),
+        events.select(F.col("event_type").alias("event"), F.lit("Mod").alias("handler_module"), handler.alias("handler_proc")),
+        events.select(key("User.", "user_id").alias("owner"), F.lit("F").alias("form"), F.col("event_type").alias("event"), handler.alias("handler")),
+        t.raw("supplier").select(F.col("s_name").alias("target_key"), F.concat(F.lit("ext_"), "s_name").alias("name")),
+    )
+
+
+@query("link_targets", "WITH a AS (SELECT DISTINCT 'Nation' || c_nationkey AS object, c_mktsegment AS attribute, 'Customer.' || c_custkey AS target FROM customer), n AS (SELECT object, attribute, count(*) AS k FROM a GROUP BY 1, 2) SELECT DISTINCT a.object, a.attribute, CASE WHEN k > 30 THEN '*Multiple' ELSE target END AS target FROM a JOIN n ON n.object = a.object AND n.attribute = a.attribute")
+def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = Tables(spark, sf_dir).raw("customer").select(key("Nation", "c_nationkey").alias("object"), F.col("c_mktsegment").alias("attribute"), key("cfg:CustomerRef.", "c_custkey").alias("type"))
+    return derive.link_targets(rows)
+
+
+@query("code_usage_extraction", r"""WITH t AS (SELECT l_orderkey AS path, CAST(l_linenumber AS BIGINT) AS line, l_partkey % 50 AS p FROM lineitem) SELECT path, line, 'manager' AS usage_kind, 'Catalogs.P' || p AS object_ref FROM t UNION ALL SELECT path, line, 'ref_type', 'CatalogRef.Q' || p FROM t UNION ALL SELECT path, line, 'query', 'Catalog.R' || p FROM t""")
+def code_usage_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = (F.col("l_partkey") % 50).cast("string")
+    line = F.concat(F.lit("x = Catalogs.P"), p, F.lit('.Find(); t = Type("CatalogRef.Q'), p, F.lit('"); q = "SELECT 1 FROM Catalog.R'), p, F.lit('"; // Catalogs.Gone'))
+    rows = Tables(spark, sf_dir).raw("lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").cast("long").alias("line"), line.alias("text"))
+    return derive.code_usages(rows, ["Catalogs", "Documents"], ["Catalog", "Document"])
+
+
+@query("term_split_build", "SELECT p_partkey AS id, array_to_string(list_distinct_ordered, ', ') AS terms FROM (SELECT p_partkey, list_reduce(list_transform(string_split('get part ' || replace(lower(p_name), ' ', ' ') || ' v 2', ' '), lambda x: [x]), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END) AS list_distinct_ordered FROM part)")
+def term_split_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("getPart_"), F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")), F.lit("V2"))
+    return Tables(spark, sf_dir).raw("part").select(F.col("p_partkey").alias("id"), text.terms(text.identifier_words(name)).alias("terms"))
+
+
+@query("html_links", "SELECT page_id, CAST(len(regexp_extract_all(html, '<a href=\"[^\"]+\"')) AS BIGINT) AS links FROM pages WHERE len(regexp_extract_all(html, '<a href=\"[^\"]+\"')) > 0")
+def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _page_entities(spark, sf_dir).filter("entity = 'import' AND kind = 'link'")
+    return rows.groupBy(F.col("path").cast("long").alias("page_id")).agg(F.count("*").alias("links"))
+
+
+def _page_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = Tables(spark, sf_dir).raw("pages")
+    return extract.extract(pages.select(F.col("page_id").cast("string").alias("path"), F.lit("html").alias("language"), F.col("html").alias("content")))
+
+
+@query("html_entities")
+def html_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _page_entities(spark, sf_dir).select("path", "entity", "name", "line_start", "detail", "kind", "node_hash")
+
+
+@query("line_counts", f"WITH {FILES} SELECT file_id, lines_total FROM files")
+def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Tables(spark, sf_dir).files().select("file_id", "lines_total")
+
+
+# ---- merges and streams
+
+
+@query("upsert_latest", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1")
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.latest(Tables(spark, sf_dir).raw("orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("upsert_files", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE lang END AS lang FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")
+def upsert_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = Tables(spark, sf_dir).raw("documents").select("doc_id", "lang")
+    return merge.upsert(docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 3 = 0").withColumn("lang", F.lit("new")), ["doc_id"])
+
+
+@query("insert_ignore", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'new' END AS lang FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")
+def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = Tables(spark, sf_dir).raw("documents").select("doc_id", "lang")
+    return merge.insert_missing(docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 3 = 0").withColumn("lang", F.lit("new")), ["doc_id"])
+
+
+@query("delete_cascade", f"WITH {CALLS} SELECT * FROM calls WHERE file_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    return merge.delete_keys(t.calls(), t.raw("orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("file_id")), ["file_id"]).select("caller", "callee", "line", "file_id")
+
+
+@query("delete_prefix", f"WITH {FILES} SELECT path FROM files WHERE NOT starts_with(path, 'src1/')")
+def delete_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.delete_prefix(Tables(spark, sf_dir).files().select("path"), "src1/")
+
+
+@query("manifest_reconcile", "SELECT c_name AS full_name, CASE c_custkey % 5 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' WHEN 2 THEN 'updated' ELSE 'kept' END AS state FROM customer")
+def manifest_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = Tables(spark, sf_dir).raw("customer").select(F.col("c_name").alias("full_name"), F.col("c_mktsegment").alias("config_version"), (F.col("c_custkey") % 5).alias("r"))
+    declared = rows.filter("r <> 1").withColumn("config_version", F.when(F.col("r") == 2, "next").otherwise(F.col("config_version")))
+    return merge.reconcile(rows.filter("r <> 0").drop("r"), declared.drop("r"))
+
+
+@query("edge_delta", f"WITH {CALLS} SELECT 'added' AS delta, caller, callee FROM (SELECT DISTINCT caller, callee FROM calls WHERE line <= 3 EXCEPT SELECT caller, callee FROM calls WHERE line >= 2) UNION ALL SELECT 'gone', caller, callee FROM (SELECT DISTINCT caller, callee FROM calls WHERE line >= 2 EXCEPT SELECT caller, callee FROM calls WHERE line <= 3)")
+def edge_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = Tables(spark, sf_dir).calls()
+    new, old = (calls.filter(c).select("caller", "callee").distinct() for c in ("line <= 3", "line >= 2"))
+    added, gone = merge.edge_delta(old, new)
+    return added.select(F.lit("added").alias("delta"), "caller", "callee").union(gone.select(F.lit("gone"), "caller", "callee"))
+
+
+@query("session_dedupe", "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 3 <> 0")
+def session_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = Tables(spark, sf_dir).raw("supplier").select("s_suppkey", "s_name")
+    mark = F.xxhash64(F.to_json(F.struct("s_suppkey", "s_name"), {"ignoreNullFields": "false"}))
+    sent = rows.filter("s_suppkey % 3 = 0").select(F.lit("tool|repo").alias("scope"), mark.alias("row_hash"))
+    return merge.fresh_rows(rows, sent, "tool|repo")
+
+
+@query("page_by_bytes", "WITH p AS (SELECT c_custkey, c_name, CAST(sum(strlen(c_name) + 1) OVER (ORDER BY c_custkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM customer) SELECT * FROM p WHERE used <= 3000")
+def page_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paging.page_by_bytes(Tables(spark, sf_dir).raw("customer").select("c_custkey", "c_name"), ["c_custkey"], "c_name", 5000)
+
+
+@query("page_with_probe", "SELECT c_custkey, c_name, (SELECT count(*) FROM customer) > 30 AS has_more FROM customer ORDER BY c_custkey LIMIT 20 OFFSET 10")
+def page_with_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paging.page(Tables(spark, sf_dir).raw("customer").select("c_custkey", "c_name"), ["c_custkey"], 20, 10)
+
+
+@query(
+    "debounce_sessions",
+    """WITH a AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 2 HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type, props)),
+    b AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_type, props) AS BIGINT) AS batch FROM a),
+    c AS (SELECT *, min(ts) OVER (PARTITION BY user_id, batch) AS started, max(ts) OVER (PARTITION BY user_id, batch) AS ended, row_number() OVER (PARTITION BY user_id, batch, event_type ORDER BY ts DESC, props DESC) AS n FROM b)
+    SELECT user_id, batch, CAST(0 AS BIGINT) AS part, started, ended, event_type AS path, props AS kind FROM c WHERE n = 1""",
+)
+def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debounce.batches(Tables(spark, sf_dir).raw("events"), ["user_id"], 7200, path="event_type", kind="props")
+
+
+@query("event_sessions", "WITH a AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 2 HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a) SELECT user_id, min(ts) AS started, max(ts) AS ended, CAST(count(*) AS BIGINT) AS events FROM b GROUP BY user_id, s")
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debounce.sessions(Tables(spark, sf_dir).raw("events"), "user_id", "2 hours")
+
+
+@query("event_debounce_stream")
+def event_debounce_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a file stream of changes (event type as path), applied batch by batch; gives the final table."""
+    from orrery.session import settled, shared_folder
+
+    t = Tables(spark, sf_dir)
+    changes = t.raw("events").select(F.concat_ws("/", key("u", "user_id"), "event_type").alias("path"), F.when(F.col("value") > 90, "Deleted").otherwise("Modified").alias("kind"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    work = settled(changes, "stream-in")
+    folder = work.inputFiles()[0].rsplit("/", 1)[0]
+    empty = changes.select("path", "event_id").limit(0)
+    state = {"table": settled(empty, "stream-table")}
+
+    def write(table: DataFrame, number: int) -> None:
+        state["table"] = settled(table, f"stream-table-{number}")
+
+    def contents(batch: DataFrame) -> DataFrame:
+        return merge.latest(batch, ["path"], ["ts", "kind", "event_id"]).select("path", "event_id")
+
+    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", "4").parquet(folder)
+    debounce.maintain(stream, lambda: state["table"], write, contents, f"{shared_folder(spark)}/stream-{abs(hash(folder))}").awaitTermination()
+    return state["table"]
+
+
+# ---- guarded SQL: the same text runs in both engines
+
+
+def _sql(name: str, sql: str, oracle: str | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return guard.query(Tables(spark, sf_dir).views(), sql)
+
+    query(name, oracle or sql)(run)
+
+
+_sql("sql_guard_select", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey -- regions\nWHERE r_name LIKE 'A%'")
+_sql("inner_join_group", "SELECT n_name, CAST(count(*) AS BIGINT) AS customers, CAST(round(sum(c_acctbal), 2) AS DOUBLE) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+_sql("left_outer", "SELECT c_custkey, CAST(count(o_orderkey) AS BIGINT) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+_sql("right_outer", "SELECT n_name, s_name FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 5000")
+_sql("full_outer", "SELECT s_suppkey, c_custkey FROM (SELECT * FROM supplier WHERE s_suppkey < 50) s FULL OUTER JOIN (SELECT * FROM customer WHERE c_custkey BETWEEN 30 AND 80) c ON s_suppkey = c_custkey")
+_sql("cross_join", "SELECT r_name, n_name FROM region CROSS JOIN nation WHERE r_regionkey <> n_regionkey")
+_sql("natural_join", "SELECT a.k, x, y FROM (SELECT n_nationkey AS k, n_name AS x FROM nation) a NATURAL JOIN (SELECT r_regionkey AS k, r_name AS y FROM region) b")
+_sql("join_using", "SELECT k, x, y FROM (SELECT n_regionkey AS k, n_name AS x FROM nation) a JOIN (SELECT r_regionkey AS k, r_name AS y FROM region) b USING (k)")
+_sql("theta_join", "SELECT a.n_name AS n1, b.n_name AS n2 FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+_sql("semi_join_exists", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)")
+_sql("anti_join_not_exists", "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)")
+_sql("in_subquery", "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
+_sql("not_in_subquery", "SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
+_sql("scalar_subquery", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer)")
+_sql("correlated_min", "SELECT p_partkey, (SELECT min(l_orderkey) FROM lineitem WHERE l_partkey = p_partkey) AS first_order FROM part")
+_sql("union_all", "SELECT s_name AS name FROM supplier UNION ALL SELECT n_name FROM nation")
+_sql("union_distinct", "SELECT c_mktsegment AS v FROM customer UNION SELECT o_orderpriority FROM orders")
+_sql("intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+_sql("except_distinct", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_discount > 0.09 AND l_quantity > 45")
+_sql("distinct_rows", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
+_sql("group_having", "SELECT l_suppkey, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY l_suppkey HAVING count(*) > 50")
+_sql("aggregate_filter", "SELECT l_returnflag, CAST(count(*) FILTER (WHERE l_quantity > 25) AS BIGINT) AS large, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS suppliers, CAST(min(l_quantity) AS DOUBLE) AS least, CAST(max(l_quantity) AS DOUBLE) AS most FROM lineitem GROUP BY l_returnflag")
+_sql("group_concat", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+_sql("total_of_none", "SELECT coalesce(sum(CAST(c_acctbal AS DOUBLE)), 0.0D) AS total FROM customer WHERE c_custkey < 0", "SELECT CAST(coalesce(sum(c_acctbal), 0) AS DOUBLE) AS total FROM customer WHERE c_custkey < 0")
+_sql("window_rank", "SELECT o_orderkey, CAST(row_number() OVER w AS BIGINT) AS rn, CAST(rank() OVER p AS BIGINT) AS rk, CAST(dense_rank() OVER p AS BIGINT) AS dr, CAST(ntile(4) OVER w AS BIGINT) AS q FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), p AS (PARTITION BY o_custkey ORDER BY o_orderpriority)")
+_sql("window_distribution", "SELECT s_suppkey, round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey)")
+_sql("window_analytic", "SELECT o_orderkey, lag(o_orderkey) OVER w AS prev, lead(o_orderkey) OVER w AS next, first_value(o_orderkey) OVER w AS first, CAST(nth_value(o_orderkey, 2) OVER w AS BIGINT) AS second FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+_sql("window_frame", "SELECT o_orderkey, CAST(count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS n3, CAST(max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS DOUBLE) AS near, CAST(count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 1000 PRECEDING AND CURRENT ROW) AS BIGINT) AS recent FROM orders")
+_sql("recursive_cte", "WITH RECURSIVE r(n, total) AS (SELECT 1, 1 UNION ALL SELECT n + 1, total + n + 1 FROM r WHERE n < 50) SELECT CAST(n AS BIGINT) AS n, CAST(total AS BIGINT) AS total FROM r")
+_sql("cte_reuse", "WITH t AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT CAST(a.n AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS customers FROM t a JOIN t b ON a.o_custkey = b.o_custkey GROUP BY a.n")
+_sql("limit_offset", "SELECT c_custkey, c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 15 OFFSET 5")
+_sql("string_functions", "SELECT s_suppkey, upper(substr(s_name, 1, 4)) AS head, CAST(length(s_name) AS BIGINT) AS n, replace(s_name, '#', '-') AS dashed, CAST(instr(s_name, '#') AS BIGINT) AS at, trim('  x ') || lower(s_name) AS low, hex(s_name) AS hexed FROM supplier")
+_sql("null_conditions", "SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS segment, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal > 5000 THEN 'rich' ELSE 'plain' END AS class, ifnull(CAST(NULL AS VARCHAR(5)), 'x') AS filled FROM customer")
+_sql("json_functions", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k, to_json(named_struct('id', event_id)) AS made FROM events", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_object('id', event_id) AS VARCHAR) AS made FROM events")
+_sql("date_functions", "SELECT o_orderkey, date_format(o_orderdate, 'yyyy-MM') AS month, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(date_diff(o_orderdate, DATE '1992-01-01') AS BIGINT) AS days FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS days FROM orders")
+_sql("integer_division", "SELECT n_nationkey, CAST(n_nationkey div 4 AS BIGINT) AS q, CAST(n_nationkey % 4 AS BIGINT) AS r FROM nation", "SELECT n_nationkey, CAST(n_nationkey // 4 AS BIGINT) AS q, CAST(n_nationkey % 4 AS BIGINT) AS r FROM nation")
+
+
+@query("top_per_group", "SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS n FROM lineitem) WHERE n <= 3")
+def top_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey"))
+    rows = Tables(spark, sf_dir).raw("lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey")
+    return rows.withColumn("n", rank).filter("n <= 3").drop("n", "l_partkey")
