@@ -39,7 +39,7 @@ def scan(spark: SparkSession, root: str, excluded: Iterable[str] = EXCLUDED, glo
     """(path, mtime, file_size, content) below a folder; content is only read if it is selected."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split("://")[-1]
-    path = F.regexp_replace("path", rf"^[a-z0-9]*:?/{{0,2}}[^/]*\\Q{base}\\E/", "")
+    path = F.regexp_replace("path", rf"^[a-z0-9]*:?/{{0,2}}[^/]*\Q{base}\E/", "")
     out = rows.select(path.alias("path"), F.unix_seconds("modificationTime").alias("mtime"), F.col("length").alias("file_size"), "content")
     segments = F.slice(F.split("path", "/"), F.lit(1), F.greatest(F.lit(0), F.size(F.split("path", "/")) - 1))
     out = out.filter(~F.arrays_overlap(segments, F.array(*[F.lit(x) for x in excluded])))
