@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import re
 import struct
 import time
 import uuid
@@ -241,11 +242,18 @@ class MediaArchives(DataSource):
         return _ArchiveWriter(self.options["path"])
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of its file system: a plain path is in the cluster's default one, which workers don't know."""
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)  # type: ignore[union-attr]
+    full = held.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(held).toString()  # type: ignore[union-attr]
+    return re.sub("^file:/+", "file:///", full)
+
+
 def store(docs: DataFrame, text: str = "text", key: str = "doc_id") -> str:
     """Write each row's text as an image into archives of a new folder of the shared one; gives the folder's URI."""
     spark = docs.sparkSession
     spark.dataSource.register(MediaArchives)
-    uri = f"{shared_folder(spark)}/media-{uuid.uuid4().hex}"
+    uri = qualified(spark, f"{shared_folder(spark)}/media-{uuid.uuid4().hex}")
 
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

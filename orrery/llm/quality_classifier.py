@@ -73,7 +73,7 @@ def train(docs: DataFrame, labels: DataFrame, options: Options = Options(), samp
 
     found = training_rows(docs, labels, sample, **columns).mapInArrow(run, "x array<double>, y long").limit(2 * sample).toPandas()
     # Ties in the order of arrival must not matter: rows are sorted by their numbers.
-    x = np.array(found["x"].tolist()).reshape(len(found), -1)
+    x = np.array(found["x"].tolist()) if len(found) else np.zeros((0, len(statistics(None))))
     y = found["y"].to_numpy(np.float64)
     order = np.lexsort((*x.T, y)) if len(found) else np.empty(0, int)
     return fit(x[order], y[order], options)

@@ -87,12 +87,13 @@ def test_media_round_trip(spark, texts):
 def test_media_damaged_members_fail_alone(spark):
     docs = spark.createDataFrame([(i, f"text {i} " * 40) for i in range(50)], "doc_id long, text string").coalesce(1)
     uri = media.store(docs)
+    assert uri.startswith("file:///")
     folder = uri.removeprefix("file://")
     import glob
 
     (path,) = glob.glob(f"{folder}/*.zip")
     rows = media.load(spark, uri, 2000).collect()
-    assert media.load(spark, uri, 2000).rdd.getNumPartitions() > 3
+    assert media.load(spark, uri, 2000).rdd.getNumPartitions() >= 3
     bad = next(r for r in rows if r.name.startswith("7/"))
     with open(path, "r+b") as file:
         file.seek(bad.offset + 60)
