@@ -734,7 +734,7 @@ def event_debounce_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         return merge.latest(batch, ["path"], ["ts", "kind", "event_id"]).select("path", "event_id")
 
     stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", "4").parquet(folder)
-    debounce.maintain(stream, lambda: state["table"], write, contents, f"{shared_folder(spark)}/stream-{abs(hash(folder))}").awaitTermination()
+    debounce.maintain(stream, lambda: state["table"], write, contents, f"{shared_folder(spark)}/stream-{folder.rsplit('-', 1)[-1]}").awaitTermination()
     return state["table"]
 
 

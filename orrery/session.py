@@ -29,8 +29,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: loops over it neither recompute nor depend on executors."""
+    """`df` as a Parquet table in the shared folder: loops over it neither recompute nor depend on executors. The
+    folder has the application's name and can be deleted when that has ended."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/orrery-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
