@@ -42,36 +42,58 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Log frequencies by order: entry -> one value for each language, less their mean."""
+    """Log frequencies, less their mean over the languages: for each order a row number of each entry, and the rows."""
 
     languages: list[str]
     prior: np.ndarray
-    tables: dict[int, dict[str, np.ndarray]] = field(default_factory=dict)
+    rows: np.ndarray
+    tables: dict[int, dict[str, int]] = field(default_factory=dict)
 
-    def word(self, word: str) -> np.ndarray:
-        known = self.tables[0].get(word)
-        if known is not None:
-            return known
+    def backoff(self, word: str) -> list[int]:
+        """Rows of the n-grams of an unseen word: of the longest order of which any is known."""
         for n in ORDERS:
             table = self.tables[n]
-            found = [v for g in grams(word, n) if (v := table.get(g)) is not None]
+            found = [k for g in grams(word, n) if (k := table.get(g)) is not None]
             if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.languages))
+                return found
+        return []
+
+    def total(self, found: list[str]) -> np.ndarray:
+        """Sum over words: a known word's row, or else the mean of its n-grams' rows; and the prior."""
+        at = list(map(self.tables[0].get, found))
+        out = self.prior + self.rows[[k for k in at if k is not None]].sum(axis=0, dtype=np.float64)
+        ids: list[int] = []
+        sizes: list[int] = []
+        for word, k in zip(found, at, strict=True):
+            if k is None and (own := self.backoff(word)):
+                ids += own
+                sizes.append(len(own))
+        if ids:
+            weight = np.repeat(1.0 / np.array(sizes), sizes)
+            out = out + weight @ self.rows[ids]
+        return out
 
 
 def build(counts: list[tuple[str, int, str, int]]) -> Model:
     """From (language, order, entry, count) rows; document counts have order -1. Add-one-half smoothing."""
     languages = sorted({r[0] for r in counts})
     place = {x: i for i, x in enumerate(languages)}
-    held: dict[int, dict[str, np.ndarray]] = {n: {} for n in (-1, 0, *ORDERS)}
+    tables: dict[int, dict[str, int]] = {n: {} for n in (-1, 0, *ORDERS)}
+    size = 0
+    for _, order, entry, _ in counts:
+        if entry not in tables[order]:
+            tables[order][entry] = size
+            size += 1
+    rows = np.full((size, max(1, len(languages))), 0.5)
     for language, order, entry, count in counts:
-        held[order].setdefault(entry, np.full(len(languages), 0.5))[place[language]] += count
-    model = Model(languages, np.log(sum(held[-1].values()) / np.sum(list(held[-1].values()))) if languages else np.empty(0))
+        rows[tables[order][entry], place[language]] += count
+    prior = np.log(rows[tables[-1][""]] / rows[tables[-1][""]].sum()) if languages else np.empty(0)
     for order in (0, *ORDERS):
-        total = sum(held[order].values()) if held[order] else 1.0
-        model.tables[order] = {k: (v := np.log(c / total)) - v.mean() for k, c in held[order].items()}
-    return model
+        own = list(tables[order].values())
+        if own:
+            logs = np.log(rows[own] / rows[own].sum(axis=0))
+            rows[own] = logs - logs.mean(axis=1, keepdims=True)
+    return Model(languages, prior, rows.astype(np.float32), tables)
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
@@ -108,26 +130,6 @@ def train(docs: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES, text: s
     return build([(r["lang"], r["n"], r["entry"], r["count"]) for r in kept.drop("_rank").collect()])
 
 
-class _Scores(dict):
-    """Row of each word in a table that grows to a bound and then starts anew between texts."""
-
-    def __init__(self, model: Model, size: int = 300_000) -> None:
-        super().__init__()
-        self.model, self.size, self.rows = model, size, np.zeros((size, max(1, len(model.languages))), np.float32)
-
-    def __missing__(self, word: str) -> int:
-        if len(self) == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self[word] = at = len(self)
-        self.rows[at] = self.model.word(word)
-        return at
-
-    def trim(self) -> None:
-        if len(self) >= self.size * 9 // 10:
-            self.clear()
-            self.rows = self.rows[: self.size]
-
-
 def identify(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row; score is the probability of the predicted language.
 
@@ -136,7 +138,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = _Scores(model)
         for batch in batches:
             predicted, certain = [], []
             for value in batch.column(2).to_pylist():
@@ -145,9 +146,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_
                     predicted.append(UNKNOWN)
                     certain.append(0.0)
                     continue
-                scores.trim()
-                at = np.fromiter(map(scores.__getitem__, found), np.int64, len(found))
-                total = scores.rows[at].sum(axis=0, dtype=np.float64) + model.prior
+                total = model.total(found)
                 chance = np.exp(total - total.max())
                 best = int(chance.argmax())
                 predicted.append(model.languages[best])

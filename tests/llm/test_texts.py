@@ -181,7 +181,7 @@ def test_language_id_backoff_and_edges(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
     model = language_id.train(docs)
     assert model.languages == ["de", "en"]
-    assert model.word("schlafender").argmax() == 0 and "schlafender" not in model.tables[0]
+    assert model.total(["schlafender"]).argmax() == 0 and "schlafender" not in model.tables[0] and model.backoff("qqqqq") == []
     got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs, model).collect()}
     assert got[0][0] == "en" and got[100][0] == "de" and got[300] == got[301] == ("und", 0.0)
     empty = language_id.train(docs.limit(0))
