@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .shared import shared_folder
+from .shared import own_folder
 
 #: Pixels of a row; payloads are padded with spaces to whole rows.
 WIDTH = 192
@@ -253,7 +253,7 @@ def store(docs: DataFrame, text: str = "text", key: str = "doc_id") -> str:
     """Write each row's text as an image into archives of a new folder of the shared one; gives the folder's URI."""
     spark = docs.sparkSession
     spark.dataSource.register(MediaArchives)
-    uri = qualified(spark, f"{shared_folder(spark)}/media-{uuid.uuid4().hex}")
+    uri = qualified(spark, f"{own_folder(spark)}/media-{uuid.uuid4().hex}")
 
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, let, words_of
+from .shared import SPACE, clear_name, isolated, let, words_of
 
 #: Frequent function words of the languages that are expected.
 STOP_WORDS = (
@@ -47,6 +47,10 @@ RULES = (
 )
 
 
+#: Counts of a text, in the order of the struct.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bullets", "n_ellipses", "n_stop_words", "n_letters", "n_upper", "n_exclaim")
+
+
 def _count_of(text: Column, kept: str) -> Column:
     """Number of characters of a class: what is left when runs of others are removed."""
     return F.length(F.regexp_replace(text, f"[^{kept}]+", "")).cast("long")
@@ -109,10 +113,13 @@ def verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text
     """All columns of `docs` and `quality`, a struct of the counts, base_failed, failed (names of rules) and kept.
 
     Null and empty texts have counts of zero and fail the base rule. Repeated rows are judged one by
-    one. A column of `docs` named `quality` is replaced only in the result of this call's own name:
-    callers that hold such a column rename it first.
+    one. If `docs` has a column of that name, the new one gets a leading underscore.
     """
-    m = F.col("_measures")
+    return docs.withColumn(clear_name(docs, "quality"), let(measures(F.col(text)), lambda m: _judged(m, rules)))
+
+
+def _judged(m: Column, rules: tuple[Rule, ...]) -> Column:
+    """The measures and the verdict. One expression: a filter on it that Spark moves down computes the measures once."""
 
     def value(rule: Rule) -> Column:
         top, _, bottom = rule.measure.partition(" / ")
@@ -124,13 +131,10 @@ def verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text
 
     base = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
     failed = F.array_compact(F.array(F.when(base, F.lit("base")), *[F.when(broken(r), F.lit(r.name)) for r in rules]))
-    out = docs.withColumn("_measures", measures(F.col(text)))
-    out = out.withColumn("quality", m.withField("base_failed", base).withField("failed", failed))
-    return out.drop("_measures").withColumn("quality", F.col("quality").withField("kept", F.size("quality.failed") == 0))
+    return let(failed, lambda f: F.struct(*[m[c].alias(c) for c in MEASURES], base.alias("base_failed"), f.alias("failed"), (F.size(f) == 0).alias("kept")))
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of `docs` that break no rule, with the columns that `docs` has."""
-    own = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
-    safe = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in own.items()])
+    safe, own = isolated(docs)
     return verdicts(safe, rules, own["text"]).filter("quality.kept").select(*[F.col(a).alias(c) for c, a in own.items()])

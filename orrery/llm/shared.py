@@ -39,13 +39,18 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder: all that it leaves can be deleted with it when the application has ended."""
+    return f"{shared_folder(spark)}/orrery-{spark.sparkContext.applicationId}"
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """`df` written as a Parquet table in the shared folder and read back: lineage ends here.
 
     Lost executors cost nothing: the files are shared, and a failed write task is simply run again.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -85,6 +90,12 @@ def clear_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def isolated(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with its columns under names of our own, and those names: helper columns can't clash with them."""
+    own = {c: f"_own_{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(a) for c, a in own.items()]), own
+
+
 def crc_fold(column: Column, parts: int) -> Column:
     """crc32 of a value as text, modulo `parts`: which fold a row is in."""
     return F.crc32(column.cast(T.StringType()).cast(T.BinaryType())) % parts
