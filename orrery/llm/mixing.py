@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import clear_name, ranked, settled
+from .shared import clear_name, isolated, ranked, settled
 
 #: Production parameters.
 BLOCK_CHARS = 65_536
@@ -76,30 +76,29 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source
     new column are kept and the new ones get leading underscores.
     """
     names = {c: clear_name(docs, c) for c in ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place")}
-    helper = {c: clear_name(docs, c) for c in ("_chars", "_hash", "_before")}
-    sized = docs.withColumns({helper["_chars"]: F.coalesce(F.length(text), F.lit(0)).cast("long"), helper["_hash"]: F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    narrow = docs.select(F.col(source).alias("source"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("chars"))
-    found = shares(narrow, "source", "chars")
+    safe, own = isolated(docs)
+    source, text, key = own[source], own[text], own[key]
+    chars = F.coalesce(F.length(text), F.lit(0)).cast("long")
+    found = shares(safe.select(F.col(source).alias("source"), chars.alias("chars")), "source", "chars")
     if weights is not None:
         least = weights.agg(F.min("share").alias("least"))
         given = found.select("source").join(weights.select(F.col("source").alias("_s"), F.col("share").cast("double").alias("_w")), F.col("source").eqNullSafe(F.col("_s")), "left")
         found = given.join(F.broadcast(least)).select("source", F.coalesce("_w", "least", F.lit(1.0)).alias("share"))
-    rows = docs.select(F.lit(1)).count()
-    placed = ranked(sized, [source], [key, helper["_hash"]], F.col(helper["_chars"]), helper["_before"], rows)
+    sized = safe.withColumns({"_chars": chars, "_hash": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    placed = ranked(sized, [source], [key, "_hash"], F.col("_chars"), "_before", docs.select(F.lit(1)).count())
     table = settled(timetable(found, period), "mix-table").select(*[F.col(c).alias(f"_t_{c}") for c in ("source", "ordinal", "quota", "slots", "release", "deadline", "slot")])
     quotas = table.select(F.col("_t_source").alias("_q_source"), F.col("_t_quota").alias("_q_quota")).distinct()
-    block = F.floor(F.col(helper["_before"]) / block_chars)
-    out = placed.withColumn(names["mix_block"], block.cast("long"))
+    out = placed.withColumn("_block", F.floor(F.col("_before") / block_chars).cast("long"))
     # Both sides of these joins have at most `slots` rows: the period is a parameter.
     out = out.join(F.broadcast(quotas), F.col(source).eqNullSafe(F.col("_q_source")))
-    own = F.col(source).eqNullSafe(F.col("_t_source")) & ((F.col(names["mix_block"]) % F.col("_q_quota")).cast("int") == F.col("_t_ordinal"))
-    out = out.join(F.broadcast(table), own)
-    lap = F.floor(F.col(names["mix_block"]) / F.col("_t_quota")) * F.col("_t_slots")
+    own_slot = F.col(source).eqNullSafe(F.col("_t_source")) & ((F.col("_block") % F.col("_q_quota")).cast("int") == F.col("_t_ordinal"))
+    out = out.join(F.broadcast(table), own_slot)
+    lap = F.floor(F.col("_block") / F.col("_t_quota")) * F.col("_t_slots")
     return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.col(names["mix_block"]),
+        *[F.col(a).alias(c) for c, a in own.items()],
+        F.col("_block").alias(names["mix_block"]),
         *[(lap + F.col(f"_t_{c}")).cast("long").alias(names[f"mix_{c}"]) for c in ("release", "deadline", "slot")],
-        (F.col(helper["_before"]) % block_chars).alias(names["mix_place"]),
+        (F.col("_before") % block_chars).alias(names["mix_place"]),
     )
 
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded, let, settled
+from .shared import bounded, clear_name, isolated, let, settled
 
 #: Kinds in output order, with the pattern, a cheap test that holds for every text with a valid match, and the tag that
 #: replaces one. Possessive forms of the stated patterns: they match the same, without recursion or quadratic time.
@@ -146,26 +146,28 @@ def _term_spans(text: Column, terms: Column) -> Column:
 def detect(docs: DataFrame, rule: Disclosure = Disclosure(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """All columns of `docs` and `pii`: struct(spans, extra) of base spans and of disclosing terms.
 
-    Null or empty text: no spans. Repeated rows get the same spans each. Other columns are untouched; one that is named
-    `pii` must be renamed by the caller.
+    Null or empty text: no spans. Repeated rows get the same spans each. Other columns are untouched; if one is named `pii`, the
+    new one gets a leading underscore.
     """
+    safe, own = isolated(docs)
+    into, text, key = clear_name(docs, "pii"), own[text], own[key]
     row = F.xxhash64(F.col(key), F.col(text))
-    texts = docs.select(row.alias("_row"), F.col(text).alias("_text"))
+    texts = safe.select(row.alias("_row"), F.col(text).alias("_text"))
     found, rows = disclosing_terms(texts, rule)
     held = rows.join(bounded(found), "term").groupBy("_row").agg(F.sort_array(F.collect_set(F.struct("term", "remove"))).alias("_terms"))
     held = bounded(settled(held, "pii-held").withColumnRenamed("_row", "_row_of"))
-    out = docs.withColumn("_row", row).join(held, F.col("_row") == F.col("_row_of"), "left")
+    out = safe.withColumn("_row", row).join(held, F.col("_row") == F.col("_row_of"), "left")
     none = F.array().cast("array<struct<term:string,remove:boolean>>")
     clean = F.coalesce(F.col(text), F.lit(""))
     return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.struct(base_spans(F.col(text)).alias("spans"), let(F.coalesce("_terms", none), lambda t: _term_spans(clean, t)).alias("extra")).alias("pii"),
+        *[F.col(a).alias(c) for c, a in own.items()],
+        F.struct(base_spans(F.col(text)).alias("spans"), let(F.coalesce("_terms", none), lambda t: _term_spans(clean, t)).alias("extra")).alias(into),
     )
 
 
 def report(found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Counts, digest and joined spans of what detect() found."""
-    spans, extra = F.col("pii.spans"), F.col("pii.extra")
+    """Counts, digest and joined spans of what detect() found, in its last column."""
+    spans, extra = F.col(f"{found.columns[-1]}.spans"), F.col(f"{found.columns[-1]}.extra")
     count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = _joined(spans)
     # Base spans come before those that the method adds; the added ones share one kind name here.
@@ -189,8 +191,7 @@ def sanitised(text: Column, spans: Column) -> Column:
 
 def mask(docs: DataFrame, rule: Disclosure = Disclosure(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """`docs` with the same columns, its text sanitised; a null text stays null."""
-    own = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
-    safe = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in own.items()])
+    safe, own = isolated(docs)
     found = detect(safe, rule, own[text], own[key])
     masked = sanitised(F.col(own[text]), F.concat("pii.spans", "pii.extra"))
     return found.select(*[(masked if c == text else F.col(a)).alias(c) for c, a in own.items()])

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import bounded
+from .shared import bounded, clear_name, isolated
 
 #: Production list: fixed values (key, action or null for a removal, day of 2024 on which the event happened).
 LIST_EVENTS = (
@@ -69,12 +69,13 @@ def judge(captures: DataFrame, events: DataFrame, url: str = "url", fetched: str
 
     Every capture gives one row. A null or malformed URL has no host and a null fetch time no active
     entry: both are kept by default. Repeated captures are judged alike. The longest key decides; of one key there is
-    one active entry at most.
+    one active entry at most. New columns whose names `captures` has get leading underscores.
     """
-    host, page, at = (f"_{c}" for c in ("host", "page", "at"))
-    seen = captures.withColumns({host: host_of(F.col(url)), page: page_of(F.col(url)), at: F.col(fetched)})
+    safe, own = isolated(captures)
+    host, page, at = "_host", "_page", "_at"
+    seen = safe.withColumns({host: host_of(F.col(own[url])), page: page_of(F.col(own[url])), at: F.col(own[fetched])})
     held = intervals(events).select(F.col("key").alias("_key"), F.col("action").alias("_action"), F.col("since").alias("_since"), F.col("until").alias("_until"))
-    # Equal (url, time) pairs are judged once: hot pages cost no more than others.
+    # Equal (page, time) pairs are judged once: hot pages cost no more than others.
     distinct = seen.select(host, page, at).filter(F.col(host) != "").distinct()
     labels = F.split(F.col(host), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
@@ -84,11 +85,5 @@ def judge(captures: DataFrame, events: DataFrame, url: str = "url", fetched: str
     ruled = active.groupBy(page, at).agg(F.count("*").alias("_n"), best).select(F.col(page).alias("_page2"), F.col(at).alias("_at2"), "_n", "_best")
     out = seen.join(ruled, (F.col(page) == F.col("_page2")) & (F.col(at) == F.col("_at2")), "left")
     action = F.coalesce(F.col("_best.action"), F.lit(default))
-    return out.select(
-        *[F.col(f"`{c}`") for c in captures.columns],
-        F.col(host).alias("url_host"),
-        F.coalesce("_n", F.lit(0)).cast("long").alias("url_entries"),
-        F.col("_best.key").alias("url_rule"),
-        action.alias("url_action"),
-        (action != "block").alias("url_kept"),
-    )
+    made = {"url_host": F.col(host), "url_entries": F.coalesce("_n", F.lit(0)).cast("long"), "url_rule": F.col("_best.key"), "url_action": action, "url_kept": action != "block"}
+    return out.select(*[F.col(a).alias(c) for c, a in own.items()], *[made[c].alias(clear_name(captures, c)) for c in made])

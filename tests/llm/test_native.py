@@ -187,3 +187,15 @@ def test_pii_mask_overlaps(spark):
     rows = {r.doc_id: r for r in pii.mask(docs).collect()}
     assert rows[1].text == "call +[IP][PHONE] or [IP] now" or rows[1].text == "call [PHONE] or [IP] now"
     assert rows[2].text is None and rows[1].pii == "k"
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.c " * 60, "s", "old", 2, 3, 4, 5)], "doc_id long, text string, source string, quality string, pii int, _bucket int, _host int, url_host int")
+    assert quality_rules.verdicts(docs).columns[-1] == "_quality" and quality_rules.verdicts(docs).first().quality == "old"
+    found = pii.detect(docs)
+    assert found.columns == [*docs.columns, "_pii"] and pii.report(found).first().n_email == 60
+    assert mixing.mix(docs).first()._bucket == 3
+    events = spark.sql("SELECT 'b.c' AS key, 'block' AS action, timestamp_ntz'2024-01-01' AS at")
+    judged = url_filters.judge(docs.selectExpr("'http://b.c/x' AS url", "timestamp_ntz'2024-02-01' AS fetched_at", "_host", "url_host"), events)
+    row = judged.first()
+    assert judged.columns[4] == "_url_host" and (row._host, row.url_host, row._url_host, row.url_kept) == (4, 5, "b.c", False)
