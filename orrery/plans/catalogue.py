@@ -791,3 +791,179 @@ def top_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey"))
     rows = Tables(spark, sf_dir).raw("lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey")
     return rows.withColumn("n", rank).filter("n <= 3").drop("n", "l_partkey")
+
+
+# ---- extractors and configuration, over sources written from the tables
+
+#: A source text of each language for one part: `f` calls `g`; and how its function is qualified.
+SOURCES = {
+    "python": ("import lib{k}\nclass C{k}(B):\n    def f{k}(self, x):\n        return g{r}(x)\n", "C{k}.f{k}"),
+    "rust": ("use lib{k}::part;\nimpl C{k} {\n    pub fn f{k}(x: i32) -> i32 { g{r}(x) }\n}\n", "C{k}::f{k}"),
+    "go": ('package p\nimport "lib{k}"\nfunc (c *C{k}) f{k}(x int) int { return g{r}(x) }\n', "C{k}.f{k}"),
+    "java": ("import lib{k}.P;\nclass C{k} extends B {\n    public int f{k}(int x) { return g{r}(x); }\n}\n", "C{k}.f{k}"),
+    "javascript": ('import p from "lib{k}";\nclass C{k} extends B {\n  f{k}(x) { return g{r}(x) }\n}\n', "C{k}.f{k}"),
+    "typescript": ('import {p} from "lib{k}";\nclass C{k} implements B {\n  f{k}(x: number): number { return g{r}(x) }\n}\n', "C{k}.f{k}"),
+    "php": ("<?php\nuse Lib{k};\nclass C{k} extends B {\n  function f{k}($x) { return g{r}($x); }\n}\n", "C{k}::f{k}"),
+    "c": ("#include <lib{k}.h>\nint f{k}(int x) { return g{r}(x); }\n", "f{k}"),
+    "cpp": ("#include <lib{k}.h>\nint C{k}::f{k}(int x) { return g{r}(x); }\n", "C{k}::f{k}"),
+    "csharp": ("using Lib{k};\nclass C{k} : B {\n    public int f{k}(int x) { return g{r}(x); }\n}\n", "C{k}.f{k}"),
+    "ruby": ('require "lib{k}"\nclass C{k} < B\n  def f{k}(x)\n    g{r}(x)\n  end\nend\n', "C{k}#f{k}"),
+    "swift": ("import Lib{k}\nclass C{k}: B {\n  func f{k}(x: Int) -> Int { return g{r}(x) }\n}\n", "C{k}.f{k}"),
+}
+
+
+def _filled(template: str) -> F.Column:
+    """A text with the supplier's number for {k} and its remainder by 7 for {r}."""
+    return F.replace(F.replace(F.lit(template), F.lit("{k}"), F.col("s_suppkey").cast("string")), F.lit("{r}"), (F.col("s_suppkey") % 7).cast("string"))
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suppliers = Tables(spark, sf_dir).raw("supplier").select("s_suppkey")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("language"), _filled(t).alias("content")) for n, (t, _) in SOURCES.items()]))
+    files = suppliers.select("s_suppkey", each.alias("s")).select(F.concat_ws("/", "s.language", key("", "s_suppkey")).alias("path"), "s.language", "s.content")
+    return extract.extract(files)
+
+
+_QUALIFIED = " UNION ALL ".join(f"SELECT '{n}/' || s_suppkey AS path, replace('{q}', '{{k}}', CAST(s_suppkey AS VARCHAR)) AS qualified_name, s_suppkey AS k FROM supplier" for n, (_, q) in SOURCES.items())
+
+
+@query("extract_functions", f"SELECT path, 'f' || k AS name, qualified_name FROM ({_QUALIFIED})")
+def extract_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.entity(_sources(spark, sf_dir), "function").select("path", "name", "qualified_name")
+
+
+@query("extract_calls", f"SELECT path, 'f' || k AS caller, 'g' || (k % 7) AS callee FROM ({_QUALIFIED})")
+def extract_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.entity(_sources(spark, sf_dir), "call").select("path", "caller", F.col("name").alias("callee"))
+
+
+@query("extract_classes", f"SELECT path, 'C' || k AS name FROM ({_QUALIFIED}) WHERE split_part(path, '/', 1) NOT IN ('c', 'cpp', 'rust', 'go')")
+def extract_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.entity(_sources(spark, sf_dir), "class").select("path", "name")
+
+
+@query("extract_import_counts", f"SELECT split_part(path, '/', 1) AS language, CAST(count(*) AS BIGINT) AS imports FROM ({_QUALIFIED}) GROUP BY 1")
+def extract_import_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = extract.entity(_sources(spark, sf_dir), "import")
+    return rows.groupBy(F.split("path", "/")[0].alias("language")).agg(F.count("*").alias("imports"))
+
+
+def _configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.sources import config_xml
+
+    rows = Tables(spark, sf_dir).raw("supplier").select(F.col("s_suppkey").cast("string").alias("k"), F.col("s_nationkey").cast("string").alias("n"), (F.col("s_suppkey") % 2 == 0).cast("string").alias("even"))
+    fill = lambda t: F.replace(F.replace(F.replace(F.lit(t), F.lit("{k}"), F.col("k")), F.lit("{n}"), F.col("n")), F.lit("{even}"), F.col("even"))
+    parts = {
+        "Catalogs/S{k}.xml": "<MetaDataObject xmlns:v8='x'><Catalog uuid='u{k}'><Properties><Name>S{k}</Name><Synonym><v8:item><v8:lang>ru</v8:lang><v8:content>Supplier {k}</v8:content></v8:item></Synonym></Properties><ChildObjects><Attribute><Properties><Name>Nation</Name><Type><v8:Type>cfg:CatalogRef.N{n}</v8:Type></Type></Properties></Attribute></ChildObjects></Catalog></MetaDataObject>",
+        "Documents/D{k}.xml": "<MetaDataObject><Document><Properties><Name>D{k}</Name><RegisterRecords><xr:Item>AccumulationRegister.R{n}</xr:Item></RegisterRecords></Properties></Document></MetaDataObject>",
+        "Roles/Role{n}/Ext/Rights{k}.xml": "<Rights><object><name>Catalog.S{k}</name><right><name>Read</name><value>true</value></right><right><name>Edit</name><value>{even}</value></right></object></Rights>",
+        "Catalogs/S{k}/Forms/Item/Ext/Form.xml": "<Form><Events><Event name='OnOpen'>Open{k}</Event></Events><ChildItems><InputField name='Nation'><Events><Event name='OnChange'>Change{k}</Event></Events></InputField></ChildItems></Form>",
+        "EventSubscriptions/E{k}.xml": "<MetaDataObject><EventSubscription><Properties><Name>E{k}</Name><Source><Type><v8:Type>cfg:CatalogObject.S{k}</v8:Type></Type></Source><Event>OnWrite</Event><Handler>CommonModule.M{n}.Write{k}</Handler></Properties></EventSubscription></MetaDataObject>",
+        "ConfigDumpInfo{k}.xml": "<ConfigDumpInfo><Metadata name='Catalog.S{k}' id='{k}' configVersion='v{n}'/></ConfigDumpInfo>",
+    }
+    files = rows.select(F.explode(F.array(*[F.struct(fill(p).alias("path"), fill(t).alias("content")) for p, t in parts.items()])).alias("f")).select("f.path", "f.content")
+    return config_xml.read(files)
+
+
+@query("config_objects", "SELECT 'Catalog.S' || s_suppkey AS full_name, 'Catalog' AS meta_type, 'Supplier ' || s_suppkey AS synonym FROM supplier UNION ALL SELECT 'Document.D' || s_suppkey, 'Document', NULL FROM supplier UNION ALL SELECT 'EventSubscription.E' || s_suppkey, 'EventSubscription', NULL FROM supplier")
+def config_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.sources import config_xml
+
+    return config_xml.metadata_objects(_configuration(spark, sf_dir)).select("full_name", "meta_type", "synonym")
+
+
+@query("config_links", "SELECT 'Catalog.S' || s_suppkey AS from_object, 'Nation' AS from_path, 'Catalog.N' || s_nationkey AS to_object, 'attr' AS link_kind FROM supplier UNION ALL SELECT 'Document.D' || s_suppkey, '', 'AccumulationRegister.R' || s_nationkey, 'recorder' FROM supplier")
+def config_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.sources import config_xml
+
+    return config_xml.data_links(_configuration(spark, sf_dir)).select("from_object", "from_path", "to_object", "link_kind")
+
+
+@query("config_rights", "SELECT 'Role' || s_nationkey AS role_name, 'Catalog.S' || s_suppkey AS object_name, 'Read' AS right_name FROM supplier UNION ALL SELECT 'Role' || s_nationkey, 'Catalog.S' || s_suppkey, 'Edit' FROM supplier WHERE s_suppkey % 2 = 0")
+def config_rights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.sources import config_xml
+
+    return config_xml.role_rights(_configuration(spark, sf_dir)).select("role_name", "object_name", "right_name")
+
+
+@query("config_form_handlers", "SELECT 'Catalog.S' || s_suppkey AS owner, 'OnOpen' AS event, 'Open' || s_suppkey AS handler, NULL AS element FROM supplier UNION ALL SELECT 'Catalog.S' || s_suppkey, 'OnChange', 'Change' || s_suppkey, 'Nation' FROM supplier")
+def config_form_handlers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.sources import config_xml
+
+    forms = config_xml.metadata_forms(_configuration(spark, sf_dir))
+    kind = "array<struct<event:string,handler:string,element:string>>"
+    return forms.select(F.col("owner_full_name").alias("owner"), F.explode(F.from_json("handlers_json", kind)).alias("h")).select("owner", "h.event", "h.handler", "h.element")
+
+
+@query("config_subscriptions", "SELECT 'E' || s_suppkey AS name, 'OnWrite' AS event, 'M' || s_nationkey AS handler_module, 'Write' || s_suppkey AS handler_proc, '[\"CatalogObject.S' || s_suppkey || '\"]' AS sources_json FROM supplier")
+def config_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.sources import config_xml
+
+    return config_xml.event_subscriptions(_configuration(spark, sf_dir))
+
+
+@query("config_manifest", "SELECT 'Catalog.S' || s_suppkey AS full_name, 'v' || s_nationkey AS config_version FROM supplier")
+def config_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.sources import config_xml
+
+    return config_xml.manifest(_configuration(spark, sf_dir))
+
+
+# ---- sinks, text helpers, repositories
+
+
+@query("entity_sink_round_trip", "SELECT doc_id, lang, CASE WHEN doc_id % 4 = 0 THEN 'again' ELSE source END AS source FROM documents")
+def entity_sink_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows written by partition, then the partitions of changed files written again."""
+    import uuid
+
+    from orrery.session import shared_folder
+    from orrery.sources import sinks
+
+    docs = Tables(spark, sf_dir).raw("documents").select("doc_id", "lang", "source", key("", "doc_id").alias("path"))
+    place = f"{shared_folder(spark)}/orrery-{spark.sparkContext.applicationId}/sink-{uuid.uuid4().hex}"
+    sinks.write_entities(sinks.bucketed_files(docs, buckets=8), place)
+    shape = ["doc_id", "lang", "source", "path", "part"]
+    changed = docs.filter("doc_id % 4 = 0")
+    stored = spark.read.parquet(place).select(*shape)
+    from orrery.session import settled
+
+    fresh = changed.withColumn("source", F.lit("again"))
+    sinks.write_entities(settled(sinks.replace_files(stored, fresh, changed).select(*shape), "sink-new"), place)
+    return spark.read.parquet(place).select("doc_id", "lang", "source")
+
+
+@query("repository_stats", "SELECT 'a' AS repo, CAST(count(*) AS BIGINT) AS rows FROM part UNION ALL SELECT 'b', count(*) FROM part WHERE p_size > 25")
+def repository_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.sources import sinks
+
+    part = Tables(spark, sf_dir).raw("part").select("p_partkey", "p_size")
+    return sinks.repository_stats(sinks.repositories({"a": part, "b": part.filter("p_size > 25")}))
+
+
+@query("enrichment_candidates", "SELECT p_name || '#' || p_partkey AS proc_key FROM part WHERE p_partkey % 3 <> 0")
+def enrichment_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.sources import sinks
+
+    procedures = Tables(spark, sf_dir).raw("part").select("p_partkey", F.concat_ws("#", "p_name", key("", "p_partkey")).alias("proc_key"))
+    return sinks.enrichment_candidates(procedures, procedures.filter("p_partkey % 3 = 0")).select("proc_key")
+
+
+@query("content_backfill", "SELECT doc_id AS file_id FROM documents WHERE doc_id % 5 = 0")
+def content_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.sources import sinks
+
+    files = Tables(spark, sf_dir).files()
+    return sinks.missing_content(files.select("file_id"), files.filter("file_id % 5 <> 0").select("file_id"))
+
+
+@query("leading_comments", "SELECT p_partkey AS id, 'Makes ' || p_name || '. Type ' || p_type AS comment FROM part")
+def leading_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.concat(F.lit("// =====\n// Makes "), "p_name", F.lit(".\n&AtServer\n// Type "), "p_type", F.lit("\nMake();\n// not this"))
+    return Tables(spark, sf_dir).raw("part").select(F.col("p_partkey").alias("id"), text.leading_comment(body).alias("comment"))
+
+
+@query("regex_line_ends", "SELECT conv_id, turn, role FROM conversations WHERE regexp_matches(text, '(?m)[.?!]$')")
+def regex_line_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = Tables(spark, sf_dir).raw("conversations")
+    return rows.filter(text.has_match(F.replace("text", F.lit("\n"), F.lit("\r\n")), "[.?!]$")).select("conv_id", "turn", "role")
