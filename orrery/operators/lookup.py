@@ -36,11 +36,10 @@ def resolve(entities: DataFrame, name: str) -> DataFrame:
 
 
 def places(found: DataFrame, keys: Sequence[str], body: str = "body") -> DataFrame:
-    """Full records up to PLACES_FROM hits; beyond, without bodies and the first CATEGORY of them, with the total."""
-    order = Window.orderBy(*keys)
-    counted = found.withColumn("total", F.count("*").over(Window.partitionBy())).withColumn("_n", F.row_number().over(order))
-    few = F.col("total") <= PLACES_FROM
-    return counted.filter(few | (F.col("_n") <= CATEGORY)).withColumn(body, F.when(few, F.col(body))).drop("_n")
+    """The first CATEGORY hits with the total; beyond PLACES_FROM hits they come without bodies, as places."""
+    total = found.agg(F.count("*").alias("total"))
+    first = found.orderBy(*keys).limit(CATEGORY).join(F.broadcast(total))
+    return first.withColumn(body, F.when(F.col("total") <= PLACES_FROM, F.col(body)))
 
 
 def suggest(names: DataFrame, wanted: str, column: str = "name", most: int = 5) -> DataFrame:
