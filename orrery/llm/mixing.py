@@ -81,9 +81,9 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source
     chars = F.coalesce(F.length(text), F.lit(0)).cast("long")
     found = shares(safe.select(F.col(source).alias("source"), chars.alias("chars")), "source", "chars")
     if weights is not None:
-        least = weights.agg(F.min("share").alias("least"))
+        least = weights.agg(F.min("share")).first()[0]
         given = found.select("source").join(weights.select(F.col("source").alias("_s"), F.col("share").cast("double").alias("_w")), F.col("source").eqNullSafe(F.col("_s")), "left")
-        found = given.join(F.broadcast(least)).select("source", F.coalesce("_w", "least", F.lit(1.0)).alias("share"))
+        found = given.select("source", F.coalesce("_w", F.lit(float(least or 1.0))).alias("share"))
     sized = safe.withColumns({"_chars": chars, "_hash": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
     placed = ranked(sized, [source], [key, "_hash"], F.col("_chars"), "_before", docs.select(F.lit(1)).count())
     table = settled(timetable(found, period), "mix-table").select(*[F.col(c).alias(f"_t_{c}") for c in ("source", "ordinal", "quota", "slots", "release", "deadline", "slot")])
