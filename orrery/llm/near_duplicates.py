@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .ngram_trie import Forest, Threshold, linked_forest
-from .shared import bounded, settled
+from .ngram_trie import Threshold, linked_forest
+from .shared import bounded, isolated, settled
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 _S = np.uint64(33)
@@ -36,13 +36,13 @@ _S = np.uint64(33)
 @dataclass(frozen=True)
 class Join:
     """words: of an n-gram. num / den: similarity. counted: share of the hash range whose elements are counted first. hot: of
-    those, an element in more classes goes last. group: rows of a group that is compared as a whole. cell: sets of one prefix
+    those, an element in more classes goes last; None: a third more than a prefix takes. group: rows of a group that is compared as a whole. cell: sets of one prefix
     tree."""
 
     words: int = 5
     num: int = 80
     den: int = 100
-    counted: float = 0.2
+    counted: float | None = None
     hot: int = 128
     group: int = 4096
     cell: int = 1024
@@ -90,7 +90,8 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
 
 def _profiles(join: Join):
     """Pass 1. keys: elements in the counted range; p: size of the prefix."""
-    limit, top = Threshold(join.num, join.den), np.uint64(int(join.counted * 2**64))
+    share = join.counted if join.counted is not None else min(1.0, (1 - join.num / join.den) * 4 / 3)
+    limit, top = Threshold(join.num, join.den), np.uint64(min(int(share * 2**64), 2**64 - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, node = _Words(), TaskContext.get().partitionId() << 33
@@ -160,9 +161,12 @@ def _compare(join: Join):
     limit = Threshold(join.num, join.den)
 
     def near(n: np.ndarray, bits: list[bytes], node: np.ndarray) -> list[tuple[int, int]]:
-        """Edges between rows in the order of their sizes; each row is compared with all smaller ones at once."""
+        """Components as edges from their smallest node, so that groups with the same rows give the same edges.
+
+        Rows are taken in the order of their sizes; each is compared with all smaller ones at once.
+        """
         order = np.argsort(n, kind="stable")
-        sizes, node, forest, out = n[order], node[order], Forest(len(n)), []
+        sizes, node, label = n[order], node[order], np.arange(len(n))
         maps = [np.frombuffer(bits[i], np.uint8) for i in order]
         widths = np.array([len(m) for m in maps])
         table = {int(w): (at := np.flatnonzero(widths == w), np.stack([maps[i] for i in at])) for w in np.unique(widths)}
@@ -175,20 +179,41 @@ def _compare(join: Join):
                 apart = np.bitwise_count(held[a:b] ^ _fold(maps[q], width)).sum(axis=1, dtype=np.int64)
                 both = sizes[at[a:b]] + sizes[q]
                 allowed = both - 2 * -(-limit.num * both // (limit.num + limit.den))
-                for k in at[a:b][apart <= allowed]:
-                    if forest.join(int(k), q):
-                        out.append((int(node[k]), int(node[q])))
+                met = np.unique(label[at[a:b][apart <= allowed]])
+                if len(met):
+                    label[np.isin(label, np.r_[met, label[q]])] = label[q]
+        out: list[tuple[int, int]] = []
+        for one in np.unique(label):
+            own = np.sort(node[label == one])
+            out += [(int(own[0]), int(x)) for x in own[1:]]
         return out
 
+    def pair(n: int, bits: bytes, m: int, more: bytes) -> bool:
+        if len(bits) > len(more):
+            bits, more = more, bits
+        x, y, width = int.from_bytes(bits, "little"), int.from_bytes(more, "little"), 8 * len(more)
+        while width > 8 * len(bits):
+            width //= 2
+            y = (y >> width) ^ (y & ((1 << width) - 1))
+        return (x ^ y).bit_count() <= n + m - 2 * limit.overlap(n, m)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, ["h"]):
             h = table.column("h").to_numpy()
             starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
             n, node, bits = table.column("n").to_numpy(), table.column("node").to_numpy(), table.column("bits")
             seen: set[tuple[int, int]] = set()
-            for a, b in zip(starts[:-1], starts[1:], strict=True):
-                if b - a > 1:
-                    seen.update(near(n[a:b], bits.slice(a, b - a).to_pylist(), node[a:b]))
+            size = np.diff(starts)
+            # Most groups are pairs: their sizes are compared at once, their bitmaps as whole numbers.
+            two = starts[:-1][size == 2]
+            small, large = np.minimum(n[two], n[two + 1]), np.maximum(n[two], n[two + 1])
+            two = two[limit.den * small >= limit.num * large]
+            for k in two.tolist():
+                if pair(int(n[k]), bits[k].as_py(), int(n[k + 1]), bits[k + 1].as_py()):
+                    x, y = int(node[k]), int(node[k + 1])
+                    seen.add((min(x, y), max(x, y)))
+            for a, c in zip(starts[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
+                seen.update(near(n[a : a + c], bits.slice(a, c).to_pylist(), node[a : a + c]))
             yield _edges(list(seen))
 
     return run
@@ -265,21 +290,27 @@ def _sets(join: Join):
     return run
 
 
-def _search(join: Join):
-    """Links within each cell of a block. `probe`: rows that are looked up among all; the others are only looked among."""
+def _search(join: Join, visiting: bool):
+    """Links within each cell of a block: all rows are looked up among each other or, if `visiting`, rows that visit among those
+    that don't. Rows of one label are connected already."""
     limit = Threshold(join.num, join.den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, ["block", "cell"]):
             keys = np.stack([table.column(c).to_numpy() for c in ("block", "cell")])
             starts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0), True])
-            node, probe, items = table.column("node").to_numpy(), table.column("probe").to_numpy(), table.column("items").combine_chunks()
+            node, label, visits = (table.column(c).to_numpy() for c in ("node", "label", "visits"))
+            items = table.column("items").combine_chunks()
             flat, ends = items.values.to_numpy().view(np.uint64), items.offsets.to_numpy()
             found: list[tuple[int, int]] = []
             for a, b in zip(starts[:-1], starts[1:], strict=True):
-                order = a + np.lexsort((node[a:b], probe[a:b]))
+                own = int((~visits[a:b]).sum())
+                if b - a < 2 or (visiting and own in (0, b - a)):
+                    continue
+                order = a + np.lexsort((node[a:b], visits[a:b]))
                 sets = [flat[ends[k] : ends[k + 1]] for k in order]
-                found += [(int(node[order[x]]), int(node[order[y]])) for x, y in linked_forest(sets, limit, int((~probe[a:b]).sum()))]
+                guests = sets[own:] if visiting else None
+                found += [(int(node[order[x]]), int(node[order[y]])) for x, y in linked_forest(sets[:own], limit, guests, label[order])]
             yield _edges(found)
 
     return run
@@ -290,14 +321,14 @@ def _links(texts: DataFrame, heads: DataFrame, blocks: DataFrame, join: Join) ->
 
     A block of up to `cell` sets is one tree. A larger one is first dealt to cells by a hash, with its smallest
     set in each: near copies of one text become one component here. Then only the sets outside the block's largest
-    component are looked up among all others: each is sent to all cells, the rest stay in one.
+    component visit the other cells and are looked up there; if they are many, in parts.
     """
     wanted = settled(heads.join(blocks, "node").select("node", "doc_id", "text_hash", "digest", "block"), "ngram-blocks")
     made = settled(_made(texts, wanted, join).select("node", "block", "items"), "ngram-sets")
 
-    def search(cells: DataFrame) -> DataFrame:
+    def search(cells: DataFrame, visiting: bool) -> DataFrame:
         dealt = cells.repartition("block", "cell").sortWithinPartitions("block", "cell")
-        return settled(dealt.mapInArrow(_search(join), "a long, b long"), "ngram-links")
+        return settled(dealt.mapInArrow(_search(join, visiting), "a long, b long"), "ngram-links")
 
     sizes = made.groupBy("block").agg(F.count("*").alias("size"), F.min("node").alias("pivot"))
     cells = F.ceil(F.col("size") / join.cell).cast("int")
@@ -305,17 +336,23 @@ def _links(texts: DataFrame, heads: DataFrame, blocks: DataFrame, join: Join) ->
     own = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")
     everywhere = F.sequence(F.lit(0), F.col("cells") - 1)
     at = F.explode(F.when(F.col("node") == F.col("pivot"), everywhere).otherwise(F.array(own)))
-    first = search(dealt.select("node", "block", "items", F.lit(True).alias("probe"), at.alias("cell")))
+    whole = [F.col("node").alias("label"), F.lit(False).alias("visits")]
+    first = search(dealt.select("node", "block", "items", *whole, at.alias("cell")), False)
     large = sizes.filter(F.col("size") > join.cell)
     if large.limit(1).count() == 0:
         return first
     labels = components(first)
     part = dealt.filter("cells > 1").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     main = part.groupBy("block", "label").agg(F.count("*").alias("c")).groupBy("block").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-    rest = part.join(main, "block").withColumn("probe", F.col("label") != F.col("main"))
-    rest = rest.join(rest.filter("probe").select("block").distinct(), "block", "left_semi")
-    at = F.explode(F.when(F.col("probe"), everywhere).otherwise(F.array(own)))
-    return first.union(search(rest.select("node", "block", "items", "probe", at.alias("cell"))))
+    rest = part.join(main, "block").withColumns({"goes": F.col("label") != F.col("main"), "own": own})
+    guests = rest.filter("goes").groupBy("block").agg(F.ceil(F.count("*") / (4 * join.cell)).cast("int").alias("parts"))
+    rest = settled(rest.join(guests, "block"), "ngram-rest")
+    part_of = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
+    every_part = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.col("own") * F.col("parts") + i))
+    elsewhere = F.explode(F.transform(F.array_remove(everywhere, F.col("own")), lambda c: c * F.col("parts") + part_of))
+    stay = rest.select("node", "block", "items", "label", F.lit(False).alias("visits"), every_part.alias("cell"))
+    go = rest.filter("goes").select("node", "block", "items", "label", F.lit(True).alias("visits"), elsewhere.alias("cell"))
+    return first.union(search(stay.union(go), True))
 
 
 def near_duplicates(docs: DataFrame, join: Join = Join(), text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -354,8 +391,7 @@ def keep_one(docs: DataFrame, join: Join = Join(), text: str = "text", key: str
 
     Of rows that repeat an id and a text one stays. A text without words is dropped only as a repeat of the same row.
     """
-    own = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
-    safe = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in own.items()])
+    safe, own = isolated(docs)
     found = near_duplicates(safe, join, own[text], own[key])
     found = settled(found, "ngram-found")
     gone = found.groupBy("doc_id").agg(F.bool_or(F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("stays")).filter("NOT stays")

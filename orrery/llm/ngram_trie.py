@@ -2,14 +2,15 @@
 
 Sets are sorted arrays of 64-bit n-gram hashes: one order for all sets. Sets with a common beginning share a path, so the
 overlap of a query with that path is counted once. Every node knows the smallest and largest set below it; a
-subtree is left as soon as no set in it can still reach the overlap that the threshold needs.
+subtree is left as soon as no set in it can still reach the overlap that the threshold needs. Nodes at the same stage of the
+search are handled as one array.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Elements of a path that are compared before the bounds are tried again.
+#: Elements of a path that are compared before the bounds are tried for the first time; then twice as many, and so on.
 PIECE = 64
 
 
@@ -51,13 +52,6 @@ class Forest:
         return a != b
 
 
-class _Node:
-    __slots__ = ("path", "below", "ends", "least", "most")
-
-    def __init__(self, path: np.ndarray, size: int) -> None:
-        self.path, self.below, self.ends, self.least, self.most = path, {}, [], size, size
-
-
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
     n = min(len(a), len(b))
     differ = np.flatnonzero(a[:n] != b[:n])
@@ -65,72 +59,96 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class Trie:
-    """Sets by number; add() and linked() may alternate."""
-
-    def __init__(self, limit: Threshold) -> None:
-        self.limit, self.root = limit, _Node(np.empty(0, np.uint64), 0)
-
-    def add(self, number: int, items: np.ndarray) -> None:
-        node, at, n = self.root, 0, len(items)
-        while at < n:
-            child = node.below.get(items[at])
-            if child is None:
-                child = _Node(items[at:], n)
-                node.below[items[at]] = child
-                child.ends.append(number)
-                return
-            k = _shared(child.path, items[at:])
-            if k < len(child.path):
-                upper = _Node(child.path[:k], n)
-                upper.least, upper.most = child.least, child.most
-                child.path = child.path[k:]
-                upper.below[child.path[0]] = child
-                node.below[items[at]] = child = upper
-            child.least, child.most = min(child.least, n), max(child.most, n)
-            node, at = child, at + k
-        node.ends.append(number)
-
-    def linked(self, items: np.ndarray, skip: object = None) -> list[int]:
-        """Numbers of the sets similar to `items`; skip(number): need not be looked at."""
-        limit, n, out = self.limit, len(items), []
-        stack = [(child, 0, 0, 0) for child in self.root.below.values()]
-        while stack:
-            node, depth, same, passed = stack.pop()
-            if limit.den * node.most < limit.num * n or limit.den * n < limit.num * node.least:
-                continue
-            if skip is not None and not node.below and all(map(skip, node.ends)):
+    """A compressed prefix tree over sorted sets, held in arrays: the nodes of a level are visited together."""
+
+    def __init__(self, sets: list[np.ndarray], limit: Threshold) -> None:
+        self.limit = limit
+        order = sorted(range(len(sets)), key=lambda k: sets[k].byteswap().tobytes())
+        ends = np.cumsum([0, *(len(sets[k]) for k in order)])
+        self.flat = np.concatenate([sets[k] for k in order]) if order else np.empty(0, np.uint64)
+        size, number = np.diff(ends), np.array(order, np.int64)
+        common = np.array([0, *(_shared(sets[a], sets[b]) for a, b in zip(order, order[1:], strict=False))], np.int64)
+        # A node is a range of sets that agree up to its depth; children of one node are numbered in a row.
+        todo, rows, children = [(0, len(order), 0)] if order else [], [], []
+        at = 0
+        while at < len(todo):
+            lo, hi, depth = todo[at]
+            at += 1
+            if hi - lo == 1:
+                rows.append((ends[lo] + depth, size[lo] - depth, depth, size[lo], size[lo], number[lo], number[lo]))
+                children.append((0, 0))
                 continue
-            path, alive, i = node.path, True, 0
-            while i < len(path):
-                piece = path[i : i + PIECE] if i == 0 else path[i:]
-                at = np.searchsorted(items, piece)
-                hit = at < n
-                same += int(np.count_nonzero(items[at[hit]] == piece[hit]))
-                i += len(piece)
-                depth += len(piece)
-                passed = int(np.searchsorted(items, piece[-1], "right"))
-                # The size below at which the bound is most favourable.
-                size = min(max(depth + n - passed, node.least), node.most)
-                if same + min(n - passed, size - depth) < limit.overlap(n, size):
-                    alive = False
-                    break
-            if alive:
-                if node.ends and same >= limit.overlap(n, depth):
-                    out += node.ends
-                stack += [(child, depth, same, passed) for child in node.below.values()]
-        return out
-
-
-def linked_forest(sets: list[np.ndarray], limit: Threshold, against: int | None = None) -> list[tuple[int, int]]:
-    """Edges that connect the sets as all similar pairs would: each set is looked up among those before it, and pairs
-    that are connected already are left out. against: only sets from this number on are looked up."""
-    trie, forest, edges = Trie(limit), Forest(len(sets)), []
-    for q, items in enumerate(sets):
-        if against is None or q >= against:
-            own = lambda x, q=q: forest.find(x) == forest.find(q)
-            for x in trie.linked(items, own):
-                if forest.join(x, q):
-                    edges.append((x, q))
-        if len(items):
-            trie.add(q, items)
+            inner = common[lo + 1 : hi]
+            m = int(inner.min())
+            cuts = [lo, *(lo + 1 + np.flatnonzero(inner == m)), hi]
+            rows.append((ends[lo] + depth, m - depth, depth, size[lo:hi].min(), size[lo:hi].max(), number[lo:hi].min(), -1))
+            children.append((len(todo), len(cuts) - 1))
+            todo += [(int(a), int(b), m) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        table = np.array(rows, np.int64).reshape(-1, 7).T
+        self.start, self.length, self.depth, self.least, self.most, self.first, self.set = table
+        self.child = np.array(children, np.int64).reshape(-1, 2)
+
+    def linked(self, items: np.ndarray, before: int, labels: np.ndarray, label: int) -> np.ndarray:
+        """Numbers of the sets similar to `items`, of those numbered under `before` and with another label.
+
+        Nodes on the way carry the overlap of their paths; those that can't reach the needed overlap any more are left,
+        with all below them.
+        """
+        n, num, den = len(items), self.limit.num, self.limit.den
+        found: list[np.ndarray] = []
+        node = np.zeros(min(1, len(self.start)), np.int64)
+        pos, same, passed = np.zeros_like(node), np.zeros_like(node), np.zeros_like(node)
+        step = PIECE
+        while len(node) and n:
+            # On entering a node: sizes, numbers and labels.
+            keep = (pos > 0) | ((den * self.most[node] >= num * n) & (den * n >= num * self.least[node]) & (self.first[node] < before))
+            leaf = self.set[node] >= 0
+            keep &= ~leaf | (labels[self.set[node]] != label)
+            node, pos, same, passed = node[keep], pos[keep], same[keep], passed[keep]
+            if not len(node):
+                break
+            piece = np.minimum(self.length[node] - pos, step)
+            ends = np.cumsum(piece)
+            index = np.arange(ends[-1]) + np.repeat(self.start[node] + pos - (ends - piece), piece)
+            values = self.flat[index]
+            place = np.searchsorted(items, values)
+            hits = np.r_[0, np.cumsum(items[np.minimum(place, n - 1)] == values)]
+            same = same + hits[ends] - hits[ends - piece]
+            pos = pos + piece
+            last = self.flat[np.minimum(self.start[node] + np.maximum(pos - 1, 0), len(self.flat) - 1)]
+            passed = np.where(piece > 0, np.searchsorted(items, last, "right"), passed)
+            depth = self.depth[node] + pos
+            # The size below at which the bound is most favourable.
+            size = np.clip(depth + n - passed, self.least[node], self.most[node])
+            alive = same + np.minimum(n - passed, size - depth) >= -(-num * (n + size) // (num + den))
+            done = pos == self.length[node]
+            ended = alive & done & (self.set[node] >= 0)
+            if ended.any():
+                found.append(self.set[node[ended]])
+            down = alive & done & (self.set[node] < 0)
+            on = alive & ~done
+            count = self.child[node[down], 1]
+            below = np.arange(count.sum()) + np.repeat(self.child[node[down], 0] - (np.cumsum(count) - count), count)
+            node, pos = np.r_[node[on], below], np.r_[pos[on], np.zeros_like(below)]
+            same, passed = np.r_[same[on], np.repeat(same[down], count)], np.r_[passed[on], np.repeat(passed[down], count)]
+            step = min(2 * step, 1 << 20)
+        return np.concatenate(found) if found else np.empty(0, np.int64)
+
+
+def linked_forest(sets: list[np.ndarray], limit: Threshold, visitors: list[np.ndarray] | None = None, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges that connect the sets as all similar pairs would; sets with one label count as connected already.
+
+    Without visitors each set is looked up among those before it; else each visitor, numbered from len(sets) on, among the
+    sets. labels: of the sets and then of the visitors.
+    """
+    trie = Trie(sets, limit)
+    queries = sets if visitors is None else visitors
+    first = 0 if visitors is None else len(sets)
+    label = np.arange(first + len(queries)) if labels is None else labels.copy()
+    edges = []
+    for q, items in enumerate(queries, first):
+        for x in trie.linked(items, min(q, len(sets)), label, label[q]):
+            if label[x] != label[q]:
+                edges.append((int(x), q))
+                label[label == label[x]] = label[q]
     return edges

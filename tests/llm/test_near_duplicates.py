@@ -53,7 +53,7 @@ def corpus(seed, families=8, size=12, passage=True):
     return texts
 
 
-@pytest.mark.parametrize("seed,hot,group,counted,n,num", [(1, 128, 1024, 0.25, 4, 85), (2, 4, 8, 0.25, 4, 85), (3, 2, 4, 0.1, 5, 80), (4, 6, 5, 0.9, 3, 60)])
+@pytest.mark.parametrize("seed,hot,group,counted,n,num", [(1, 128, 1024, None, 4, 85), (2, 4, 8, 0.25, 4, 85), (5, 3, 3, None, 5, 80), (3, 2, 4, 0.1, 5, 80), (4, 6, 5, 0.9, 3, 60)])
 def test_join_equals_all_pairs(spark, seed, hot, group, counted, n, num):
     texts = corpus(seed)
     ids = random.Random(seed).sample(range(10_000), len(texts))
@@ -80,14 +80,18 @@ def test_keep_one(spark):
 
 
 @given(st.lists(st.sets(st.integers(0, 40), max_size=30), max_size=25), st.integers(50, 100))
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=200, deadline=None)
 def test_trie_finds_all(raw, num):
-    limit, trie = Threshold(num, 100), Trie(Threshold(num, 100))
+    limit = Threshold(num, 100)
     sets = [np.array(sorted(s), np.uint64) for s in raw if s]
+    trie, labels = Trie(sets, limit), np.arange(len(sets))
+    similar = lambda a, b: 100 * len(np.intersect1d(a, b)) >= num * len(np.union1d(a, b))
     for k, s in enumerate(sets):
-        want = {j for j in range(k) if 100 * len(np.intersect1d(s, sets[j])) >= num * len(np.union1d(s, sets[j]))}
-        assert set(trie.linked(s)) == want
-        trie.add(k, s)
+        assert set(trie.linked(s, k, labels, k).tolist()) == {j for j in range(k) if similar(s, sets[j])}
+    half = len(sets) // 2
+    met = {(a, b) for a, b in linked_forest(sets[:half], limit, sets[half:])}
+    assert all(a < half <= b and similar(sets[a], sets[b]) for a, b in met)
+    assert {b for _, b in met} >= {k for k in range(half, len(sets)) if sum(similar(sets[k], sets[j]) for j in range(half)) and not any(b == k for _, b in met)}
     one, two = Forest(len(sets)), Forest(len(sets))
     for a, b in linked_forest(sets, limit):
         one.join(a, b)
@@ -98,6 +102,17 @@ def test_trie_finds_all(raw, num):
     assert [one.find(k) for k in range(len(sets))] == [two.find(k) for k in range(len(sets))]
 
 
+def test_trie_of_many_levels():
+    limit = Threshold(90, 100)
+    sets = [np.arange(k + 1, dtype=np.uint64) for k in range(300)]
+    links = linked_forest(sets, limit)
+    forest = Forest(300)
+    for a, b in links:
+        forest.join(a, b)
+    # Sets of k and k + 1 elements are similar from 10 k >= 9 (k + 1) on.
+    assert [forest.find(k) for k in range(300)] == [k if k < 8 else 8 for k in range(300)]
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(i, i + 1) for i in range(100, 160)] + [(r.randrange(100), r.randrange(100)) for _ in range(60)]
