@@ -368,12 +368,12 @@ def _tree_sql(near: str, far: str) -> str:
 
 @query("call_tree_down_d3", _tree_sql("caller", "callee"))
 def call_tree_down_d3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.tree(Tables(spark, sf_dir).calls(), "S1", "callees", 3, 5000)
+    return graph.tree(graph.settled(Tables(spark, sf_dir).calls(), "edges"), "S1", "callees", 3, 5000)
 
 
 @query("call_tree_up_d3", _tree_sql("callee", "caller"))
 def call_tree_up_d3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.tree(Tables(spark, sf_dir).calls(), "S1", "callers", 3, 5000)
+    return graph.tree(graph.settled(Tables(spark, sf_dir).calls(), "edges"), "S1", "callers", 3, 5000)
 
 
 def _call_edges(t: Tables) -> DataFrame:
@@ -383,7 +383,7 @@ def _call_edges(t: Tables) -> DataFrame:
 
 @query("find_path_bfs", f"WITH RECURSIVE {CALLS}, e AS (SELECT DISTINCT caller, callee FROM calls), r(node, depth) AS (SELECT 'S1', 0 UNION SELECT callee, depth + 1 FROM r JOIN e ON caller = node WHERE depth < 3) SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY node")
 def find_path_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.depths(_call_edges(Tables(spark, sf_dir)), "S1", 3)
+    return graph.depths(graph.settled(_call_edges(Tables(spark, sf_dir)), "edges"), "S1", 3)
 
 
 def _path_sql(levels: int) -> str:
@@ -418,12 +418,12 @@ def _links_sql(start: str, src: str, dst: str, depth: int) -> str:
 
 @query("data_links_out_d4", _links_sql("Order.1", "from_object", "to_object", 4))
 def data_links_out_d4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.links(Tables(spark, sf_dir).data_links(), "Order.1", "out", 4)
+    return graph.links(graph.settled(Tables(spark, sf_dir).data_links(), "links"), "Order.1", "out", 4)
 
 
 @query("data_links_in_d2", _links_sql("Nation.3", "to_object", "from_object", 2))
 def data_links_in_d2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.links(Tables(spark, sf_dir).data_links(), "Nation.3", "in", 2)
+    return graph.links(graph.settled(Tables(spark, sf_dir).data_links(), "links"), "Nation.3", "in", 2)
 
 
 @query("find_data_path", "SELECT CAST(1 AS BIGINT) AS step, 'Order.1' AS src, 'Customer.' || o_custkey AS dst FROM orders WHERE o_orderkey = 1 UNION ALL SELECT 2, 'Customer.' || c_custkey, 'Nation.' || c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey = 1")
