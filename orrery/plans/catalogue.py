@@ -929,7 +929,7 @@ def entity_sink_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.session import settled
 
     fresh = changed.withColumn("source", F.lit("again"))
-    sinks.write_entities(settled(sinks.replace_files(stored, fresh, changed).select(*shape), "sink-new"), place)
+    sinks.write_entities(settled(sinks.replace_files(stored, fresh, changed, buckets=8).select(*shape), "sink-new"), place)
     return spark.read.parquet(place).select("doc_id", "lang", "source")
 
 

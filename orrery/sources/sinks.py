@@ -18,11 +18,15 @@ def write_entities(df: DataFrame, path: str, partitions: Sequence[str] = ("part"
     df.repartition(*partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*partitions).parquet(path)
 
 
-def replace_files(stored: DataFrame, fresh: DataFrame, changed: DataFrame, column: str = "path") -> DataFrame:
-    """The partitions that changed files touch, with their rows of those files replaced: what write_entities() then writes."""
-    parts = bucketed_files(changed.select(column).distinct(), column)
+def replace_files(stored: DataFrame, fresh: DataFrame, changed: DataFrame, column: str = "path", buckets: int = 64) -> DataFrame:
+    """The partitions that changed files touch, with their rows of those files replaced: what write_entities() then writes.
+
+    `buckets` must be what the stored table was written with. A partition that loses all its rows has none here and so
+    keeps its old ones: files that vanish are dropped by rewriting the table, or their partitions, as a whole.
+    """
+    parts = bucketed_files(changed.select(column).distinct(), column, buckets)
     touched = stored.join(parts.select("part").distinct(), "part", "left_semi").join(changed.select(column).distinct(), column, "left_anti")
-    return touched.unionByName(bucketed_files(fresh, column))
+    return touched.unionByName(bucketed_files(fresh, column, buckets))
 
 
 def missing_content(files: DataFrame, contents: DataFrame, key: str = "file_id") -> DataFrame:

@@ -174,8 +174,7 @@ def test_sinks(spark, tmp_path):
     changed = spark.createDataFrame([("p3",), ("p9",)], "path string")
     fresh = spark.createDataFrame([("p3", 300)], "path string, v long")
     old = spark.read.parquet(str(tmp_path / "t")).select("path", "v", "part")
-    parts = sinks.bucketed_files(changed, buckets=4)
-    new = old.join(parts.select("part").distinct(), "part", "left_semi").join(changed, "path", "left_anti").unionByName(sinks.bucketed_files(fresh, buckets=4)).cache()
+    new = sinks.replace_files(old, fresh, changed, buckets=4).cache()
     new.count()
     sinks.write_entities(new, str(tmp_path / "t"))
     got = {r.path: r.v for r in spark.read.parquet(str(tmp_path / "t")).collect()}
