@@ -99,28 +99,33 @@ def disclosing_terms(texts: DataFrame, rule: Disclosure = Disclosure()) -> tuple
     A null or empty text adds nothing.
     """
     near = 40 * rule.window
-    spans = texts.filter(F.col("_text").isNotNull()).select("_text", F.explode(base_spans(F.col("_text"))).alias("s"))
+    texts = texts.filter("_text <> ''").withColumn("_unit", F.col("_row"))
+    spans = texts.select("_unit", "_text", F.explode(base_spans(F.col("_text"))).alias("s"))
     left = F.expr(f"substring(_text, greatest(1, s.start + 1 - {near}), least(s.start, {near}))")
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(TERM), 0)
     right = words(F.expr(f"substring(_text, s.end + 1, {near})"))
-    beside = spans.select(_entity(F.col("s")).alias("entity"), F.reverse(words(left)).alias("before"), right.alias("after"))
-    beside = beside.select("entity", F.slice("before", 1, rule.window).alias("before"), F.slice("after", 1, rule.window).alias("after"))
-    beside = beside.select("entity", F.xxhash64("before", "after").alias("context"), F.explode(F.array_distinct(F.concat("before", "after"))).alias("term"))
-    pairs = beside.distinct().groupBy("term", "entity").agg(F.count("*").alias("together"))
-    # The entity that a term stands beside most; terms beside many others as well can't disclose it.
-    pairs = pairs.groupBy("term").agg(F.max("together").alias("together"), F.sum("together").alias("beside"))
-    pairs = settled(pairs.filter((F.col("together") >= rule.support) & (F.col("together") >= rule.share * F.col("beside"))), "pii-pairs")
-    terms = bounded(pairs.select("term"))
-    own = texts.select("_row", F.explode(F.array_distinct(words(F.col("_text")))).alias("term"))
+    beside = spans.select("_unit", _entity(F.col("s")).alias("entity"), F.reverse(words(left)).alias("before"), right.alias("after"))
+    beside = beside.select("_unit", "entity", F.slice("before", 1, rule.window).alias("before"), F.slice("after", 1, rule.window).alias("after"))
+    beside = settled(beside.select("_unit", "entity", F.xxhash64("before", "after").alias("context"), F.array_distinct(F.concat("before", "after")).alias("terms")), "pii-beside")
+    stands = beside.select("_unit", "entity", "context", F.explode("terms").alias("term"))
+    pairs = stands.groupBy("term", "entity").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("_unit").alias("together"))
+    # A term stands in at least the rows in which it is beside some entity, several of one row counted once; so this leaves
+    # out only terms whose share is too small for certain, before the corpus is searched for them.
+    pairs = pairs.filter(F.col("contexts") >= rule.support).join(stands.groupBy("term").agg(F.count_distinct("_unit").alias("beside")), "term")
+    pairs = settled(pairs.filter(F.col("together") >= rule.share * F.col("beside")), "pii-pairs")
+    terms = bounded(pairs.select("term").distinct())
+    own = texts.select("_row", "_unit", F.explode(F.array_distinct(words(F.col("_text")))).alias("term"))
     rows = settled(own.join(terms, "term", "left_semi").distinct(), "pii-rows")
-    everywhere = rows.groupBy("term").agg(F.count("*").alias("rows"))
+    everywhere = rows.groupBy("term").agg(F.count_distinct("_unit").alias("rows"))
     total = texts.count()
-    share = F.col("together") / F.greatest("rows", "beside", "together")
+    share = F.col("together") / F.greatest("rows", "beside")
     # log2 P(entity | term) / P(entity), where the entity's own rate is estimated from the same contexts.
     bits = F.log2(share * total / F.col("together"))
     found = pairs.join(everywhere, "term").select("term", share.alias("share"), bits.alias("bits")).filter((F.col("share") >= rule.share) & (F.col("bits") >= rule.bits))
+    # The entity that the term gives away most.
+    found = found.groupBy("term").agg(F.max(F.struct("share", "bits")).alias("b")).select("term", "b.share", "b.bits")
     found = settled(found.withColumn("remove", F.col("share") >= rule.remove), "pii-terms")
-    return found, rows
+    return found, rows.select("_row", "term")
 
 
 def _term_spans(text: Column, terms: Column) -> Column:

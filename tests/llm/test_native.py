@@ -182,6 +182,18 @@ def test_pii_disclosing_terms(spark):
     assert pii.disclosing_terms(copies.selectExpr("doc_id AS _row", "text AS _text"))[0].count() == 0
 
 
+def told_terms(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "_row long, _text string")
+    return {r.term: r for r in pii.disclosing_terms(docs)[0].collect()}
+
+
+def test_pii_term_beside_several_kinds(spark):
+    filler = [f"filler {'abcdefgh'[i % 8] * 3}{'ijklmnop'[i // 8 % 8] * 3}{'qrstuvwx'[i // 64] * 3} text" for i in range(500)]
+    told = [f"{f} Zebulon z.b@mail.example +1 222 333 4444 1.2.3.4 {f}" for f in filler[:3]]
+    found = told_terms(spark, told + filler)
+    assert found["zebulon"].share == 1.0 and found["zebulon"].remove
+
+
 def test_pii_mask_overlaps(spark):
     docs = spark.createDataFrame([(1, "call +1.222.333.4444 or 1.2.3.4 now", "k"), (2, None, "k")], "doc_id long, text string, pii string")
     rows = {r.doc_id: r for r in pii.mask(docs).collect()}
