@@ -30,7 +30,7 @@ TERM = r"\p{L}{3,}+"
 @dataclass(frozen=True)
 class Disclosure:
     """When a term discloses an entity. `window`: words on either side that count as next to it; `support`: distinct
-    contexts needed; `share`: of the documents with the term, how many stand for the entity; `bits`: mutual information
+    contexts needed; `share`: of the distinct texts with the term, how many have it next to the entity; `bits`: mutual information
     needed; `remove`: share from which the term is removed and not just generalised."""
 
     window: int = 3
@@ -95,11 +95,12 @@ def _entity(span: Column) -> Column:
 def disclosing_terms(texts: DataFrame, rule: Disclosure = Disclosure()) -> tuple[DataFrame, DataFrame]:
     """From (_row, _text): terms that disclose (term, share, bits, remove), and the rows that have them (_row, term).
 
-    Counts cover all rows. Contexts that are the same word for word count once, so copies of a document prove nothing.
+    Counts cover all rows, in distinct texts: copies of a document neither prove nor hide anything. Contexts that are the
+    same word for word support a term once.
     A null or empty text adds nothing.
     """
     near = 40 * rule.window
-    texts = texts.filter("_text <> ''").withColumn("_unit", F.col("_row"))
+    texts = texts.filter("_text <> ''").withColumn("_unit", F.xxhash64("_text"))
     spans = texts.select("_unit", "_text", F.explode(base_spans(F.col("_text"))).alias("s"))
     left = F.expr(f"substring(_text, greatest(1, s.start + 1 - {near}), least(s.start, {near}))")
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(TERM), 0)
@@ -109,7 +110,7 @@ def disclosing_terms(texts: DataFrame, rule: Disclosure = Disclosure()) -> tuple
     beside = settled(beside.select("_unit", "entity", F.xxhash64("before", "after").alias("context"), F.array_distinct(F.concat("before", "after")).alias("terms")), "pii-beside")
     stands = beside.select("_unit", "entity", "context", F.explode("terms").alias("term"))
     pairs = stands.groupBy("term", "entity").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("_unit").alias("together"))
-    # A term stands in at least the rows in which it is beside some entity, several of one row counted once; so this leaves
+    # A term stands in at least the texts in which it is beside some entity, several of one text counted once; so this leaves
     # out only terms whose share is too small for certain, before the corpus is searched for them.
     pairs = pairs.filter(F.col("contexts") >= rule.support).join(stands.groupBy("term").agg(F.count_distinct("_unit").alias("beside")), "term")
     pairs = settled(pairs.filter(F.col("together") >= rule.share * F.col("beside")), "pii-pairs")

@@ -194,6 +194,15 @@ def test_pii_term_beside_several_kinds(spark):
     assert found["zebulon"].share == 1.0 and found["zebulon"].remove
 
 
+def test_pii_copies_hide_no_term(spark):
+    filler = [f"filler {'abcdefgh'[i % 8] * 3}{'ijklmnop'[i // 8 % 8] * 3}{'qrstuvwx'[i // 64] * 3} text" for i in range(500)]
+    told = [f"{f} write to Zebulon at z.b@mail.example soon {f}" for f in filler[:6]]
+    alone = [f"{filler[7]} then Zebulon spoke"]
+    for copies, again in ((1, 1), (3, 1), (1, 100)):
+        found = told_terms(spark, told * copies + alone * again + filler)
+        assert round(found["zebulon"].share, 3) == round(6 / 7, 3), (copies, again)
+
+
 def test_pii_mask_overlaps(spark):
     docs = spark.createDataFrame([(1, "call +1.222.333.4444 or 1.2.3.4 now", "k"), (2, None, "k")], "doc_id long, text string, pii string")
     rows = {r.doc_id: r for r in pii.mask(docs).collect()}
