@@ -101,28 +101,34 @@ def disclosing_terms(texts: DataFrame, rule: Disclosure = Disclosure()) -> tuple
     """
     near = 40 * rule.window
     texts = texts.filter("_text <> ''").withColumn("_unit", F.xxhash64("_text"))
-    spans = texts.select("_unit", "_text", F.explode(base_spans(F.col("_text"))).alias("s"))
+    # Each span with its entity, and whether it is the entity's first in the row.
+    entities = lambda ss: let(F.transform(ss, _entity), lambda es: F.transform(ss, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(es, i).alias("entity"), (F.array_position(es, F.get(es, i)) == i + 1).alias("first"))))
+    spans = texts.select("_unit", "_text", F.explode(let(base_spans(F.col("_text")), entities)).alias("s"))
     left = F.expr(f"substring(_text, greatest(1, s.start + 1 - {near}), least(s.start, {near}))")
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(TERM), 0)
     right = words(F.expr(f"substring(_text, s.end + 1, {near})"))
-    beside = spans.select("_unit", _entity(F.col("s")).alias("entity"), F.reverse(words(left)).alias("before"), right.alias("after"))
-    beside = beside.select("_unit", "entity", F.slice("before", 1, rule.window).alias("before"), F.slice("after", 1, rule.window).alias("after"))
-    beside = settled(beside.select("_unit", "entity", F.xxhash64("before", "after").alias("context"), F.array_distinct(F.concat("before", "after")).alias("terms")), "pii-beside")
+    beside = spans.select("_unit", "s.entity", "s.first", F.reverse(words(left)).alias("before"), right.alias("after"))
+    beside = beside.select("_unit", "entity", "first", F.slice("before", 1, rule.window).alias("before"), F.slice("after", 1, rule.window).alias("after"))
+    beside = settled(beside.select("_unit", "entity", "first", F.xxhash64("before", "after").alias("context"), F.array_distinct(F.concat("before", "after")).alias("terms")), "pii-beside")
     stands = beside.select("_unit", "entity", "context", F.explode("terms").alias("term"))
     pairs = stands.groupBy("term", "entity").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("_unit").alias("together"))
-    # A term stands in at least the texts in which it is beside some entity, several of one text counted once; so this leaves
-    # out only terms whose share is too small for certain, before the corpus is searched for them.
+    # A term stands in at least the texts in which it is beside some entity, several of one text counted once; so what is
+    # left out before the corpus is searched has too small a share, or too little information, for certain.
     pairs = pairs.filter(F.col("contexts") >= rule.support).join(stands.groupBy("term").agg(F.count_distinct("_unit").alias("beside")), "term")
-    pairs = settled(pairs.filter(F.col("together") >= rule.share * F.col("beside")), "pii-pairs")
+    # How often the entity stands in the corpus: the lesser of its rates among rows and among distinct texts, so that copies
+    # of its documents don't make it common.
+    total = texts.groupBy("_unit").agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.count("*").alias("texts")).first()
+    rates = beside.groupBy("entity", "_unit").agg(F.sum(F.col("first").cast("long")).alias("n")).groupBy("entity")
+    rates = rates.agg(F.least(F.sum("n") / F.lit(total["rows"] or 1), F.count("*") / F.lit(total["texts"] or 1)).alias("rate"))
+    # log2 P(entity | term) / P(entity).
+    tells = lambda share: (share >= rule.share) & (F.log2(share / F.col("rate")) >= rule.bits)
+    pairs = settled(pairs.join(rates, "entity").filter(tells(F.col("together") / F.col("beside"))), "pii-pairs")
     terms = bounded(pairs.select("term").distinct())
     own = texts.select("_row", "_unit", F.explode(F.array_distinct(words(F.col("_text")))).alias("term"))
     rows = settled(own.join(terms, "term", "left_semi").distinct(), "pii-rows")
     everywhere = rows.groupBy("term").agg(F.count_distinct("_unit").alias("rows"))
-    total = texts.count()
     share = F.col("together") / F.greatest("rows", "beside")
-    # log2 P(entity | term) / P(entity), where the entity's own rate is estimated from the same contexts.
-    bits = F.log2(share * total / F.col("together"))
-    found = pairs.join(everywhere, "term").select("term", share.alias("share"), bits.alias("bits")).filter((F.col("share") >= rule.share) & (F.col("bits") >= rule.bits))
+    found = pairs.join(everywhere, "term").filter(tells(share)).select("term", share.alias("share"), F.log2(share / F.col("rate")).alias("bits"))
     # The entity that the term gives away most.
     found = found.groupBy("term").agg(F.max(F.struct("share", "bits")).alias("b")).select("term", "b.share", "b.bits")
     found = settled(found.withColumn("remove", F.col("share") >= rule.remove), "pii-terms")

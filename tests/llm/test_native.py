@@ -203,6 +203,16 @@ def test_pii_copies_hide_no_term(spark):
         assert round(found["zebulon"].share, 3) == round(6 / 7, 3), (copies, again)
 
 
+def test_pii_mutual_information_counts_the_entity(spark):
+    filler = [f"filler {'abcdefgh'[i % 8] * 3}{'ijklmnop'[i // 8 % 8] * 3}{'qrstuvwx'[i // 64] * 3} text" for i in range(500)]
+    footer = [f"{f} help@site.example" for f in filler[:250]]
+    chance = [f"{f} zymurgy help@site.example" for f in filler[250:253]]
+    told = [f"{f} Zebulon z.b@mail.example" for f in filler[253:256]]
+    found = told_terms(spark, footer + chance + told + filler[256:])
+    assert "zymurgy" not in found
+    assert round(found["zebulon"].bits, 3) == round(math.log2(len(footer + chance + told + filler[256:]) / 3), 3)
+
+
 def test_pii_mask_overlaps(spark):
     docs = spark.createDataFrame([(1, "call +1.222.333.4444 or 1.2.3.4 now", "k"), (2, None, "k")], "doc_id long, text string, pii string")
     rows = {r.doc_id: r for r in pii.mask(docs).collect()}
