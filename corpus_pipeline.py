@@ -35,8 +35,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in sequences."""
-    return packing.pack(docs)
+    """Pieces of documents with their places in sequences, which follow the mix window by window."""
+    return packing.pack_mixed(docs)
 
 
 STAGES = [("quality_rules", good), ("ngram_jaccard_join", distinct), ("pii", private), ("mixing", mixed), ("best_fit_packing", packed)]

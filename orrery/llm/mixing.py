@@ -66,25 +66,29 @@ def timetable(weights: DataFrame, period: int = PERIOD) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source", text: str = "text", key: str = "doc_id", block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source", text: str = "text", key: str = "doc_id", block_chars: int = BLOCK_CHARS, period: int = PERIOD, measured: tuple[str, str] | None = None) -> DataFrame:
     """All rows and columns of `docs`, with mix_block, mix_release, mix_deadline, mix_slot and mix_place (characters
     of the block before the row). Sorting by (mix_slot, mix_place) gives the mixed order.
 
     Within a source, rows are in an order fixed by their values. No row is dropped or repeated. Null text has no
     characters; a null source is a source of its own; a source without a weight gets that of the smallest share; an
     empty table gives an empty table. Equal rows take turns in the same block. Columns of `docs` that have the name of a
-    new column are kept and the new ones get leading underscores.
+    new column are kept and the new ones get leading underscores. `measured`: columns with length and xxhash64 of the text
+    (empty for null), to be used in its place.
     """
     names = {c: clear_name(docs, c) for c in ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place")}
     safe, own = isolated(docs)
-    source, text, key = own[source], own[text], own[key]
-    chars = F.coalesce(F.length(text), F.lit(0)).cast("long")
+    source, key = own[source], own[key]
+    if measured:
+        chars, digest = (F.col(own[c]) for c in measured)
+    else:
+        chars, digest = F.coalesce(F.length(own[text]), F.lit(0)).cast("long"), F.xxhash64(F.coalesce(F.col(own[text]), F.lit("")))
     found = shares(safe.select(F.col(source).alias("source"), chars.alias("chars")), "source", "chars")
     if weights is not None:
         least = weights.agg(F.min("share")).first()[0]
         given = found.select("source").join(weights.select(F.col("source").alias("_s"), F.col("share").cast("double").alias("_w")), F.col("source").eqNullSafe(F.col("_s")), "left")
         found = given.select("source", F.coalesce("_w", F.lit(float(least or 1.0))).alias("share"))
-    sized = safe.withColumns({"_chars": chars, "_hash": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    sized = safe.withColumns({"_chars": chars, "_hash": digest})
     placed = ranked(sized, [source], [key, "_hash"], F.col("_chars"), "_before", docs.select(F.lit(1)).count())
     table = settled(timetable(found, period), "mix-table").select(*[F.col(c).alias(f"_t_{c}") for c in ("source", "ordinal", "quota", "slots", "release", "deadline", "slot")])
     quotas = table.select(F.col("_t_source").alias("_q_source"), F.col("_t_quota").alias("_q_quota")).distinct()

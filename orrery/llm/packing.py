@@ -14,29 +14,34 @@ from __future__ import annotations
 
 import zlib
 from bisect import insort
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .shared import ranked, settled
+from . import mixing
+from .shared import bounded, ranked, settled
 from .tokens import default_vocabulary, vocabulary
 
 #: Production parameters: tokens of a sequence, and the id that ends a document.
 CAPACITY = 1024
 END_ID = 2
+#: Slots of the mix that are packed together: about a million characters.
+WINDOW_SLOTS = 16
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary_path: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(row, doc_id, piece, start, length, ids_crc32): the pieces of each document; null text is empty.
+def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary_path: str | None = None, text: str = "text", key: str = "doc_id", carry: Sequence[str] = ()) -> DataFrame:
+    """(row, doc_id, piece, start, length, ids_crc32) and the columns `carry`: the pieces of each document; null text is empty.
 
     A document of more than `capacity` tokens is cut so that only its first piece may be shorter. row numbers the rows.
     """
     path = vocabulary_path or default_vocabulary()
-    names = ["row", "doc_id", "piece", "start", "length", "ids_crc32"]
+    names = ["row", "doc_id", "piece", "start", "length", "ids_crc32", *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, row = vocabulary(path), TaskContext.get().partitionId() << 33
@@ -56,10 +61,12 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, voca
             made = [pa.array(piece, pa.int32()), *[pa.array(c, pa.int64()) for c in (start, length, crc)]]
             rows = pa.array(np.arange(row, row + len(at)))
             row += len(at)
-            yield pa.RecordBatch.from_arrays([rows, batch.column(0).take(pa.array(at, pa.int64())), *made], names=names)
+            taken = [batch.column(c).take(pa.array(at, pa.int64())) for c in (0, *range(2, batch.num_columns))]
+            yield pa.RecordBatch.from_arrays([rows, taken[0], *made, *taken[1:]], names=names)
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"row long, doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *carry).mapInArrow(run, f"row long, doc_id {kind}, piece int, start long, length long, ids_crc32 long{more}")
 
 
 class Plan:
@@ -139,3 +146,37 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabu
     empty result; other columns are not read.
     """
     return seated(settled(pieces(docs, capacity, end_id, vocabulary_path, text, key), "pack-pieces"), capacity)
+
+
+def pack_mixed(docs: DataFrame, window: int = WINDOW_SLOTS, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary_path: str | None = None, source: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
+    """As pack(), but sequences follow the mix: each window of slots is packed for itself, and sequence_id counts through
+    the windows in order. So every prefix of the sequences holds the target weights within a window.
+
+    Slots are found again from the rows' values, as no column or file order need hold them. A window has about `window`
+    blocks of characters however large the table is.
+    """
+    digest = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash")
+    sized = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("_source"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("_chars"), digest)
+    cut = settled(pieces(sized, capacity, end_id, vocabulary_path, carry=("_source", "_chars", "_hash")), "pack-pieces").withColumn("_document", F.col("row") - F.col("piece"))
+    heads = cut.filter("piece = 0").select("_document", "doc_id", "_source", "_chars", "_hash")
+    slots = mixing.mix(heads, source="_source", measured=("_chars", "_hash"))
+    slots = slots.select(F.col("_document").alias("_of"), F.floor(F.col("mix_slot") / window).cast("long").alias("window"))
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("row")
+        length = table["length"].to_numpy()
+        plan = Plan(Counter(length.tolist()), capacity)
+        sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
+        for size in np.unique(length):
+            at = np.flatnonzero(length == size)
+            sequence[at], offset[at] = plan.seat(int(size), np.arange(len(at)))
+        return table.select(["window", *names]).append_column("sequence", pa.array(sequence)).append_column("offset", pa.array(offset))
+
+    kind = cut.schema["doc_id"].dataType.simpleString()
+    dealt = cut.join(slots, F.col("_document") == F.col("_of")).select("window", "row", *names)
+    made = settled(dealt.groupBy("window").applyInArrow(run, f"window long, doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence long, offset long"), "pack-windows")
+    # One row a window.
+    counts = made.groupBy(F.col("window").alias("_window")).agg((F.max("sequence") + 1).alias("_n"))
+    first = counts.select("_window", (F.sum("_n").over(Window.orderBy("_window")) - F.col("_n")).alias("_first"))
+    return made.join(bounded(settled(first, "pack-first")), F.col("window") == F.col("_window")).select(*names, (F.col("_first") + F.col("sequence")).alias("sequence_id"), "offset")

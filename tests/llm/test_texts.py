@@ -286,6 +286,18 @@ def test_pipeline_equals_its_plain_form(spark, sf_dir, reference_ids):
     check_packing(corpus_pipeline.run(spark, sf_dir).collect(), last, reference_ids)
 
 
+def test_pipeline_sequences_hold_the_target_shares(spark):
+    docs = [(i, "a" + " a" * 598, "long") for i in range(2000)] + [(10_000 + i, "a" + " a" * 498, "short") for i in range(2400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    tokens = defaultdict(lambda: [0, 0])
+    for r in dict(corpus_pipeline.STAGES)["best_fit_packing"](spark, df, "").collect():
+        tokens[r.sequence_id][r.doc_id >= 10_000] += r.length
+    assert sorted(tokens) == list(range(len(tokens)))
+    lead = np.cumsum([tokens[s][0] - tokens[s][1] for s in range(len(tokens))])
+    # Both sources have as many characters; a window has half a million tokens.
+    assert sum(map(sum, tokens.values())) == 2000 * 600 + 2400 * 500 and abs(lead).max() < 400_000
+
+
 def test_lists_survive_arrow_slices():
     from orrery.llm.near_duplicates import _groups
 
