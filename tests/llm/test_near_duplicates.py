@@ -122,3 +122,14 @@ def test_components(spark):
     got = {x.node: x.label for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: forest.find(x) for a, b in edges if a != b for x in (a, b)}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_components_of_long_paths(spark):
+    r = random.Random(7)
+    edges = []
+    for start in (0, 10_000):
+        path = list(range(start, start + 3000))
+        r.shuffle(path)
+        edges += list(zip(path, path[1:], strict=False))
+    got = {x.node: x.label for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {start + i: start for start in (0, 10_000) for i in range(3000)}
