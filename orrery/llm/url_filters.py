@@ -43,9 +43,11 @@ def intervals(events: DataFrame) -> DataFrame:
     """(key, action, since, until): when each entry held; until is null while it still holds.
 
     The last event of a key at one time wins: a removal over an action, then the greatest action.
-    Null keys and times are dropped: they name nothing and no time.
+    Null keys and times are dropped: they name nothing and no time. Hosts have no case; paths have, as in page_of().
     """
-    log = events.select(F.lower("key").alias("key"), "action", F.col("at").alias("since")).filter("key IS NOT NULL AND since IS NOT NULL")
+    host = F.substring_index("key", "/", 1)
+    key = F.concat(F.lower(host), F.expr("substring(key, length(substring_index(key, '/', 1)) + 1)"))
+    log = events.select(key.alias("key"), "action", F.col("at").alias("since")).filter("key IS NOT NULL AND since IS NOT NULL")
     log = log.groupBy("key", "since").agg(F.max(F.struct(F.col("action").isNull().alias("gone"), F.col("action").alias("action"))).alias("e"))
     spans = log.select("key", F.col("e.action").alias("action"), "since", F.lead("since").over(Window.partitionBy("key").orderBy("since")).alias("until"))
     return spans.filter("action IS NOT NULL")

@@ -122,6 +122,13 @@ def test_url_filter_asof(spark):
     assert url_filters.judge(nulls, events.limit(0)).count() == 2
 
 
+def test_url_filter_keeps_the_case_of_paths(spark):
+    events = spark.sql("SELECT key, 'block' AS action, timestamp_ntz'2024-01-01' AS at FROM VALUES ('X.org/Spam/A'), ('BAD.com') AS t(key)")
+    urls = {"http://x.ORG/Spam/A/": False, "http://x.org/spam/a": True, "http://x.org/Spam": True, "http://Bad.com/Q": False}
+    captures = spark.createDataFrame([(u,) for u in urls], "url string").selectExpr("url", "timestamp_ntz'2024-01-02' AS fetched_at")
+    assert {r.url: r.url_kept for r in url_filters.judge(captures, events).collect()} == urls
+
+
 def luhn(digits):
     return sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(digits))) % 10 == 0
 
