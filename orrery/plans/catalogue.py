@@ -752,7 +752,7 @@ _sql("sql_guard_select", "SELECT n_name, r_name FROM nation JOIN region ON n_reg
 _sql("inner_join_group", "SELECT n_name, CAST(count(*) AS BIGINT) AS customers, CAST(round(sum(c_acctbal), 2) AS DOUBLE) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 _sql("left_outer", "SELECT c_custkey, CAST(count(o_orderkey) AS BIGINT) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 _sql("right_outer", "SELECT n_name, s_name FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 5000")
-_sql("full_outer", "SELECT s_suppkey, c_custkey FROM (SELECT * FROM supplier WHERE s_suppkey < 50) s FULL OUTER JOIN (SELECT * FROM customer WHERE c_custkey BETWEEN 30 AND 80) c ON s_suppkey = c_custkey")
+_sql("full_outer", "SELECT s_suppkey, c_custkey FROM supplier FULL OUTER JOIN customer ON s_suppkey = c_custkey + 5")
 _sql("cross_join", "SELECT r_name, n_name FROM region CROSS JOIN nation WHERE r_regionkey <> n_regionkey")
 _sql("natural_join", "SELECT a.k, x, y FROM (SELECT n_nationkey AS k, n_name AS x FROM nation) a NATURAL JOIN (SELECT r_regionkey AS k, r_name AS y FROM region) b")
 _sql("join_using", "SELECT k, x, y FROM (SELECT n_regionkey AS k, n_name AS x FROM nation) a JOIN (SELECT r_regionkey AS k, r_name AS y FROM region) b USING (k)")

@@ -53,3 +53,11 @@ def test_runs(spark, sf_dir, name):
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
     assert set(driver.oracle_sql()) <= set(driver.queries())
+
+
+def test_full_outer_covers_both_tables(spark, sf_dir):
+    rows = QUERIES["full_outer"](spark, sf_dir).collect()
+    for table, key in (("supplier", "s_suppkey"), ("customer", "c_custkey")):
+        want = sorted(r[0] for r in spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key).collect())
+        assert sorted(r[key] for r in rows if r[key] is not None) == want
+        assert any(r[key] is None for r in rows)
