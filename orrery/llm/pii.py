@@ -8,6 +8,7 @@ information with the entity and generalised or removed wherever they occur.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,9 @@ KINDS = (
 )
 #: A term: a run of letters of this length or more, in lower case.
 TERM = r"\p{L}{3,}+"
+SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
+#: Values of a run of a scan, and code points of a piece of a text: they bound the work for one span, not what is found.
+RUN, PIECE = 64, 2048
 
 
 @dataclass(frozen=True)
@@ -55,26 +59,74 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _found(kind: str, pattern: str, test: str, text: Column) -> Column:
-    """Valid matches in order: array of struct(kind, start, end, value), in code points.
+def _running(values: Column, op: Callable[[Column, Column], Column], zero: Column, depth: int = 4) -> Column:
+    """Fold of the values before each one (exclusive scan), and last the fold of all.
+
+    Values are dealt to short runs and the runs' folds are scanned the same way, so that no array grows step by step with the
+    number of values.
+    """
+    kind = "array<int>"
+
+    def plain(run: Column) -> Column:
+        grow = lambda s, x: F.struct(op(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        return F.aggregate(run, F.struct(zero.alias("at"), F.array().cast(kind).alias("out")), grow, lambda s: F.concat(s["out"], F.array(s["at"])))
+
+    if depth == 1:
+        return plain(values)
+
+    def by_runs(values: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int")), lambda k: F.slice(values, k * RUN + 1, RUN))
+
+        def added(runs: Column) -> Column:
+            bases = _running(F.transform(runs, lambda r: F.aggregate(r, zero, op)), op, zero, depth - 1)
+            inside = lambda bases: F.concat(
+                F.flatten(F.transform(runs, lambda r, k: F.transform(F.slice(plain(r), F.lit(1), F.size(r)), lambda x: op(F.get(bases, k), x)))), F.slice(bases, -1, 1)
+            )
+            return let(bases, inside)
+
+        return F.when(F.size(values) > RUN, let(runs, added)).otherwise(plain(values))
+
+    return let(values, by_runs)
+
+
+def _matches(text: Column, pattern: str, kind: Callable[[Column], Column]) -> Column:
+    """All matches in order: array of struct(kind, start, end, value), in code points.
 
     Positions come from the lengths of what lies between the matches, so one pass finds all.
     """
-    span = "array<struct<kind:string,start:int,end:int,value:string>>"
 
-    def walk(found: Column, gaps: Column) -> Column:
-        def step(state: Column, i: Column) -> Column:
-            match, start = F.get(found, i), state["at"] + F.length(F.get(gaps, i))
-            one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(match)).alias("end"), match.alias("value"))
-            out = F.when(_valid(kind, match), F.concat(state["out"], F.array(one))).otherwise(state["out"])
-            return F.struct((start + F.length(match)).alias("at"), out.alias("out"))
+    def placed(found: Column, gaps: Column) -> Column:
+        sizes = F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
+
+        def spans(ends: Column) -> Column:
+            end = lambda i: F.get(ends, i + 1)
+            return F.transform(found, lambda m, i: F.struct(kind(m).alias("kind"), (end(i) - F.length(m)).alias("start"), end(i).alias("end"), m.alias("value")))
+
+        return F.when(F.size(found) > 0, let(_running(sizes, lambda a, x: a + x, F.lit(0)), spans)).otherwise(F.array().cast(SPANS))
 
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out"))
-        return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda s: s["out"])).otherwise(F.array().cast(span))
+    return let(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: let(F.split(text, pattern, -1), lambda g: placed(m, g)))
 
+
+def _found(kind: str, pattern: str, test: str, text: Column) -> Column:
+    """Valid matches of one kind, in order."""
     hit = F.contains(text, F.lit(test)) if test == "@" else text.rlike(test)
-    spans = let(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: let(F.split(text, pattern, -1), lambda g: walk(m, g)))
-    return F.when(hit, spans).otherwise(F.array().cast(span))
+    spans = F.filter(_matches(text, pattern, lambda m: F.lit(kind)), lambda s: _valid(kind, s["value"]))
+    return F.when(hit, spans).otherwise(F.array().cast(SPANS))
+
+
+def _pieces(text: Column) -> Column:
+    """The text in pieces of PIECE code points, by which _cut() finds its way."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), 0)
+
+
+def _cut(pieces: Column, a: Column, b: Column) -> Column:
+    """Code points a to b of the text: only the pieces in between are read."""
+    first, last = F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int")
+    at, to = a % PIECE, (b - 1) % PIECE + 1
+    across = F.concat(
+        F.substring(F.get(pieces, first), at + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, first + 2, F.greatest(F.lit(0), last - first - 1)), ""), F.substring(F.get(pieces, last), F.lit(1), to)
+    )
+    return F.when(b <= a, F.lit("")).when(first == last, F.substring(F.get(pieces, first), at + 1, b - a)).otherwise(across)
 
 
 def base_spans(text: Column) -> Column:
@@ -101,13 +153,19 @@ def disclosing_terms(texts: DataFrame, rule: Disclosure = Disclosure()) -> tuple
     """
     near = 40 * rule.window
     texts = texts.filter("_text <> ''").withColumn("_unit", F.xxhash64("_text"))
-    # Each span with its entity, and whether it is the entity's first in the row.
-    entities = lambda ss: let(F.transform(ss, _entity), lambda es: F.transform(ss, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(es, i).alias("entity"), (F.array_position(es, F.get(es, i)) == i + 1).alias("first"))))
-    spans = texts.select("_unit", "_text", F.explode(let(base_spans(F.col("_text")), entities)).alias("s"))
-    left = F.expr(f"substring(_text, greatest(1, s.start + 1 - {near}), least(s.start, {near}))")
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(TERM), 0)
-    right = words(F.expr(f"substring(_text, s.end + 1, {near})"))
-    beside = spans.select("_unit", "s.entity", "s.first", F.reverse(words(left)).alias("before"), right.alias("after"))
+
+    def contexts(spans: Column, pieces: Column, size: Column) -> Column:
+        """Each span's entity, whether it is the entity's first in the row, and the words on either side."""
+        sides = F.sort_array(F.transform(spans, lambda s: F.struct(_entity(s).alias("entity"), s["start"].alias("start"), s["end"].alias("end"))))
+        left = lambda s: words(_cut(pieces, F.greatest(F.lit(0), s["start"] - near), s["start"]))
+        right = lambda s: words(_cut(pieces, s["end"], F.least(size, s["end"] + near)))
+        first = lambda found, s, i: (i == 0) | (F.get(found, i - 1)["entity"] != s["entity"])
+        one = lambda found: lambda s, i: F.struct(s["entity"].alias("entity"), first(found, s, i).alias("first"), F.reverse(left(s)).alias("before"), right(s).alias("after"))
+        return let(sides, lambda found: F.transform(found, one(found)))
+
+    spans = let(base_spans(F.col("_text")), lambda ss: F.when(F.size(ss) > 0, let(_pieces(F.col("_text")), lambda p: let(F.length("_text"), lambda n: contexts(ss, p, n)))))
+    beside = texts.select("_unit", F.explode(spans).alias("s")).select("_unit", "s.entity", "s.first", "s.before", "s.after")
     beside = beside.select("_unit", "entity", "first", F.slice("before", 1, rule.window).alias("before"), F.slice("after", 1, rule.window).alias("after"))
     beside = settled(beside.select("_unit", "entity", "first", F.xxhash64("before", "after").alias("context"), F.array_distinct(F.concat("before", "after")).alias("terms")), "pii-beside")
     stands = beside.select("_unit", "entity", "context", F.explode("terms").alias("term"))
@@ -136,23 +194,12 @@ def disclosing_terms(texts: DataFrame, rule: Disclosure = Disclosure()) -> tuple
 
 
 def _term_spans(text: Column, terms: Column) -> Column:
-    """Occurrences of the terms: struct(kind, start, end, value); kind is term or dropped (to be removed)."""
-    span = "array<struct<kind:string,start:int,end:int,value:string>>"
-    pattern = TERM
-
-    def walk(found: Column, gaps: Column) -> Column:
-        def step(state: Column, i: Column) -> Column:
-            match, start = F.get(found, i), state["at"] + F.length(F.get(gaps, i))
-            hit = F.filter(terms, lambda t: t["term"] == F.lower(match))
-            one = F.struct(F.when(F.get(hit, F.lit(0))["remove"], "dropped").otherwise("term").alias("kind"), start.alias("start"), (start + F.length(match)).alias("end"), match.alias("value"))
-            out = F.when(F.size(hit) > 0, F.concat(state["out"], F.array(one))).otherwise(state["out"])
-            return F.struct((start + F.length(match)).alias("at"), out.alias("out"))
-
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out"))
-        return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda s: s["out"])).otherwise(F.array().cast(span))
-
-    found = let(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: let(F.split(text, pattern, -1), lambda g: walk(m, g)))
-    return F.when(F.size(terms) > 0, found).otherwise(F.array().cast(span))
+    """Occurrences of the terms: struct(kind, start, end, value); kind is name (capitalised), term, or dropped (to be removed)."""
+    hit = lambda m: F.filter(terms, lambda t: t["term"] == F.lower(m))
+    shape = lambda m: F.when(m.rlike(r"^\p{Lu}"), "name").otherwise("term")
+    kind = lambda m: let(hit(m), lambda h: F.when(F.size(h) == 0, "").when(F.get(h, F.lit(0))["remove"], "dropped").otherwise(shape(m)))
+    found = F.filter(_matches(text, TERM, kind), lambda s: s["kind"] != "")
+    return F.when(F.size(terms) > 0, found).otherwise(F.array().cast(SPANS))
 
 
 def detect(docs: DataFrame, rule: Disclosure = Disclosure(), text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -189,16 +236,20 @@ def report(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def sanitised(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its tag; spans that overlap become the tag of the first."""
-    tags = {kind: tag for kind, _, _, tag in KINDS} | {"term": "[TERM]", "dropped": ""}
+    tags = {kind: tag for kind, _, _, tag in KINDS} | {"name": "[NAME]", "term": "[TERM]", "dropped": ""}
     tag = lambda kind: F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in tags.items()])
 
-    def step(state: Column, s: Column) -> Column:
-        fresh = F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), tag(s["kind"]))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], fresh).otherwise(state["out"]).alias("out"))
+    def replaced(ordered: Column, pieces: Column) -> Column:
+        def joined(at: Column) -> Column:
+            """at: where what is done so far ends, before each span and after all."""
+            fresh = lambda s, i: F.when(s["start"] >= F.get(at, i), F.concat(_cut(pieces, F.get(at, i), s["start"]), tag(s["kind"]))).otherwise("")
+            rest = _cut(pieces, F.get(at, F.size(ordered)), F.length(text))
+            return F.array_join(F.concat(F.transform(ordered, fresh), F.array(rest)), "")
+
+        return let(_running(F.transform(ordered, lambda s: s["end"]), lambda a, x: F.greatest(a, x), F.lit(0)), joined)
 
     ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    rest = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)).otherwise(text)
+    return F.when(F.size(spans) > 0, let(ordered, lambda o: let(_pieces(text), lambda p: replaced(o, p)))).otherwise(text)
 
 
 def mask(docs: DataFrame, rule: Disclosure = Disclosure(), text: str = "text", key: str = "doc_id") -> DataFrame:

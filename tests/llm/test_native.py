@@ -3,9 +3,11 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from orrery.llm import mixing, pii, quality_rules, url_filters
 from orrery.llm.queries import QUERIES
@@ -181,7 +183,7 @@ def test_pii_disclosing_terms(spark):
     found, _ = pii.disclosing_terms(docs.selectExpr("doc_id AS _row", "text AS _text"), pii.Disclosure())
     assert [r.term for r in found.collect()] == ["zebulon"]
     masked = {r.doc_id: r.text for r in pii.mask(docs).collect()}
-    assert "z.b@" not in masked[0] and "Zebulon" not in masked[0] and "[EMAIL]" in masked[0]
+    assert "z.b@" not in masked[0] and "Zebulon" not in masked[0] and "[TERM]" not in masked[0] and "[EMAIL]" in masked[0]
     assert "ZEBULON" not in masked[len(told) + len(others)]
     assert masked[len(told)] == others[0].replace("p0@mail.example", "[EMAIL]")
     # Exact copies are one context: they disclose nothing.
@@ -220,6 +222,24 @@ def test_pii_mutual_information_counts_the_entity(spark):
     assert round(found["zebulon"].bits, 3) == round(math.log2(len(footer + chance + told + filler[256:]) / 3), 3)
 
 
+def test_pii_many_matches_in_one_text(spark):
+    """Time must not grow with the square of the matches: 32,000 in one text took minutes when arrays grew match by match."""
+    text = " ".join(f"Näme{i % 7} 😀 u{i}@mail{i % 500}.example" for i in range(32_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    started = time.monotonic()
+    row = pii.report(pii.detect(docs)).first()
+    assert row.n_email == 32_000 and row.base_sha256 == hashlib.sha256(joined(spans(text)).encode()).hexdigest()
+    assert pii.mask(docs).first().text == re.sub(r"u\d+@\S+", "[EMAIL]", text)
+    assert time.monotonic() - started < 60
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 5000])
+def test_running_folds(spark, n):
+    values = [(i * 7919) % 23 - 5 for i in range(n)]
+    row = spark.createDataFrame([(values,)], "v array<int>").select(pii._running(F.col("v"), lambda a, x: a + x, F.lit(0)).alias("s"), pii._running(F.col("v"), lambda a, x: F.greatest(a, x), F.lit(0)).alias("m")).first()
+    assert row.s == [sum(values[:i]) for i in range(n + 1)] and row.m == [max([0, *values[:i]]) for i in range(n + 1)]
+
+
 def test_pii_mask_overlaps(spark):
     docs = spark.createDataFrame([(1, "call +1.222.333.4444 or 1.2.3.4 now", "k"), (2, None, "k")], "doc_id long, text string, pii string")
     rows = {r.doc_id: r for r in pii.mask(docs).collect()}
