@@ -20,19 +20,19 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import mixing
 from .shared import bounded, ranked, settled
 from .tokens import default_vocabulary, vocabulary
 
 #: Production parameters: tokens of a sequence, and the id that ends a document.
 CAPACITY = 1024
 END_ID = 2
-#: Slots of the mix that are packed together: about a million characters.
-WINDOW_SLOTS = 16
+#: Rows that are packed together where sequences follow the order of a table.
+WINDOW_ROWS = 512
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary_path: str | None = None, text: str = "text", key: str = "doc_id", carry: Sequence[str] = ()) -> DataFrame:
@@ -148,35 +148,47 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabu
     return seated(settled(pieces(docs, capacity, end_id, vocabulary_path, text, key), "pack-pieces"), capacity)
 
 
-def pack_mixed(docs: DataFrame, window: int = WINDOW_SLOTS, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary_path: str | None = None, source: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
-    """As pack(), but sequences follow the mix: each window of slots is packed for itself, and sequence_id counts through
-    the windows in order. So every prefix of the sequences holds the target weights within a window.
+def _stands(docs: DataFrame) -> list[Column]:
+    """Where a row stands in its table: part and place. Tables of files: the file and the row's number in it; others: the partition."""
+    try:
+        held = docs.metadataColumn("_metadata")
+        found = [held["file_path"].alias("_part"), held["row_index"].alias("_at")]
+        docs.select(found)
+    except AnalysisException:
+        id_ = F.monotonically_increasing_id()
+        found = [F.lpad(F.shiftright(id_, 33).cast("string"), 12, "0").alias("_part"), id_.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")]
+    return found
 
-    Slots are found again from the rows' values, as no column or file order need hold them. A window has about `window`
-    blocks of characters however large the table is.
+
+def pack_in_order(docs: DataFrame, window: int = WINDOW_ROWS, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary_path: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """As pack(), but sequences follow the order of the table, which is that of its files' names and of the rows in them:
+    every `window` rows of a file are packed for themselves, and sequence_id counts through the windows in order. So any
+    run of sequences holds the rows of a run of the table, but for a window at each end.
+
+    The order is that in which a sorted table was written. A table that doesn't come from files has the order of its partitions.
     """
-    digest = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash")
-    sized = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("_source"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("_chars"), digest)
-    cut = settled(pieces(sized, capacity, end_id, vocabulary_path, carry=("_source", "_chars", "_hash")), "pack-pieces").withColumn("_document", F.col("row") - F.col("piece"))
-    heads = cut.filter("piece = 0").select("_document", "doc_id", "_source", "_chars", "_hash")
-    slots = mixing.mix(heads, source="_source", measured=("_chars", "_hash"))
-    slots = slots.select(F.col("_document").alias("_of"), F.floor(F.col("mix_slot") / window).cast("long").alias("window"))
+    own = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *_stands(docs))
+    cut = settled(pieces(own, capacity, end_id, vocabulary_path, carry=("_part", "_at")), "pack-pieces").withColumn("_window", F.floor(F.col("_at") / window).cast("long"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("row")
+        table = table.sort_by([("_at", "ascending"), ("piece", "ascending")])
         length = table["length"].to_numpy()
         plan = Plan(Counter(length.tolist()), capacity)
         sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
         for size in np.unique(length):
             at = np.flatnonzero(length == size)
             sequence[at], offset[at] = plan.seat(int(size), np.arange(len(at)))
-        return table.select(["window", *names]).append_column("sequence", pa.array(sequence)).append_column("offset", pa.array(offset))
+        return table.select(["_part", "_window", *names]).append_column("sequence", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     kind = cut.schema["doc_id"].dataType.simpleString()
-    dealt = cut.join(slots, F.col("_document") == F.col("_of")).select("window", "row", *names)
-    made = settled(dealt.groupBy("window").applyInArrow(run, f"window long, doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence long, offset long"), "pack-windows")
-    # One row a window.
-    counts = made.groupBy(F.col("window").alias("_window")).agg((F.max("sequence") + 1).alias("_n"))
-    first = counts.select("_window", (F.sum("_n").over(Window.orderBy("_window")) - F.col("_n")).alias("_first"))
-    return made.join(bounded(settled(first, "pack-first")), F.col("window") == F.col("_window")).select(*names, (F.col("_first") + F.col("sequence")).alias("sequence_id"), "offset")
+    schema = f"_part string, _window long, doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence long, offset long"
+    made = settled(cut.select("_part", "_window", "_at", *names).groupBy("_part", "_window").applyInArrow(run, schema), "pack-windows")
+    # The first sequence of each window: of its file, by a row for each file, and within it.
+    counts = made.groupBy("_part", "_window").agg((F.max("sequence") + 1).alias("n"))
+    before = lambda w: F.sum("n").over(w) - F.col("n")
+    parts = counts.groupBy(F.col("_part").alias("_of")).agg(F.sum("n").alias("n")).select("_of", before(Window.orderBy(F.length("_of"), "_of")).alias("_base"))
+    first = counts.select("_part", F.col("_window").alias("_w"), before(Window.partitionBy("_part").orderBy("_window")).alias("_first"))
+    first = first.join(bounded(parts), F.col("_part") == F.col("_of")).select("_of", "_w", (F.col("_first") + F.col("_base")).alias("_first"))
+    same = (F.col("_part") == F.col("_of")) & (F.col("_window") == F.col("_w"))
+    return made.join(bounded(settled(first, "pack-first")), same).select(*names, (F.col("_first") + F.col("sequence")).alias("sequence_id"), "offset")

@@ -61,48 +61,79 @@ def test_quality_labels(spark):
     assert not any(r.kept for r in rows if labels[r.doc_id] == 0)
 
 
-def edf(quotas):
-    """Earliest deadline first over one period, slot by slot."""
-    slots, done, out = sum(quotas), [0] * len(quotas), []
+def edf(weights, slots):
+    """Earliest deadline first, slot by slot: (source, block, release, deadline)."""
+    q, done, out = sum(weights), [0] * len(weights), []
     for t in range(slots):
-        ready = [(math.ceil((done[i] + 1) * slots / q), i) for i, q in enumerate(quotas) if done[i] < q and done[i] * slots // q <= t]
+        ready = [(-(-(done[i] + 1) * q // a), i) for i, a in enumerate(weights) if done[i] * q // a <= t]
         d, i = min(ready)
-        out.append((i, done[i], d))
+        out.append((i, done[i], done[i] * q // weights[i], d))
         done[i] += 1
     return out
 
 
-@pytest.mark.parametrize("given", [{"a": 1.0}, {"a": 5.0, "b": 3.0, "c": 1.0, None: 1.0}])
-def test_timetable_is_edf_and_fair(spark, given):
-    weights = spark.createDataFrame(list(given.items()), "source string, share double")
-    rows = mixing.timetable(weights, 60).orderBy("slot").collect()
-    names = sorted({r.source for r in rows}, key=lambda s: (s is not None, s or ""))
-    quotas = [next(r.quota for r in rows if r.source == s) for s in names]
-    assert [(names.index(r.source), r.ordinal, r.deadline) for r in rows] == edf(quotas)
-    for t in range(len(rows) + 1):
-        for s, q in zip(names, quotas, strict=True):
-            assert abs(sum(r.source == s for r in rows[:t]) - t * q / len(rows)) < 1
+def table(spark, given):
+    return spark.createDataFrame(list(given), "source string, share double")
 
 
-def test_mix_keeps_all_rows_and_meets_windows(spark):
+@pytest.mark.parametrize("shares,slots,frame", [([1.0], 20, 4), ([5.0, 3.0, 1.0, 1.0], 100, 16), ([7.0, 7.0, 7.0, 1.0, 2.0], 250, 30), ([0.61, 0.0001, 0.2, 0.1899], 900, 1), ([float(i % 9 + 1) for i in range(40)], 2000, 64)])
+def test_timetable_is_edf_and_fair(spark, shares, slots, frame):
+    names = [f"s{i:03}" for i in range(len(shares))]
+    weights = mixing.units(table(spark, zip(names, shares, strict=True)))
+    units = {r.source: r.a for r in weights.collect()}
+    rows = sorted(mixing.timetable(weights, slots, frame).collect(), key=lambda r: r.slot)
+    assert [r.slot for r in rows] == list(range(slots))
+    assert [(names.index(r.source), r.block, r.release, r.deadline) for r in rows] == edf([units[s] for s in names], slots)
+    ran, total = Counter(), sum(shares)
+    for t, r in enumerate(rows, 1):
+        assert r.release <= r.slot < r.deadline
+        ran[r.source] += 1
+        assert all(abs(ran[s] - t * w / total) < 1 for s, w in zip(names, shares, strict=True))
+
+
+def test_timetable_of_irrational_weights_over_many_slots(spark):
+    shares = {f"s{i}": math.sqrt(i + 2) ** 3 for i in range(12)}
+    rows = sorted(mixing.timetable(mixing.units(table(spark, shares.items())), 6000, 500).collect(), key=lambda r: r.slot)
+    ran, total = Counter(), sum(shares.values())
+    for t, r in enumerate(rows, 1):
+        ran[r.source] += 1
+        assert all(abs(ran[s] - t * w / total) < 1 for s, w in shares.items())
+
+
+def test_units_of_odd_shares(spark):
+    given = [("a", 2.0), ("a", 1.0), ("b", 1.0), (None, 4.0), ("z", 0.0), ("n", None), ("m", -1.0), ("x", float("nan")), ("y", float("inf"))]
+    assert {(r.source, r.a, r.q) for r in mixing.units(table(spark, given)).collect()} == {("a", 3, 8), ("b", 1, 8), (None, 4, 8)}
+    assert mixing.units(table(spark, [])).count() == 0 and mixing.timetable(mixing.units(table(spark, [])), 10).count() == 0
+
+
+def test_mix_equals_plain_python(spark):
+    """Blocks, windows, slots and places of each row, from the rows' order within their source."""
     docs = [(i, "w" * (i * 37 % 50), "en", None if i % 11 == 0 else "abc"[i % 3 * (i % 2)], i) for i in range(300)] * 2
     docs += [(None, None, None, "z", None), (7, "long " * 5000, "en", "z", 1)]
     df = spark.createDataFrame(docs, DOCS)
-    rows = mixing.mix(df, block_chars=500, period=50).collect()
+    weights = {"a": 5.0, "b": 2.0, None: 1.0, "unknown": 9.0}
+    rows = mixing.mix(df, table(spark, [*weights.items(), ("a", 1.0), ("c", 0.0)]), block_chars=500, frame=8).collect()
     assert Counter((r.doc_id, r.text, r.source) for r in rows) == Counter((d[0], d[1], d[3]) for d in docs)
-    slots = {}
+    names = [None, "a", "b", "c", "z"]
+    plan = {(names[i], j): (r, d, t) for t, (i, j, r, d) in enumerate(edf([1, 6, 2, 1, 1], 1000))}
+    by_source = {}
     for r in rows:
-        assert r.mix_release <= r.mix_slot < r.mix_deadline
-        assert slots.setdefault(r.mix_slot, (r.source, r.mix_block)) == (r.source, r.mix_block)
-    ordered = mixing.in_order(df, block_chars=500, period=50)
+        assert (r.mix_release, r.mix_deadline, r.mix_slot) == plan[r.source, r.mix_block]
+        by_source.setdefault(r.source, []).append((r.mix_block, r.mix_place, len(r.text or "")))
+    # Running sums: a row begins where those before it end.
+    for own in by_source.values():
+        at = 0
+        for block, place, size in sorted(own):
+            assert (block, place) == divmod(at, 500)
+            at += size
+    ordered = mixing.in_order(df, block_chars=500)
     assert ordered.columns == df.columns and ordered.count() == len(docs)
-    assert mixing.mix(df.limit(0)).count() == 0
+    assert mixing.mix(df.limit(0)).count() == 0 and mixing.in_order(df.limit(0)).count() == 0
 
 
 def test_mix_given_weights_and_clashing_names(spark):
     df = spark.createDataFrame([(i, "x" * 100, "ab"[i % 2], "mine") for i in range(100)], "doc_id long, text string, source string, mix_slot string")
-    weights = spark.createDataFrame([("a", 3.0), ("b", 1.0)], "source string, share double")
-    out = mixing.mix(df, weights, block_chars=100, period=40)
+    out = mixing.mix(df, table(spark, [("a", 3.0), ("b", 1.0)]), block_chars=100)
     assert out.columns == ["doc_id", "text", "source", "mix_slot", "mix_block", "mix_release", "mix_deadline", "_mix_slot", "mix_place"]
     first = [r.source for r in out.collect() if r._mix_slot < 40]
     assert first.count("a") == 30 and first.count("b") == 10

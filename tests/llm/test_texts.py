@@ -286,16 +286,41 @@ def test_pipeline_equals_its_plain_form(spark, sf_dir, reference_ids):
     check_packing(corpus_pipeline.run(spark, sf_dir).collect(), last, reference_ids)
 
 
-def test_pipeline_sequences_hold_the_target_shares(spark):
-    docs = [(i, "a" + " a" * 598, "long") for i in range(2000)] + [(10_000 + i, "a" + " a" * 498, "short") for i in range(2400)]
-    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+def lead(spark, docs, mixes):
+    """How far one source of two equal ones gets ahead of the other over the sequences, in tokens."""
+    from orrery.llm.shared import settled
+
+    stage = dict(corpus_pipeline.STAGES)
+    docs = settled(stage["mixing"](spark, docs, ""), "t") if mixes else settled(docs, "t")
     tokens = defaultdict(lambda: [0, 0])
-    for r in dict(corpus_pipeline.STAGES)["best_fit_packing"](spark, df, "").collect():
+    for r in stage["best_fit_packing"](spark, docs, "").collect():
         tokens[r.sequence_id][r.doc_id >= 10_000] += r.length
-    assert sorted(tokens) == list(range(len(tokens)))
-    lead = np.cumsum([tokens[s][0] - tokens[s][1] for s in range(len(tokens))])
-    # Both sources have as many characters; a window has half a million tokens.
-    assert sum(map(sum, tokens.values())) == 2000 * 600 + 2400 * 500 and abs(lead).max() < 400_000
+    assert sorted(tokens) == list(range(len(tokens))) and sum(map(sum, tokens.values())) == 2000 * 600 + 2400 * 500
+    return abs(np.cumsum([tokens[s][0] - tokens[s][1] for s in range(len(tokens))])).max()
+
+
+def test_pipeline_sequences_hold_the_target_shares(spark):
+    """Without the mixing stage the sources follow one another."""
+    docs = [(i, "a" + " a" * 598, "long") for i in range(2000)] + [(10_000 + i, "a" + " a" * 498, "short") for i in range(2400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").coalesce(1)
+    # Both sources have as many characters; a window has some 280,000 tokens.
+    assert lead(spark, df, True) < 300_000 < 900_000 < lead(spark, df, False)
+
+
+def test_pack_in_order_of_any_table(spark, reference_ids):
+    rows = packing.pack_in_order(odd(spark), window=3).collect()
+    assert sum(r.doc_id == 4 for r in rows) == 2 and sum(r.doc_id is None for r in rows) == 1
+    used = defaultdict(list)
+    for r in rows:
+        used[r.sequence_id].append((r.offset, r.length))
+    for places in used.values():
+        at = 0
+        for offset, size in sorted(places):
+            assert offset == at
+            at += size
+    assert packing.pack_in_order(odd(spark).limit(0)).count() == 0
+    named = spark.createDataFrame([(1, "text", "mine", 7)], "doc_id long, text string, _metadata string, _at int")
+    assert packing.pack_in_order(named).count() == 1
 
 
 def test_lists_survive_arrow_slices():
