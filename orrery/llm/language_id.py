@@ -4,21 +4,21 @@ character n-grams, from long to short until some are known."""
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .shared import crc_fold
 
-#: Bounds: documents that are learned from (those with the smallest hashes of their ids), and entries kept in each
-#: language and order (0: words, else n-grams of that length): the most frequent ones.
+#: Bound of the documents that are learned from: those with the smallest hashes of their ids. All their words and n-grams are kept.
 SAMPLE = 20_000
-ENTRIES = 30_000
+#: Entries that a task counts before it passes them on, and words whose rows a worker remembers.
+HELD, MEMORY = 500_000, 200_000
 ORDERS = (5, 4, 3, 2, 1)
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
@@ -40,75 +40,107 @@ def grams(word: str, n: int) -> list[str]:
     return [held[i : i + n] for i in range(len(held) - n + 1)]
 
 
-@dataclass
+def _key(entry: str) -> int:
+    return xxhash.xxh3_64_intdigest(entry.encode())
+
+
+class Table:
+    """Entries of one order, sparse: sorted hashes, and for each the languages that have it with what they gain by it over one
+    that doesn't. `floor`: log frequency of an entry that a language doesn't have."""
+
+    def __init__(self, entries: np.ndarray, languages: np.ndarray, counts: np.ndarray, n: int) -> None:
+        order = np.lexsort((languages, entries))
+        entries, self.language = entries[order], languages[order].astype(np.int32)
+        starts = np.flatnonzero(np.r_[True, entries[1:] != entries[:-1]]) if len(entries) else np.empty(0, np.int64)
+        self.keys, self.ends = entries[starts], np.r_[starts, len(entries)].astype(np.int64)
+        # Add-one-half smoothing over the entries that any language has.
+        self.floor = np.log(0.5) - np.log(np.bincount(languages, counts, n) + 0.5 * len(starts)) if len(entries) else np.zeros(n)
+        self.gain = (np.log(counts[order] + 0.5) - np.log(0.5)).astype(np.float32)
+
+    def find(self, entries: list[str]) -> list[int]:
+        """Rows of those entries that are known."""
+        if not len(self.keys) or not entries:
+            return []
+        keys = np.array([_key(e) for e in entries], np.uint64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at[self.keys[at] == keys].tolist()
+
+    def add(self, out: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> None:
+        """Add the weighted log frequencies of some rows, in all languages."""
+        size = self.ends[rows + 1] - self.ends[rows]
+        at = np.arange(size.sum()) + np.repeat(self.ends[rows] - (np.cumsum(size) - size), size)
+        out += weights.sum() * self.floor + np.bincount(self.language[at], self.gain[at] * np.repeat(weights, size), len(out))
+
+
 class Model:
-    """Log frequencies, less their mean over the languages: for each order a row number of each entry, and the rows."""
-
-    languages: list[str]
-    prior: np.ndarray
-    rows: np.ndarray
-    tables: dict[int, dict[str, int]] = field(default_factory=dict)
-
-    def backoff(self, word: str) -> list[int]:
-        """Rows of the n-grams of an unseen word: of the longest order of which any is known."""
-        for n in ORDERS:
-            table = self.tables[n]
-            found = [k for g in grams(word, n) if (k := table.get(g)) is not None]
-            if found:
-                return found
-        return []
+    """A table for each order, 0 for words, and the languages' prior. What a worker has looked up it remembers for a while."""
+
+    def __init__(self, languages: list[str], prior: np.ndarray, tables: dict[int, Table]) -> None:
+        self.languages, self.prior, self.tables = languages, prior, tables
+        self._known: dict[str, tuple[int, list[int]]] = {}
+
+    def __getstate__(self) -> dict[str, object]:
+        return {**self.__dict__, "_known": {}}
+
+    def rows(self, word: str) -> tuple[int, list[int]]:
+        """Order and rows of a word: its own if it is known, else those of its n-grams of the longest order of which any is."""
+        found = self._known.get(word)
+        if found is None:
+            if len(self._known) >= MEMORY:
+                self._known.clear()
+            found = -1, []
+            for n in (0, *ORDERS):
+                if own := self.tables[n].find(grams(word, n) if n else [word]):
+                    found = n, own
+                    break
+            self._known[word] = found
+        return found
 
     def total(self, found: list[str]) -> np.ndarray:
-        """Sum over words: a known word's row, or else the mean of its n-grams' rows; and the prior."""
-        at = list(map(self.tables[0].get, found))
-        out = self.prior + self.rows[[k for k in at if k is not None]].sum(axis=0, dtype=np.float64)
-        ids: list[int] = []
-        sizes: list[int] = []
-        for word, k in zip(found, at, strict=True):
-            if k is None and (own := self.backoff(word)):
-                ids += own
-                sizes.append(len(own))
-        if ids:
-            weight = np.repeat(1.0 / np.array(sizes), sizes)
-            out = out + weight @ self.rows[ids]
+        """Sum over words: a known word's log frequencies, or else the mean of its n-grams'; and the prior."""
+        out = self.prior.copy()
+        rows: dict[int, list[int]] = {n: [] for n in (0, *ORDERS)}
+        weights: dict[int, list[float]] = {n: [] for n in (0, *ORDERS)}
+        for word, count in Counter(found).items():
+            n, own = self.rows(word)
+            if own:
+                rows[n] += own
+                weights[n] += [count / len(own)] * len(own)
+        for n, own in rows.items():
+            if own:
+                self.tables[n].add(out, np.array(own), np.array(weights[n]))
         return out
 
 
-def build(counts: list[tuple[str, int, str, int]]) -> Model:
-    """From (language, order, entry, count) rows; document counts have order -1. Add-one-half smoothing."""
-    languages = sorted({r[0] for r in counts})
+def build(lang: Sequence[str], order: np.ndarray, entry: Sequence[str], count: np.ndarray) -> Model:
+    """From rows of (language, order, entry, count), in any order; those of order -1 count documents."""
+    languages = sorted(set(lang))
     place = {x: i for i, x in enumerate(languages)}
-    tables: dict[int, dict[str, int]] = {n: {} for n in (-1, 0, *ORDERS)}
-    size = 0
-    for _, order, entry, _ in counts:
-        if entry not in tables[order]:
-            tables[order][entry] = size
-            size += 1
-    rows = np.full((size, max(1, len(languages))), 0.5)
-    for language, order, entry, count in counts:
-        rows[tables[order][entry], place[language]] += count
-    prior = np.log(rows[tables[-1][""]] / rows[tables[-1][""]].sum()) if languages else np.empty(0)
-    for order in (0, *ORDERS):
-        own = list(tables[order].values())
-        if own:
-            logs = np.log(rows[own] / rows[own].sum(axis=0))
-            rows[own] = logs - logs.mean(axis=1, keepdims=True)
-    return Model(languages, prior, rows.astype(np.float32), tables)
-
-
-def train(docs: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
-    """Count words and n-grams of at most `sample` documents that aren't held out; gather at most `entries` of each order and
-    language. Rows without text or language teach nothing."""
+    at = np.array([place[x] for x in lang], np.int64)
+    docs = np.bincount(at[order == -1], count[order == -1], len(languages))
+    tables = {}
+    for n in (0, *ORDERS):
+        own = np.flatnonzero(order == n)
+        tables[n] = Table(np.array([_key(entry[k]) for k in own], np.uint64), at[own], count[own].astype(np.float64), len(languages))
+    return Model(languages, np.log((docs + 0.5) / (docs.sum() + 0.5 * len(docs))), tables)
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
+    """Count words and n-grams of at most `sample` documents that aren't held out; the sums are gathered on the driver: their
+    number is bounded by the sample. Rows without text or language teach nothing; of rows that repeat an id, all teach."""
     fold = crc_fold(F.col(key), FOLDS)
     usable = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull() & (fold != HELD_OUT))
     ids = usable.select(F.col(key).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
     taught = usable.select(F.col(key).alias("_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).join(F.broadcast(ids), "_id").select("lang", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
+    def rows(seen: Counter[tuple[str, int, str]]) -> pa.RecordBatch:
+        keys = list(seen)
+        made = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string())]
+        return pa.RecordBatch.from_arrays([*made, pa.array(list(seen.values()), pa.int64())], names=["lang", "n", "entry", "count"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[tuple[str, int, str]] = Counter()
         for batch in batches:
-            seen: Counter[tuple[str, int, str]] = Counter()
             found: Counter[tuple[str, str]] = Counter()
             for language, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[language, -1, ""] += 1
@@ -118,23 +150,21 @@ def train(docs: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES, text: s
                 for n in ORDERS:
                     for g in grams(word, n):
                         seen[language, n, g] += count
-            keys = list(seen)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(seen.values()), pa.int64())],
-                names=["lang", "n", "entry", "count"],
-            )
+            if len(seen) >= HELD:
+                yield rows(seen)
+                seen = Counter()
+        yield rows(seen)
 
-    counted = taught.mapInArrow(run, "lang string, n int, entry string, count long").groupBy("lang", "n", "entry").agg(F.sum("count").alias("count"))
-    best = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("count"), "entry"))
-    kept = counted.filter("n < 1 AND (count > 1 OR n < 0) OR n > 0").withColumn("_rank", best).filter(F.col("_rank") <= entries)
-    return build([(r["lang"], r["n"], r["entry"], r["count"]) for r in kept.drop("_rank").collect()])
+    counted = taught.mapInArrow(run, "lang string, n int, entry string, count long").groupBy("lang", "n", "entry").agg(F.sum("count").alias("count")).toArrow()
+    return build(counted["lang"].to_pylist(), counted["n"].to_numpy(), counted["entry"].to_pylist(), counted["count"].to_numpy())
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row; score is the probability of the predicted language.
 
     A null text or one without a letter is `und` with score 0, and so is everything if nothing was learned. A null id isn't
-    held out.
+    held out. Of languages with equal totals the first by name is predicted; equal texts, of any length, get equal answers; other columns are
+    not read; an empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

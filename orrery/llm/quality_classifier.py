@@ -56,11 +56,13 @@ def statistics(text: str | None) -> list[float]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality", text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(text, label) of at most `sample` labelled rows that aren't held out; one label for each id, the smallest."""
+    """(text, label) of at most `sample` labelled rows that aren't held out; one label for each id, the smallest, and one text."""
     fold = crc_fold(F.col(key), FOLDS)
     ids = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & (fold != HELD_OUT)).groupBy(F.col(key).alias("_id")).agg(F.min(label).alias("label"))
     ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    return docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(F.broadcast(ids), "_id").select("text", "label")
+    own = docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(F.broadcast(ids), "_id")
+    # At most one row an id: of repeated ones the text with the smallest hash, so that the same rows always teach.
+    return own.groupBy("_id").agg(F.min_by(F.struct("text", "label"), F.struct(F.xxhash64("text"), "text")).alias("r")).select("r.text", "r.label")
 
 
 def train(docs: DataFrame, labels: DataFrame, options: Options = Options(), sample: int = SAMPLE, **columns: str) -> Boosted:
@@ -71,7 +73,7 @@ def train(docs: DataFrame, labels: DataFrame, options: Options = Options(), samp
             rows = [np.array(statistics(t)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1).cast(pa.int64())], names=["x", "y"])
 
-    found = training_rows(docs, labels, sample, **columns).mapInArrow(run, "x array<double>, y long").limit(2 * sample).toPandas()
+    found = training_rows(docs, labels, sample, **columns).mapInArrow(run, "x array<double>, y long").toPandas()
     # Ties in the order of arrival must not matter: rows are sorted by their numbers.
     x = np.array(found["x"].tolist()) if len(found) else np.zeros((0, len(statistics(None))))
     y = found["y"].to_numpy(np.float64)
@@ -80,7 +82,8 @@ def train(docs: DataFrame, labels: DataFrame, options: Options = Options(), samp
 
 
 def classify(docs: DataFrame, model: Boosted, text: str = "text", key: str = "doc_id", limit: float = LIMIT) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row. Null text counts as empty; a null id is not held out."""
+    """(doc_id, held_out, score, predicted) for each row. Null text counts as empty; a null id is not held out; equal texts, of any
+    length, have equal scores; a score of just `limit` counts as good; other columns are not read; an empty table gives an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -163,6 +163,62 @@ def test_quality_classifier_edges(spark):
     assert quality_classifier.classify(docs.limit(0), model).count() == 0
     assert quality_classifier.train(docs, labels.limit(0)).score(np.zeros((1, 1))).tolist() == [0.5]
     assert len({len(quality_classifier.statistics(t)) for t in ODD}) == 1
+    # Repeated rows, a very long text, a column named like a new one: one score a row, equal ones for equal texts.
+    more = spark.createDataFrame([(1, "a b c", 0.5), (1, "a b c", 0.7), (2, "word " * 60_000, 0.1), (None, None, None)], "doc_id long, text string, score double")
+    scores = quality_classifier.classify(more, model).collect()
+    assert len(scores) == 4 and len({r.score for r in scores if r.doc_id == 1}) == 1
+    # Of repeated ids one text teaches, always the same.
+    twice = spark.createDataFrame([(1, "good", "x"), (1, "other", "x"), (3, "bad", "x")], "doc_id long, text string, score string")
+    held = lambda d: sorted(tuple(r) for r in quality_classifier.training_rows(d, spark.createDataFrame([(1, 1), (1, 1), (3, 0)], "doc_id long, quality int")).collect())
+    assert len(held(twice)) == 2 and held(twice) == held(twice.orderBy("text").repartition(3))
+
+
+def plain_statistics(text):
+    """The same numbers, counted one by one."""
+    raw = (text or "").encode()
+    words, lines = raw.split(), [x for x in raw.split(b"\n") if x.strip()]
+    n, chars, lengths = max(1, len(words)), max(1, len(raw)), [len(w) for w in words] or [0]
+    of = lambda test: sum(map(test, raw)) / chars
+    listed = [of(lambda b, c=c: b in c) for c in quality_classifier._CLASSES]
+    held = b"".join(quality_classifier._CLASSES)
+    upper, lower, wide = of(lambda b: 65 <= b <= 90), of(lambda b: 97 <= b <= 122), of(lambda b: b >= 128)
+    other = of(lambda b: b < 128 and b not in held and not (65 <= b <= 90 or 97 <= b <= 122))
+    mean = sum(lengths) / len(lengths)
+    symbols = b"#*$%&|<>!"
+    size, extra = divmod(len(raw), 8)
+    cuts = [0]
+    for k in range(8):
+        cuts.append(cuts[-1] + size + (k < extra))
+    parts = [sum(b in symbols for b in raw[a:b_]) / (b_ - a) if b_ > a else 0.0 for a, b_ in zip(cuts, cuts[1:], strict=False)]
+    before = sum(a in symbols and b in b"\n \t\r\x0b\x0c" for a, b in zip(raw, raw[1:], strict=False))
+    return [
+        np.log1p(len(words)), np.log1p(len(raw)), mean, (sum((x - mean) ** 2 for x in lengths) / len(lengths)) ** 0.5, max(lengths),
+        *listed, upper, lower, wide, other, len(set(words)) / n, max(Counter(words).values(), default=0) / n,
+        sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, sum(w.isupper() for w in words) / n,
+        before / n, len(lines) / n, len(set(lines)) / max(1, len(lines)), max(parts), min(parts),
+    ]
+
+
+def test_statistics_equal_plain_python(texts):
+    for text in [*ODD, *list(texts.values())[:60]]:
+        assert np.allclose(quality_classifier.statistics(text), plain_statistics(text)), text
+
+
+def test_first_tree_equals_plain_search():
+    """The best split of one level, over all features and limits, from sums of gradients row by row."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 12, (300, 3)).astype(float)
+    y = (x[:, 1] + rng.normal(size=300) > 6).astype(float)
+    model = boosting.fit(x, y, boosting.Options(trees=1, depth=1))
+    p = (y.sum() + 0.5) / 301
+    grad, hess = p - y, np.full(300, p * (1 - p))
+    part = lambda m: grad[m].sum() ** 2 / (hess[m].sum() + 1)
+    best = max(((part(x[:, f] <= c) + part(x[:, f] > c), f, c) for f in range(3) for c in range(11)), key=lambda t: t[0])
+    f, limit = int(model.feature[0][0]), model.limit[0][0]
+    left = x[:, f] <= limit
+    assert abs(part(left) + part(~left) - best[0]) < 1e-9
+    for side, value in zip((left, ~left), model.value[0], strict=True):
+        assert abs(value + 0.15 * grad[side].sum() / (hess[side].sum() + 1)) < 1e-12
 
 
 def test_language_id_held_out(spark):
@@ -175,15 +231,64 @@ def test_language_id_held_out(spark):
     assert np.mean([r.lang_pred == langs[r.doc_id] for r in rows if r.held_out]) > 0.97
 
 
-def test_language_id_backoff_and_edges(spark):
+def plain_model(rows):
+    """Counts of words and n-grams by language and order, as dictionaries."""
+    docs, counts = Counter(), defaultdict(Counter)
+    for lang, text in rows:
+        docs[lang] += 1
+        for w in language_id.words(text):
+            counts[0][lang, w] += 1
+            for n in language_id.ORDERS:
+                for g in language_id.grams(w, n):
+                    counts[n][lang, g] += 1
+    return docs, counts
+
+
+def plain_total(docs, counts, text):
+    """Log probability of each language, word by word."""
+    languages, out = sorted(docs), []
+    vocab = {n: {e for _, e in c} for n, c in counts.items()}
+    for x in languages:
+        size = {n: sum(v for (y, _), v in c.items() if y == x) for n, c in counts.items()}
+        log = lambda n, e: np.log((counts[n][x, e] + 0.5) / (size[n] + 0.5 * len(vocab[n])))
+        total = np.log((docs[x] + 0.5) / (sum(docs.values()) + 0.5 * len(languages)))
+        for w in language_id.words(text):
+            if w in vocab[0]:
+                total += log(0, w)
+                continue
+            for n in language_id.ORDERS:
+                known = [g for g in language_id.grams(w, n) if g in vocab[n]]
+                if known:
+                    total += np.mean([log(n, g) for g in known])
+                    break
+        out.append(total)
+    return out
+
+
+def test_language_id_equals_plain_python(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    rows = [r for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    model, plain = language_id.train(docs), plain_model([(r.lang, r.text) for r in rows if r.lang and r.text])
+    assert model.languages == sorted(plain[0])
+    for text in [r.text for r in docs.collect()[:20]] + ["schlafender kätzchen", "unseenish wordlike", "qqqq ййй", "the the the"]:
+        assert np.allclose(model.total(language_id.words(text)), plain_total(*plain, text), rtol=1e-4)
+
+
+def test_language_id_backoff_and_edges(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MEMORY", 3)
     rows = [(i, "the cat sat on the mat and the hat", "en", 0) for i in range(20)] + [(100 + i, "der hund und die katze schlafen", "de", 0) for i in range(20)]
-    rows += [(300, None, "en", 0), (301, "12 + 3 ²", "en", 0), (302, "text", None, 0), (None, "the", "de", 0)]
+    rows += [(300, None, "en", 0), (301, "12 + 3 ²", "en", 0), (302, "text", None, 0), (None, "the", "de", 0), (303, "hund " * 40_000, None, 0), (0, "the cat", "en", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
     model = language_id.train(docs)
     assert model.languages == ["de", "en"]
-    assert model.total(["schlafender"]).argmax() == 0 and "schlafender" not in model.tables[0] and model.backoff("qqqqq") == []
-    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs, model).collect()}
-    assert got[0][0] == "en" and got[100][0] == "de" and got[300] == got[301] == ("und", 0.0)
+    assert model.total(["schlafender"]).argmax() == 0 and model.rows("schlafender")[0] == 5 and model.rows("qqqqq") == (-1, [])
+    found = language_id.identify(docs, model).collect()
+    assert len(found) == len(rows)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in found}
+    assert got[0][0] == "en" and got[100][0] == got[303][0] == "de" and got[300] == got[301] == ("und", 0.0)
+    # A tie: the first by name.
+    even = spark.createDataFrame([(1, "abc", "y"), (3, "abc", "x")], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language_id.identify(even, language_id.build(["x", "y"] * 2, np.array([-1, -1, 0, 0]), ["", "", "abc", "abc"], np.ones(4))).collect()} == {"x"}
     empty = language_id.train(docs.limit(0))
     assert {r.lang_pred for r in language_id.identify(docs, empty).collect()} == {"und"}
     assert language_id.identify(docs.limit(0), model).count() == 0
