@@ -8,6 +8,8 @@ plan: no shuffle, no user function, one pass over the text.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,19 +27,24 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """A measure must lie in [low, high]; None: open on that side. Ratios: a zero denominator gives 0."""
+    """A measure must lie in [low, high]; None: open on that side. Ratios: a zero denominator gives 0. base: the rule decides
+    base_failed. languages: only texts that are marked with one of them are judged."""
 
     name: str
     measure: str
     low: float | None = None
     high: float | None = None
+    base: bool = False
+    languages: tuple[str, ...] = ()
 
 
-#: Production thresholds. The contract's base rules come first and decide base_failed.
+#: Production thresholds. The base rules come first.
 RULES = (
+    Rule("words", "n_words", 50, None, base=True),
+    Rule("repeated_windows", "n_repeat_words / n_words", None, 0.5, base=True),
     Rule("mean_word_length", "word_chars / n_words", 2.0, 14.0),
     Rule("symbol_to_word", "n_symbols / n_words", None, 0.1),
-    Rule("stop_words", "n_stop_words / n_words", 0.02, None),
+    Rule("stop_words", "n_stop_words / n_words", 0.02, None, languages=("en", "de", "fr", "es")),
     Rule("upper_case", "n_upper / n_letters", None, 0.4),
     Rule("exclamations", "n_exclaim / n_words", None, 0.2),
     Rule("letters", "n_letters / word_chars", 0.6, None),
@@ -109,32 +116,35 @@ def measures(text: Column) -> Column:
     return let(words_of(text), lambda w: let(lines, lambda x: of(w, x)))
 
 
-def verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+def verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", lang: str = "lang") -> DataFrame:
     """All columns of `docs` and `quality`, a struct of the counts, base_failed, failed (names of rules) and kept.
 
-    Null and empty texts have counts of zero and fail the base rule. Repeated rows are judged one by
-    one. If `docs` has a column of that name, the new one gets a leading underscore.
+    Null and empty texts have counts of zero and fail the base rules. Repeated rows are judged one by
+    one. Rules for some languages judge no row whose `lang` is null or another one, and none if there is no such column. If `docs` has a
+    column named quality, the new one gets a leading underscore.
     """
-    return docs.withColumn(clear_name(docs, "quality"), let(measures(F.col(text)), lambda m: _judged(m, rules)))
+    mark = F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
+    return docs.withColumn(clear_name(docs, "quality"), let(measures(F.col(text)), lambda m: _judged(m, mark, rules)))
 
 
-def _judged(m: Column, rules: tuple[Rule, ...]) -> Column:
+def _judged(m: Column, lang: Column, rules: tuple[Rule, ...]) -> Column:
     """The measures and the verdict. One expression: a filter on it that Spark moves down computes the measures once."""
 
     def value(rule: Rule) -> Column:
         top, _, bottom = rule.measure.partition(" / ")
-        return F.when(m[bottom] > 0, m[top] / m[bottom]).otherwise(0.0)
+        return F.when(m[bottom] > 0, m[top] / m[bottom]).otherwise(0.0) if bottom else m[top]
 
     def broken(rule: Rule) -> Column:
         low = value(rule) < rule.low if rule.low is not None else F.lit(False)
-        return low | (value(rule) > rule.high) if rule.high is not None else low
+        out = low | (value(rule) > rule.high) if rule.high is not None else low
+        return out & F.coalesce(lang.isin(*rule.languages), F.lit(False)) if rule.languages else out
 
-    base = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
-    failed = F.array_compact(F.array(F.when(base, F.lit("base")), *[F.when(broken(r), F.lit(r.name)) for r in rules]))
+    base = reduce(or_, [broken(r) for r in rules if r.base], F.lit(False))
+    failed = F.array_compact(F.array(*[F.when(broken(r), F.lit(r.name)) for r in rules]))
     return let(failed, lambda f: F.struct(*[m[c].alias(c) for c in MEASURES], base.alias("base_failed"), f.alias("failed"), (F.size(f) == 0).alias("kept")))
 
 
-def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of `docs` that break no rule, with the columns that `docs` has."""
     safe, own = isolated(docs)
-    return verdicts(safe, rules, own["text"]).filter("quality.kept").select(*[F.col(a).alias(c) for c, a in own.items()])
+    return verdicts(safe, rules, own[text], own.get(lang, "")).filter("quality.kept").select(*[F.col(a).alias(c) for c, a in own.items()])

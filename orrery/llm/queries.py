@@ -15,7 +15,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.verdicts(_docs(spark, sf_dir).select("doc_id", "text"))
+    judged = quality_rules.verdicts(_docs(spark, sf_dir).select("doc_id", "text", "lang"))
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return judged.select("doc_id", *[F.col(f"quality.{f}").alias(f) for f in fields])
 
@@ -81,26 +81,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def _rule_sql(rule: quality_rules.Rule) -> str:
     top, _, bottom = rule.measure.partition(" / ")
-    value = f"CASE WHEN {bottom} > 0 THEN {top} / CAST({bottom} AS DOUBLE) ELSE 0 END"
+    value = f"CASE WHEN {bottom} > 0 THEN {top} / CAST({bottom} AS DOUBLE) ELSE 0 END" if bottom else top
     tests = ([f"({value}) < {rule.low}"] if rule.low is not None else []) + ([f"({value}) > {rule.high}"] if rule.high is not None else [])
-    return " OR ".join(tests)
+    among = ", ".join(f"'{x}'" for x in rule.languages)
+    return f"({' OR '.join(tests)})" + (f" AND coalesce(lang IN ({among}), false)" if among else "")
 
 
 _STOP = ", ".join(f"'{f}'" for f in sorted({f for w in quality_rules.STOP_WORDS for f in (w, w.capitalize())}))
 OP1_SQL = rf"""
-WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
 g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY doc_id),
-m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+m AS (SELECT w.doc_id, w.lang, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
   CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines, len(list_filter(ls, lambda x: regexp_matches(ltrim(x), '^[-*•]\s'))) AS n_bullets,
   len(list_filter(ls, lambda x: regexp_matches(rtrim(x), '(\.\.\.|…)$'))) AS n_ellipses, len(list_filter(ws, lambda x: x IN ({_STOP}))) AS n_stop_words,
   len(regexp_extract_all(t, '\p{{L}}')) AS n_letters, len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper, len(regexp_extract_all(t, '!')) AS n_exclaim
   FROM w LEFT JOIN covered ON covered.doc_id = w.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR {" OR ".join(map(_rule_sql, quality_rules.RULES))}) AS kept FROM m
+  NOT ({" OR ".join(map(_rule_sql, quality_rules.RULES))}) AS kept FROM m
 """
 OP3_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -115,7 +116,8 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b)
 """
 _EVENTS = ", ".join(f"('{k}', {'NULL' if a is None else repr(a)}, {d})" for k, a, d in url_filters.LIST_EVENTS)
 OP5_SQL = rf"""
-WITH ev AS (SELECT key, action, TIMESTAMP '2024-01-01' + to_days(day) AS since, lead(TIMESTAMP '2024-01-01' + to_days(day)) OVER (PARTITION BY key ORDER BY day) AS until FROM (VALUES {_EVENTS}) t(key, action, day)),
+WITH log(key, action, day) AS (SELECT lower(split_part(key, '/', 1)) || substr(key, length(split_part(key, '/', 1)) + 1), action, day FROM (VALUES {_EVENTS}) t(key, action, day)),
+ev AS (SELECT key, action, TIMESTAMP '2024-01-01' + to_days(day) AS since, lead(TIMESTAMP '2024-01-01' + to_days(day)) OVER (PARTITION BY key ORDER BY day) AS until FROM log),
 c AS (SELECT page_id, url, TIMESTAMP '2024-01-01' + to_hours(page_id % 8760) AS fetched,
   regexp_replace(regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1), '\.+$', '') AS host,
   regexp_replace(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)?', 1), '/+$', '') AS path FROM pages),

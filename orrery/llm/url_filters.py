@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import bounded, clear_name, isolated
+from . import shared
+from .shared import bounded, clear_name, isolated, settled
 
 #: Production list: fixed values (key, action or null for a removal, day of 2024 on which the event happened).
 LIST_EVENTS = (
@@ -29,7 +30,12 @@ LIST_EVENTS = (
     ("tiontion.example.net", "block", 300),
     ("example.org", "block", 340),
     ("tionble.example.org", "allow", 345),
+    ("ththre.example.com/fr/825", "block", 0),
+    ("m.ththth.example.net/en", "block", 0),
+    ("Tionsh.example.net/Old", "block", 10),
 )
+#: Where the list is too large to be broadcast: captures of a key beyond which its entries are repeated and its captures dealt.
+HOT_CAPTURES = 50_000
 
 
 def production_list(spark: SparkSession) -> DataFrame:
@@ -43,10 +49,12 @@ def intervals(events: DataFrame) -> DataFrame:
     """(key, action, since, until): when each entry held; until is null while it still holds.
 
     The last event of a key at one time wins: a removal over an action, then the greatest action.
-    Null keys and times are dropped: they name nothing and no time. Hosts have no case; paths have, as in page_of().
+    Null and empty keys and null times are dropped: they name nothing and no time. Hosts have no case; paths have; dots at the end of a
+    host and slashes at the end of a key don't count, as in page_of().
     """
-    host = F.substring_index("key", "/", 1)
-    key = F.concat(F.lower(host), F.expr("substring(key, length(substring_index(key, '/', 1)) + 1)"))
+    host = F.regexp_replace(F.lower(F.substring_index("key", "/", 1)), r"\.+$", "")
+    path = F.expr("substring(key, length(substring_index(key, '/', 1)) + 1)")
+    key = F.nullif(F.concat(host, F.regexp_replace(path, "/+$", "")), F.lit(""))
     log = events.select(key.alias("key"), "action", F.col("at").alias("since")).filter("key IS NOT NULL AND since IS NOT NULL")
     log = log.groupBy("key", "since").agg(F.max(F.struct(F.col("action").isNull().alias("gone"), F.col("action").alias("action"))).alias("e"))
     spans = log.select("key", F.col("e.action").alias("action"), "since", F.lead("since").over(Window.partitionBy("key").orderBy("since")).alias("until"))
@@ -65,6 +73,26 @@ def page_of(url: Column) -> Column:
     return F.concat(host_of(url), F.regexp_replace(path, "/+$", ""))
 
 
+def _dealt(keyed: DataFrame, held: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join by key, with _salt and _share to be joined by as well.
+
+    A list of few entries is broadcast. Beyond that, keys that many captures have (a top-level domain, a large host) are dealt to
+    as many shares as they need, and their entries repeated for each; those that the list doesn't have leave at once.
+    """
+    whole = held.withColumn("_share", F.lit(0))
+    if held.limit(shared.BROADCAST_ROWS + 1).count() <= shared.BROADCAST_ROWS:
+        return keyed.withColumn("_salt", F.lit(0)), F.broadcast(whole)
+    keyed = settled(keyed, "url-keyed")
+    hot = keyed.groupBy(F.col("_k").alias("_hot")).agg(F.count("*").alias("n")).filter(F.col("n") > HOT_CAPTURES)
+    listed = held.select(F.col("_key").alias("_listed")).distinct()
+    hot = hot.join(listed, F.col("_hot") == F.col("_listed"), "left").select("_hot", F.when(F.col("_listed").isNotNull(), F.ceil(F.col("n") / HOT_CAPTURES)).otherwise(0).cast("int").alias("_shares"))
+    hot = bounded(settled(hot, "url-hot"))
+    shares = F.coalesce("_shares", F.lit(1))
+    left = keyed.join(hot, F.col("_k") == F.col("_hot"), "left").filter(shares > 0).withColumn("_salt", F.pmod(F.xxhash64(*by), shares).cast("int"))
+    right = held.join(hot, F.col("_key") == F.col("_hot"), "left").withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1)))
+    return left.drop("_hot", "_shares"), right.drop("_hot", "_shares")
+
+
 def judge(captures: DataFrame, events: DataFrame, url: str = "url", fetched: str = "fetched_at", default: str = "keep") -> DataFrame:
     """All columns of `captures`, with url_host, url_entries (active entries that match), url_rule (the key that decides,
     null: none), url_action and url_kept.
@@ -82,7 +110,8 @@ def judge(captures: DataFrame, events: DataFrame, url: str = "url", fetched: str
     labels = F.split(F.col(host), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     keyed = distinct.select(host, page, at, F.explode(F.array_distinct(F.concat(suffixes, F.array(page)))).alias("_k"))
-    active = keyed.join(bounded(held), (F.col("_k") == F.col("_key")) & (F.col(at) >= F.col("_since")) & (F.col("_until").isNull() | (F.col(at) < F.col("_until"))))
+    keyed, held = _dealt(keyed, held, [page, at])
+    active = keyed.join(held, (F.col("_k") == F.col("_key")) & (F.col("_salt") == F.col("_share")) & (F.col(at) >= F.col("_since")) & (F.col("_until").isNull() | (F.col(at) < F.col("_until"))))
     best = F.max(F.struct(F.length("_key").alias("n"), F.col("_key").alias("key"), F.col("_action").alias("action"))).alias("_best")
     ruled = active.groupBy(page, at).agg(F.count("*").alias("_n"), best).select(F.col(page).alias("_page2"), F.col(at).alias("_at2"), "_n", "_best")
     out = seen.join(ruled, (F.col(page) == F.col("_page2")) & (F.col(at) == F.col("_at2")), "left")

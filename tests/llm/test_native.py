@@ -46,6 +46,13 @@ def test_quality_edges(spark):
     assert quality_rules.verdicts(docs.limit(0)).count() == 0
 
 
+def test_quality_sql_is_the_table(spark):
+    """Every rule of the table stands in the SQL."""
+    from orrery.llm.queries import OP1_SQL
+
+    assert all(r.measure.split(" / ")[0] in OP1_SQL for r in quality_rules.RULES) and [r.base for r in quality_rules.RULES[:3]] == [True, True, False]
+
+
 def test_quality_keeps_columns(spark):
     good = " ".join(f"the word{chr(97 + i % 26)}{chr(97 + i // 26)} of" for i in range(40))
     docs = spark.createDataFrame([(1, good, "q"), (2, "bad", "q")], "doc_id long, text string, quality string")
@@ -53,6 +60,14 @@ def test_quality_keeps_columns(spark):
     assert quality_rules.keep(docs).columns == docs.columns
 
 
+def test_quality_judges_stop_words_of_known_languages_only(spark):
+    russian = " ".join(f"слово{chr(1072 + i % 30)}{chr(1072 + i // 30)} и ещё" for i in range(160))
+    english = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)} thing" for i in range(160))
+    docs = spark.createDataFrame([(1, russian, "ru"), (2, russian, None), (3, english, "en"), (4, english, "sw"), (5, "x " * 200_000, "en")], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.quality.failed for r in quality_rules.verdicts(docs).collect()} == {1: [], 2: [], 3: ["stop_words"], 4: [], 5: ["words", "repeated_windows"][1:] + ["mean_word_length", "stop_words"]}
+    assert quality_rules.verdicts(docs.drop("lang")).filter("quality.kept").count() == 4
+
+
 def test_quality_labels(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
@@ -162,6 +177,38 @@ def test_url_filter_keeps_the_case_of_paths(spark):
     assert {r.url: r.url_kept for r in url_filters.judge(captures, events).collect()} == urls
 
 
+def test_url_filter_normalises_keys(spark):
+    events = spark.sql("SELECT key, 'block' AS action, timestamp_ntz'2024-01-01' AS at FROM VALUES ('Bad.com.'), ('x.org/Spam/'), (''), ('/'), ('zip') AS t(key)")
+    urls = {"http://bad.com/a": False, "http://x.org/Spam": False, "http://x.org/": True, "http://any.zip/": False, "nothing": True, "http://": True}
+    captures = spark.createDataFrame([(u,) for u in urls], "url string").selectExpr("url", "timestamp_ntz'2024-01-02' AS fetched_at")
+    assert {r.url: r.url_kept for r in url_filters.judge(captures, events).collect()} == urls
+
+
+def test_url_filter_with_a_list_beyond_the_bound(spark, monkeypatch):
+    """The same answers by broadcast and by dealing hot keys, against plain Python."""
+    at = "timestamp_ntz'2024-01-01' + make_dt_interval(CAST({} AS INT))"
+    events = spark.range(3000).selectExpr("concat('h', id % 700, IF(id % 3 = 0, '.com', '.org')) AS key", "IF(id % 5 = 0, NULL, IF(id % 7 = 0, 'allow', 'block')) AS action", at.format("id % 50") + " AS at")
+    events = events.union(spark.sql(f"SELECT 'com', 'block', {at.format(40)}"))
+    captures = spark.range(4000).selectExpr("id", "concat('http://', IF(id % 4 = 0, '', 'www.'), 'h', id * id % 900, IF(id % 2 = 0, '.com', '.org'), '/', id % 50) AS url", at.format("id % 60") + " AS fetched_at")
+    judged = lambda: sorted(tuple(r) for r in url_filters.judge(captures, events).collect())
+    whole = judged()
+    monkeypatch.setattr(url_filters.shared, "BROADCAST_ROWS", 100)
+    monkeypatch.setattr(url_filters, "HOT_CAPTURES", 300)
+    assert judged() == whole and len(whole) == 4000
+    log = {}
+    for r in events.collect():
+        held = log.setdefault(r.key, {})
+        held[r.at] = max(held.get(r.at, (False, "")), (r.action is None, r.action or ""))
+    for r in captures.collect():
+        host = r.url.split("/")[2]
+        best = (0, "keep")
+        for k in {host, host.removeprefix("www."), host.rsplit(".", 1)[1], host + "/" + r.url.rsplit("/", 1)[1]}:
+            past = [t for t in log.get(k, {}) if t <= r.fetched_at]
+            if past and not log[k][max(past)][0]:
+                best = max(best, (len(k), log[k][max(past)][1]))
+        assert whole[r.id][-2] == best[1], r
+
+
 def luhn(digits):
     return sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(digits))) % 10 == 0
 
