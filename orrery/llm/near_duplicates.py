@@ -31,6 +31,8 @@ from .shared import bounded, isolated, settled
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 _S = np.uint64(33)
+#: A key is hot beyond this part of all rows, so there are no more hot ones.
+HOT_KEYS = 50_000
 
 
 @dataclass(frozen=True)
@@ -219,6 +221,19 @@ def _compare(join: Join):
     return run
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """(h, node, count) of those rows (h, node) whose key others have too.
+
+    Keys are counted with partial sums; those that hold more than a small part of all rows, of which there can't be many, meet their rows by
+    a broadcast, so that no task gets all rows of such a key.
+    """
+    totals = settled(rows.groupBy("h").agg(F.count("*").cast("int").alias("count")).filter("count > 1"), "ngram-totals")
+    limit = F.lit(max(2048, (totals.agg(F.sum("count")).first()[0] or 0) // HOT_KEYS))
+    hot = F.broadcast(totals.filter(F.col("count") > limit))
+    rest = rows.join(F.broadcast(hot.select("h")), "h", "left_anti").join(totals.filter(F.col("count") <= limit), "h")
+    return rest.union(rows.join(hot, "h").select(rest.columns))
+
+
 def _first(rows: DataFrame, wanted: DataFrame, number: str) -> DataFrame:
     """(h, node): of each node's elements, the rarest that fill its prefix, as far as others have them too.
 
@@ -246,12 +261,7 @@ def _candidates(texts: DataFrame, heads: DataFrame, join: Join) -> DataFrame:
     hash. Groups of a key with more than `group` rows, which have nothing rarer in common, are near copies of one text as a
     rule; they are joined to their smallest node without comparison and so make up one block.
     """
-    same = Window.partitionBy("h")
-
-    def shared(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("count", F.count("*").over(same).cast("int")).filter("count > 1")
-
-    counted = settled(shared(heads.select(F.explode("keys").alias("h"), "node")), "ngram-counted")
+    counted = settled(_counted(heads.select(F.explode("keys").alias("h"), "node")), "ngram-counted")
     brief = heads.select("node", "p", F.size("keys").alias("low"))
     hots = settled(counted.filter(F.col("count") > join.hot).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "h"))).alias("hots")), "ngram-hot")
     cool = brief.join(bounded(hots.select("node", F.size("hots").alias("n_hot"))), "node", "left").select("node", "p", (F.col("low") - F.coalesce("n_hot", F.lit(0))).alias("total"))
@@ -260,18 +270,20 @@ def _candidates(texts: DataFrame, heads: DataFrame, join: Join) -> DataFrame:
     open_ = cool.filter("total < p").join(heads.select("node", "doc_id", "text_hash", "digest", "n", F.size("keys").alias("low")), "node")
     open_ = settled(open_.select("node", "doc_id", "text_hash", "digest", "n", (F.col("p") - F.col("total")).alias("need"), "low"), "ngram-open")
     beyond = _made(texts, open_, join).select("node", F.explode(F.slice("items", F.col("low") + 1, F.greatest(F.lit(1), F.size("items")))).alias("h"))
+    beyond = settled(beyond, "ngram-beyond")
     late = open_.select("node", "need", (F.col("n") - F.col("low")).alias("total"))
-    keys = keys.union(_first(shared(beyond), late, "need"))
+    keys = keys.union(_first(_counted(beyond), late, "need"))
     short = late.filter("need > total").join(hots, "node")
     keys = keys.union(short.select(F.explode(F.slice("hots", F.lit(1), F.least((F.col("need") - F.col("total")).cast("int"), F.size("hots")))).alias("e"), "node").select("e.h", "node"))
-    # A row without a neighbour of like size has no partner in its group.
-    sized = keys.join(heads.select("node", "n"), "node").withColumn("count", F.count("*").over(same))
+    keys = settled(keys, "ngram-keys")
+    totals = keys.groupBy("h").agg(F.count("*").alias("count"), F.min("node").alias("a")).filter("count > 1")
+    big = bounded(settled(totals.filter(F.col("count") > join.group).select("h", "a"), "ngram-big"))
+    star = keys.join(big, "h").filter("a <> node").select("a", F.col("node").alias("b"))
+    # What is left has few rows a key. A row without a neighbour of like size has no partner in its group.
+    sized = keys.join(big, "h", "left_anti").join(heads.select("node", "n"), "node")
     by_size = Window.partitionBy("h").orderBy("n", "node")
     like = (F.lag("n").over(by_size) * join.den >= F.col("n") * join.num) | (F.lead("n").over(by_size) * join.num <= F.col("n") * join.den)
-    sized = settled(sized.withColumn("like", like).filter("like").select("h", "node", "n", "count"), "ngram-keys")
-    big = sized.filter(F.col("count") > join.group)
-    star = big.join(big.groupBy("h").agg(F.min("node").alias("a")), "h").filter("a <> node").select("a", F.col("node").alias("b"))
-    small = sized.filter(F.col("count") <= join.group).select("h", "node", "n").join(heads.select("node", "bits"), "node")
+    small = sized.withColumn("like", like).filter("like").select("h", "node", "n").join(heads.select("node", "bits"), "node")
     pairs = small.repartition("h").sortWithinPartitions("h").mapInArrow(_compare(join), "a long, b long")
     return settled(pairs.union(star).distinct(), "ngram-candidates")
 
