@@ -55,6 +55,14 @@ def resolve_callees(edges: DataFrame, procedures: DataFrame, exports: DataFrame,
     return out.select("path", "caller", "callee", F.coalesce("_a", "_b", "_c", "_d").alias("callee_key"))
 
 
+def resolve_batch(stored: DataFrame, batch: DataFrame, procedures: DataFrame, exports: DataFrame, modules: DataFrame, collections: DataFrame) -> DataFrame:
+    """`stored` (path, caller, callee, callee_key) with the edges of the files of `batch` (path) resolved anew; others stay as
+    they are and aren't joined with anything else."""
+    own = batch.select("path").distinct()
+    again = resolve_callees(stored.join(own, "path", "left_semi").drop("callee_key"), procedures, exports, modules, collections)
+    return stored.join(own, "path", "left_anti").select(*again.columns).unionByName(again)
+
+
 def prune_ballast(edges: DataFrame, ballast: list[str], exports: DataFrame) -> DataFrame:
     """Without unresolved edges to names of the list (after the first dot, if any) that no one exports."""
     at = F.instr("callee", ".")

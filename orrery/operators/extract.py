@@ -1,7 +1,7 @@
 """Extractors: source text to entity rows, batch by batch.
 
 Every extractor gives rows of one shape: (path, entity, name, qualified_name, line_start, line_end, detail, kind, caller, body,
-node_hash). entity is function, class, import, call or variable. Python is parsed by its own parser; other languages by a table
+node_hash). entity is function, class, import, call, variable or override. Python is parsed by its own parser; other languages by a table
 of patterns over text whose comments and strings are blanked, with blocks found by braces or `end`.
 """
 
@@ -10,7 +10,10 @@ from __future__ import annotations
 import ast
 import hashlib
 import re
+import signal
+import threading
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -19,7 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.operators import dialect
+
 MODULE = "<module>"
+#: Seconds that one file may take.
+SECONDS = 10.0
 #: Longest value of a variable, deepest nesting that is followed.
 VALUE, DEPTH = 200, 500
 COLUMNS = ("path", "entity", "name", "qualified_name", "line_start", "line_end", "detail", "kind", "caller", "body", "node_hash")
@@ -290,22 +297,42 @@ def _xml(text: str, rows: Rows) -> None:
                     rows.add("variable", own.text or "", 1, detail=" ".join(kind.itertext()).strip() if kind is not None else None, kind=local(node.tag))
 
 
-EXTRACTORS: dict[str, Callable[[str, Rows], None]] = {"python": _python, "html": _html, "xml": _xml} | {name: _patterns(name) for name in LANGUAGES}
+EXTRACTORS: dict[str, Callable[[str, Rows], None]] = {"python": _python, "html": _html, "xml": _xml, "bsl": dialect.module} | {name: _patterns(name) for name in LANGUAGES}
 
 
 def extract_text(path: str, language: str, text: str | None) -> list[tuple]:
-    """Entity rows of one file; none if its language is unknown, it is binary or it can't be parsed."""
+    """Entity rows of one file; none if its language is unknown, it is binary, it can't be parsed or it takes longer than SECONDS."""
     run = EXTRACTORS.get(language)
     if run is None or text is None or "\0" in text[:8000]:
         return []
     rows = Rows(path)
     try:
-        run(text, rows)
-    except (SyntaxError, ValueError, RecursionError, ElementTree.ParseError):
+        with _within(SECONDS):
+            run(text, rows)
+    except (SyntaxError, ValueError, RecursionError, ElementTree.ParseError, TimeoutError):
         return []
     return rows.out
 
 
+@contextmanager
+def _within(seconds: float) -> Iterator[None]:
+    """TimeoutError when the time is up. Only a main thread can be interrupted; workers run extractors in theirs."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def stop(number: int, frame: object) -> None:
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def extract(files: DataFrame) -> DataFrame:
     """Entity rows of (path, language, content), file by file in Arrow batches."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -59,25 +60,38 @@ def depths(edges: DataFrame, start: str, depth: int, terminal: str | None = None
     return reduce(DataFrame.union, [first, *[x.select(F.col("dst").alias("node"), F.lit(i + 1).cast("long").alias("depth")) for i, x in enumerate(levels)]])
 
 
+@dataclass(frozen=True)
+class Walk:
+    """A shortest path, and why none was found: the depth ran out while nodes were left to expand, or too many were reached."""
+
+    rows: DataFrame
+    depth_exhausted: bool = False
+    nodes_capped: bool = False
+    visited: int = 1
+
+
 def path(edges: DataFrame, start: str, end: str, depth: int, terminal: str | None = None, most: int = NODES) -> DataFrame:
-    """(step, src, dst, edge): a shortest path; no rows if there is none within `depth` or start is end.
+    """(step, src, dst, edge): a shortest path; no rows if there is none within `depth` or start is end."""
+    return walk(edges, start, end, depth, terminal, most).rows
 
-    Walks back from the end over the levels: one row of each is looked at.
-    """
+
+def walk(edges: DataFrame, start: str, end: str, depth: int, terminal: str | None = None, most: int = NODES) -> Walk:
+    """A shortest path with the flags of its search. Walks back from the end over the levels: one row of each is looked at."""
     spark = edges.sparkSession
     rest = edges.select(F.struct(*[c for c in edges.columns if c not in ("src", "dst")]).alias("edge")).schema["edge"].dataType
     schema = f"step long, src string, dst string, edge {rest.simpleString()}"
     if start == end:
-        return spark.createDataFrame([], schema)
-    levels, _, _ = _levels(edges, start, min(max(depth, 1), DEPTH), end, terminal, most)
+        return Walk(spark.createDataFrame([], schema))
+    levels, deep, many = _levels(edges, start, min(max(depth, 1), DEPTH), end, terminal, most)
+    visited = 1 + sum(level.count() for level in levels)
     rows, node = [], end
     for i in range(len(levels), 0, -1):
         found = levels[i - 1].filter(F.col("dst") == node).first()
         if found is None:
-            return spark.createDataFrame([], schema)
+            return Walk(spark.createDataFrame([], schema), deep, many, visited)
         rows.append((i, found["src"], node, found["edge"]))
         node = found["src"]
-    return spark.createDataFrame(rows[::-1], schema)
+    return Walk(spark.createDataFrame(rows[::-1], schema), deep and not rows, many and not rows, visited)
 
 
 def tree(calls: DataFrame, root: str, direction: str = "callees", depth: int = 3, most: int = 200) -> DataFrame:
@@ -116,10 +130,11 @@ def nested(edges: list[dict], root: str, direction: str = "callees") -> dict:
     return build(root, 0)
 
 
-def links(edges: DataFrame, start: str, direction: str = "out", depth: int = 1, limit: int = 100) -> DataFrame:
+def links(edges: DataFrame, start: str, direction: str = "out", depth: int = 1, limit: int = 100, whole: bool = False) -> DataFrame:
     """(depth, from_object, to_object, link_kind): edges met from an object, each once at its least depth.
 
-    Links to universal objects are given but not followed. At most clamp(10 * limit, limit, 20000) edges, nearest first.
+    Links to universal objects are given but not followed. At most clamp(10 * limit, limit, 20000) edges, nearest first; `whole`: all
+    of them, in no order.
     """
     src, dst = ("from_object", "to_object") if direction == "out" else ("to_object", "from_object")
     plain = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"), "link_kind", "is_universal")
@@ -135,4 +150,6 @@ def links(edges: DataFrame, start: str, direction: str = "out", depth: int = 1,
         seen = seen.union(frontier)
     cap = min(max(10 * limit, limit), 20_000)
     every = reduce(DataFrame.union, out).select("depth", F.col("src").alias(src), F.col("dst").alias(dst), "link_kind")
+    if whole:
+        return every.select("depth", "from_object", "to_object", "link_kind")
     return every.select("depth", "from_object", "to_object", "link_kind").orderBy("depth", "from_object", "to_object", "link_kind").limit(cap)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,16 +24,36 @@ def query_tokens(query: str) -> list[str]:
     return out
 
 
+def query_phrases(query: str) -> list[tuple[str, ...]]:
+    """Words of a query as phrases of tokens: the parts of a_b must stand next to each other, the last as a prefix."""
+    words = [tuple(t.lower() for t in re.split("_+", part) if re.search(r"[^\W_]", t)) for part in re.split(r"[^\w]+", query)]
+    return list(dict.fromkeys(w for w in words if w))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), 0)
 
 
-def postings(entities: DataFrame, doc: str, fields: list[str]) -> DataFrame:
-    """(term, doc, field, tf): the inverted index, to be stored and sorted by term."""
+def postings(entities: DataFrame, doc: str, fields: list[str], positions: bool = False) -> DataFrame:
+    """(term, doc, field, tf): the inverted index, to be stored and sorted by term. With `positions` also `at`, those of the term in
+    the field, for phrases."""
     each = [F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("terms")) for f in fields]
-    rows = entities.select(F.col(doc).alias("doc"), F.explode(F.array(*each)).alias("f")).select("doc", "f.field", F.explode("f.terms").alias("term"))
-    return rows.groupBy("term", "doc", "field").agg(F.count("*").alias("tf"))
+    rows = entities.select(F.col(doc).alias("doc"), F.explode(F.array(*each)).alias("f")).select("doc", "f.field", F.posexplode("f.terms").alias("i", "term"))
+    more = [F.sort_array(F.collect_list("i")).alias("at")] if positions else []
+    return rows.groupBy("term", "doc", "field").agg(F.count("*").alias("tf"), *more)
+
+
+def write_postings(index: DataFrame, path: str, buckets: int = 64) -> None:
+    """A stored index: `part`, a hash of the document, is what upkeep rewrites; within it rows are sorted by term, so that a query
+    for a term or a prefix reads few row groups."""
+    dealt = index.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int"))
+    dealt.repartition("part").sortWithinPartitions("part", "term").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
+def update_postings(stored: DataFrame, fresh: DataFrame, changed: DataFrame) -> DataFrame:
+    """The index after a change: postings of changed documents (doc) go, those of their new texts come."""
+    return stored.join(changed.select("doc").distinct(), "doc", "left_anti").select(*fresh.columns).unionByName(fresh)
 
 
 def bm25(entities: DataFrame, doc: str, weights: Mapping[str, float], query: str, most: int = 20) -> DataFrame:
@@ -41,10 +63,18 @@ def bm25(entities: DataFrame, doc: str, weights: Mapping[str, float], query: str
     term's frequency is the weighted sum over the fields, and a row's length is that of all fields. A token that more than
     half of the rows hold has a tiny positive weight.
     """
-    wanted = query_tokens(query)
+    wanted = query_phrases(query)
     fields = list(weights)
-    lists = {f: tokens(F.col(f)) for f in fields}
-    count = lambda f, t: F.size(F.filter(lists[f], lambda x: x.startswith(t)))
+    # Texts are split once, into columns of their own.
+    entities = entities.select(F.col(doc).alias("_doc"), *[tokens(F.col(f)).alias(f"_f{k}") for k, f in enumerate(fields)])
+    lists, doc = {f: F.col(f"_f{k}") for k, f in enumerate(fields)}, "_doc"
+
+    def count(f: str, phrase: tuple[str, ...]) -> Column:
+        """Places where the phrase ends, its last token as a prefix."""
+        before = [(k, t) for k, t in enumerate(reversed(phrase[:-1]), 1)]
+        here = lambda x, i: reduce(and_, [F.coalesce(F.get(lists[f], i - k) == t, F.lit(False)) for k, t in before], x.startswith(phrase[-1]))
+        return F.size(F.filter(lists[f], here))
+
     length = sum((F.size(lists[f]) for f in fields), F.lit(0))
     tf = [sum((F.lit(float(weights[f])) * count(f, t) for f in fields), F.lit(0.0)).alias(f"tf{i}") for i, t in enumerate(wanted)]
     rows = entities.select(F.col(doc).alias("doc"), length.cast("double").alias("size"), *tf)
@@ -63,14 +93,22 @@ def bm25(entities: DataFrame, doc: str, weights: Mapping[str, float], query: str
 
 
 def bm25_postings(index: DataFrame, sizes: DataFrame, weights: Mapping[str, float], query: str, most: int = 20) -> DataFrame:
-    """The same from a stored index: only the postings of the query's terms are read."""
-    wanted = query_tokens(query)
-    token = F.coalesce(*[F.when(F.col("term").startswith(t), F.lit(t)) for t in sorted(wanted, key=len, reverse=True)])
+    """The same from a stored index: only the postings of the query's terms are read. A posting counts for every phrase of which it
+    is a part. Phrases of several tokens need an index with positions."""
+    wanted = query_phrases(query)
     weight = F.coalesce(*[F.when(F.col("field") == f, F.lit(float(w))) for f, w in weights.items()])
-    hit = F.lit(False)
-    for t in wanted:
-        hit |= F.col("term").startswith(t)
-    tf = index.filter(hit).groupBy("doc", token.alias("token")).agg(F.sum(weight * F.col("tf")).alias("f"))
+    # (phrase, place in it, test of the term).
+    tests = [(n, k, F.col("term").startswith(t) if k == len(p) - 1 else F.col("term") == t) for n, p in enumerate(wanted) for k, t in enumerate(p)]
+    index = index.filter(reduce(or_, [t for *_, t in tests], F.lit(False))).filter(F.col("field").isin(*weights))
+    met = F.explode(F.array_compact(F.array(*[F.when(t, F.struct(F.lit(n).alias("token"), F.lit(k).alias("k"))) for n, k, t in tests])))
+    hits = index.withColumn("_hit", met).withColumns({"token": F.col("_hit.token"), "k": F.col("_hit.k")})
+    long = [n for n, p in enumerate(wanted) if len(p) > 1]
+    tf = hits.filter(~F.col("token").isin(*long)).groupBy("doc", "token").agg(F.sum(weight * F.col("tf")).alias("f"))
+    if long:
+        sizes_of = F.coalesce(*[F.when(F.col("token") == n, F.lit(len(wanted[n]))) for n in long])
+        starts = hits.filter(F.col("token").isin(*long)).select("doc", "field", "token", "k", F.explode("at").alias("i"))
+        whole = starts.groupBy("doc", "field", "token", (F.col("i") - F.col("k")).alias("start")).agg(F.count_distinct("k").alias("n")).filter(F.col("n") == sizes_of)
+        tf = tf.union(whole.groupBy("doc", "token").agg(F.sum(weight).alias("f")))
     df = tf.groupBy("token").agg(F.count("*").cast("double").alias("df"))
     stats = sizes.agg(F.count("*").cast("double").alias("n"), F.avg("size").alias("mean"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))

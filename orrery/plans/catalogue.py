@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orrery.functions import text
-from orrery.operators import derive, extract, graph, grep, lookup, merge, paging, refs, search
+from orrery.operators import derive, dialect, extract, graph, grep, lookup, merge, paging, refs, search
 from orrery.plans import guard
 from orrery.sources import files as sources
 from orrery.sources.tables import Tables, key
@@ -259,6 +259,33 @@ def search_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25_postings(index, sizes, PART_FIELDS, "steel red")
 
 
+@query("search_stored_overlap", _bm25_sql("part", "p_partkey", PART_FIELDS, ["ste", "steel"]))
+def search_stored_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of which one is a prefix of the other: a posting counts for both."""
+    part = Tables(spark, sf_dir).raw("part")
+    index = search.postings(part, "p_partkey", list(PART_FIELDS))
+    sizes = index.groupBy("doc").agg(F.sum("tf").cast("double").alias("size"))
+    return search.bm25_postings(index, sizes, PART_FIELDS, "ste steel")
+
+
+_PHRASE = "len(list_filter(range(1, len(ts)), lambda i: ts[i] = 'steel' AND starts_with(ts[i + 1], 'b')))"
+_PHRASE_SQL = f"""WITH t AS (SELECT p_partkey AS doc, regexp_extract_all(lower(p_name), '[\\p{{L}}\\p{{N}}]+') AS ts FROM part), r AS (SELECT doc, CAST(len(ts) AS DOUBLE) AS size, {_PHRASE} AS tf FROM t),
+s AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(size) AS mean, CAST(count(*) FILTER (tf > 0) AS DOUBLE) AS df FROM r)
+SELECT doc, round(-(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 9) AS score FROM r, s WHERE tf > 0 ORDER BY score, doc LIMIT 20"""
+
+
+@query("search_phrase", _PHRASE_SQL)
+def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.bm25(Tables(spark, sf_dir).raw("part"), "p_partkey", {"p_name": 1.0}, "steel_b")
+
+
+@query("search_stored_phrase", _PHRASE_SQL)
+def search_stored_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.postings(Tables(spark, sf_dir).raw("part"), "p_partkey", ["p_name"], positions=True)
+    sizes = index.groupBy("doc").agg(F.sum("tf").cast("double").alias("size"))
+    return search.bm25_postings(index, sizes, {"p_name": 1.0}, "steel_b")
+
+
 @query("postings", "SELECT term, doc, 'p_name' AS field, CAST(count(*) AS BIGINT) AS tf FROM (SELECT p_partkey AS doc, unnest(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+')) AS term FROM part) GROUP BY term, doc")
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.postings(Tables(spark, sf_dir).raw("part"), "p_partkey", ["p_name"])
@@ -581,6 +608,79 @@ def prune_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive.prune_methods(derive.prune_ballast(edges, ["Print", "Add"], exports), modules, collections)
 
 
+@query("resolve_batch", f"WITH {RESOLVED} SELECT * FROM r")
+def resolve_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the files below src/1 were resolved against an older state: all of them are resolved anew, the others stay."""
+    t = Tables(spark, sf_dir)
+    edges, exports, modules, collections = _resolved(t)
+    batch = F.col("path").startswith("src/1")
+    stored = edges.withColumn("callee_key", F.when(batch, "gone::old").otherwise(F.col("callee_key")))
+    return derive.resolve_batch(stored, edges.filter(batch), exports, exports, modules, collections)
+
+
+_MODULE = """&AtServer
+Procedure P{k}(a, b = "x)") Export
+  // Gone.Call{k}();
+  M{r}.Do{k}(Own{k}(a), "Text.Call(");
+EndProcedure
+
+&Around("Old{k}")
+Function Ext{k}()
+  Return New Map().Get(1);
+EndFunction
+"""
+
+
+def _modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suppliers = Tables(spark, sf_dir).raw("supplier").select("s_suppkey")
+    return extract.extract(suppliers.select(key("m/", "s_suppkey").alias("path"), F.lit("bsl").alias("language"), _filled(_MODULE).alias("content")))
+
+
+@query(
+    "dialect_procedures",
+    "SELECT 'm/' || s_suppkey AS path, 'P' || s_suppkey AS name, CAST(2 AS BIGINT) AS line_start, CAST(5 AS BIGINT) AS line_end, '(a, b = \"x)\") Export' AS args, '&AtServer' AS directive FROM supplier UNION ALL SELECT 'm/' || s_suppkey, 'Ext' || s_suppkey, 8, 10, '()', '&Around' FROM supplier",
+)
+def dialect_procedures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract.entity(_modules(spark, sf_dir), "function")
+    return found.select("path", "name", "line_start", "line_end", F.col("detail").alias("args"), F.col("kind").alias("directive"))
+
+
+@query(
+    "dialect_calls",
+    "SELECT 'm/' || s_suppkey AS path, 'P' || s_suppkey AS caller, 'M' || (s_suppkey % 7) || '.Do' || s_suppkey AS callee FROM supplier UNION ALL SELECT 'm/' || s_suppkey, 'P' || s_suppkey, 'Own' || s_suppkey FROM supplier UNION ALL SELECT 'm/' || s_suppkey, 'Ext' || s_suppkey, c FROM supplier, (VALUES ('Map'), ('Get')) t(c)",
+)
+def dialect_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.entity(_modules(spark, sf_dir), "call").select("path", "caller", F.col("name").alias("callee"))
+
+
+@query("dialect_overrides", "SELECT 'Old' || s_suppkey AS target_key, 'Ext' || s_suppkey AS name FROM supplier")
+def dialect_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialect.overrides(_modules(spark, sf_dir))
+
+
+@query("event_names", "SELECT event_id, CASE event_type WHEN 'click' THEN 'ПриЗаписи' WHEN 'purchase' THEN 'ОбработкаПроведения' ELSE event_type END AS event FROM events")
+def event_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    platform = F.when(F.col("event_type") == "click", "OnWrite").when(F.col("event_type") == "purchase", "Posting").otherwise(F.col("event_type"))
+    return Tables(spark, sf_dir).raw("events").select("event_id", dialect.event_name(platform).alias("event"))
+
+
+#: Paths of a configuration by the remainder of a number, and the parts that each touches.
+_ROUTES = (
+    ("Catalogs/C{k}.xml", "object"), ("Catalogs/C{k}/Ext/ObjectModule.bsl", "code"), ("Catalogs/C{k}/Forms/F/Ext/Form.xml", "form"), ("Catalogs/C{k}/Templates/T.xml", "template"),
+    ("EventSubscriptions/E{k}.xml", "subscription"), ("Roles/R{k}/Ext/Rights.xml", "rights"), ("Subsystems/S{k}.xml", "links"), ("area{k}/ConfigDumpInfo.xml", "manifest"), ("docs/{k}.md", None),
+)
+_ROUTE_SQL = " ".join(f"WHEN {n} THEN '{p.replace('{k}', '')}|{a}'" for n, (p, a) in enumerate(_ROUTES) if a)
+
+
+@query("incremental_routes", f"SELECT o_orderkey, split_part(r, '|', 2) AS part FROM (SELECT o_orderkey, CASE o_orderkey % {len(_ROUTES)} {_ROUTE_SQL} END AS r FROM orders) WHERE r IS NOT NULL")
+def incremental_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = Tables(spark, sf_dir).raw("orders")
+    which = F.get(F.array(*[F.lit(p) for p, _ in _ROUTES]), (F.col("o_orderkey") % len(_ROUTES)).cast("int"))
+    path = F.replace(which, F.lit("{k}"), F.col("o_orderkey").cast("string"))
+    routed = dialect.routed(orders.select(path.alias("path"), F.concat_ws("", F.col("o_orderkey")).alias("kind")))
+    return routed.select(F.col("kind").cast("long").alias("o_orderkey"), "part")
+
+
 @query("call_graph_build", f"WITH {CALLS} SELECT DISTINCT * FROM (SELECT 'f' || file_id || '::' || caller AS caller_key, callee AS callee_name, 'direct' AS call_type FROM calls UNION ALL SELECT 'event::' || event_type, 'Mod.on_' || event_type, 'subscription' FROM events UNION ALL SELECT 'form::User.' || user_id || '::F::' || event_type, 'User.' || user_id || '::F::on_' || event_type, 'form_event' FROM events UNION ALL SELECT s_name, 'ext_' || s_name, 'extension_override' FROM supplier)")
 def call_graph_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
@@ -715,7 +815,11 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debounce.sessions(Tables(spark, sf_dir).raw("events"), "user_id", "2 hours")
 
 
-@query("event_debounce_stream")
+@query(
+    "event_debounce_stream",
+    """WITH c AS (SELECT 'u' || user_id || '/' || event_type AS path, CASE WHEN value > 90 THEN 'Deleted' ELSE 'Modified' END AS kind, ts, event_id FROM events)
+    SELECT path, event_id FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, kind DESC, event_id DESC) AS n FROM c) WHERE n = 1 AND kind <> 'Deleted'""",
+)
 def event_debounce_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a file stream of changes (event type as path), applied batch by batch; gives the final table."""
     from orrery.session import settled, shared_folder
@@ -923,13 +1027,8 @@ def entity_sink_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = Tables(spark, sf_dir).raw("documents").select("doc_id", "lang", "source", key("", "doc_id").alias("path"))
     place = f"{shared_folder(spark)}/orrery-{spark.sparkContext.applicationId}/sink-{uuid.uuid4().hex}"
     sinks.write_entities(sinks.bucketed_files(docs, buckets=8), place)
-    shape = ["doc_id", "lang", "source", "path", "part"]
     changed = docs.filter("doc_id % 4 = 0")
-    stored = spark.read.parquet(place).select(*shape)
-    from orrery.session import settled
-
-    fresh = changed.withColumn("source", F.lit("again"))
-    sinks.write_entities(settled(sinks.replace_files(stored, fresh, changed, buckets=8).select(*shape), "sink-new"), place)
+    sinks.write_changes(spark, place, changed.withColumn("source", F.lit("again")), changed, buckets=8)
     return spark.read.parquet(place).select("doc_id", "lang", "source")
 
 

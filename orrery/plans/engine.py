@@ -126,9 +126,14 @@ class Engine:
         if start == end:
             known = bool(lookup.known(start, self._t("functions"), self._t("calls")).first()["known"])
             return {"from": start, "to": end, "found": known, "path": [], "max_depth": depth}
-        rows = graph.path(self._edges(language), start, end, depth).orderBy("step").collect()
-        steps = [{"caller": r["src"], "callee": r["dst"], **r["edge"]["pick"].asDict()} for r in rows]
-        return {"from": start, "to": end, "found": bool(steps), "path": steps, "max_depth": depth}
+        walk = graph.walk(self._edges(language), start, end, depth)
+        steps = [{"caller": r["src"], "callee": r["dst"], **r["edge"]["pick"].asDict()} for r in walk.rows.orderBy("step").collect()]
+        return {"from": start, "to": end, "found": bool(steps), "path": steps, "max_depth": depth} | self._why_not(steps, walk)
+
+    @staticmethod
+    def _why_not(steps: list[dict], walk: graph.Walk) -> dict:
+        """Flags of a search that found nothing: whether there may be a path all the same."""
+        return {} if steps else {"walk_depth_exhausted": walk.depth_exhausted, "walk_nodes_capped": walk.nodes_capped}
 
     def get_call_tree(self, root: str, direction: str = "callees", max_depth: int = 3, max_nodes: int = 200, language: str | None = None) -> dict:
         most = min(max(max_nodes, 1), 5000)
@@ -138,8 +143,9 @@ class Engine:
     def find_path_by_key(self, start: str, end: str, max_depth: int = 3) -> dict:
         """Over the resolved call graph: a callee is its key where it is known, else its name."""
         edges = self._t("procedure_graph").select(F.col("caller_key").alias("src"), F.coalesce("callee_key", "callee_name").alias("dst"), F.struct("call_type", "callee_name", "callee_key").alias("pick"))
-        rows = graph.path(edges, start, end, min(max(max_depth, 1), 10)).orderBy("step").collect()
-        return {"found": bool(rows), "path": [{"caller": r["src"], "callee": r["dst"], "call_type": r["edge"]["pick"]["call_type"]} for r in rows]}
+        walk = graph.walk(edges, start, end, min(max(max_depth, 1), 10))
+        steps = [{"caller": r["src"], "callee": r["dst"], "call_type": r["edge"]["pick"]["call_type"]} for r in walk.rows.orderBy("step").collect()]
+        return {"found": bool(steps), "path": steps} | self._why_not(steps, walk)
 
     # ---- files
 
@@ -258,17 +264,18 @@ class Engine:
         limit = min(max(limit, 1), 1000)
         answer: dict[str, object] = {}
         for side in ("out", "in") if direction == "both" else (direction,):
-            edges = [r.asDict() for r in graph.links(self._t("links"), name, side, depth, limit + offset).collect()]
-            kinds: dict[str, int] = {}
-            for e in edges:
-                kinds[e["link_kind"]] = kinds.get(e["link_kind"], 0) + 1
-            answer |= {side: edges[offset : offset + limit], f"{side}_by_kind": kinds, f"{side}_total": len(edges), f"{side}_has_more": len(edges) > offset + limit}
+            every = graph.links(self._t("links"), name, side, depth, whole=True)
+            page = every.orderBy("depth", "from_object", "to_object", "link_kind").offset(offset).limit(limit)
+            kinds = {r["link_kind"]: r["n"] for r in every.groupBy("link_kind").agg(F.count("*").alias("n")).orderBy("link_kind").collect()}
+            total = sum(kinds.values())
+            answer |= {side: self._rows(page), f"{side}_by_kind": kinds, f"{side}_total": total, f"{side}_has_more": total > offset + limit}
         return answer
 
     def find_data_path(self, start: str, end: str, max_depth: int = 4) -> dict:
         edges = self._t("links").select(F.col("from_object").alias("src"), F.col("to_object").alias("dst"), F.struct("link_kind").alias("pick"), "is_universal")
-        rows = graph.path(edges, start, end, min(max(max_depth, 1), 8), terminal="is_universal").orderBy("step").collect()
-        return {"found": bool(rows), "path": [{"from": r["src"], "to": r["dst"], "link_kind": r["edge"]["pick"]["link_kind"]} for r in rows]}
+        walk = graph.walk(edges, start, end, min(max(max_depth, 1), 8), terminal="is_universal")
+        steps = [{"from": r["src"], "to": r["dst"], "link_kind": r["edge"]["pick"]["link_kind"]} for r in walk.rows.orderBy("step").collect()]
+        return {"found": bool(steps), "path": steps} | ({} if steps else {"visited_nodes": walk.visited, "depth_exhausted": walk.depth_exhausted, "nodes_capped": walk.nodes_capped})
 
     def get_register_writers(self, name: str) -> dict:
         found = refs.register_writers(self._t("links"), name).collect()

@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 from orrery.functions.text import lines
 from orrery.operators import extract, merge
+from orrery.session import settled
 from orrery.sources import files as sources
 
 
 def entities(loaded: DataFrame) -> dict[str, DataFrame]:
     """Entity tables of loaded files (see orrery.sources.files.loaded), each with `path` and a key from its place."""
     known = loaded.withColumns({"file_id": F.xxhash64("path"), "lines_total": F.when(F.col("content").isNotNull(), F.size(lines(F.col("content")))).cast("long")})
+    known = settled(known, "index-files")
     code, searched = sources.parts(known)
     rows = extract.extract(code).withColumns({"file_id": F.xxhash64("path"), "id": F.xxhash64("path", "entity", "name", "line_start", "line_end", "qualified_name", "detail")})
+    # Files are read once and parsed once; each table then reads its own part.
+    rows = settled(rows, "index-entities", ["entity"])
     kind = lambda k: extract.entity(rows, k)
     doc = F.lit(None).cast("string").alias("docstring")
     return {
@@ -35,12 +39,12 @@ def index(spark: SparkSession, root: str, **options: object) -> dict[str, DataFr
 
 
 def update(tables: dict[str, DataFrame], scanned: DataFrame) -> dict[str, DataFrame]:
-    """Tables after a new scan: files of the same path, time and size aren't read; rows of changed and vanished ones go.
+    """Tables after a new scan: files of the same path, time and size aren't opened; rows of changed and vanished ones go.
 
     Gives what index() would give for the tree as it is now.
     """
     stored = tables["files"]
-    unread = merge.unchanged_fast(stored, scanned.drop("content"))
-    fresh = entities(sources.loaded(scanned.join(unread.select("path"), "path", "left_semi")))
+    unread = settled(merge.unchanged_fast(stored, scanned), "index-unread")
+    fresh = entities(sources.loaded(unread))
     gone = stored.select("path").join(scanned.select("path"), "path", "left_anti").union(unread.select("path"))
     return {name: merge.delete_keys(df, gone, ["path"]).unionByName(fresh[name]) for name, df in tables.items()}

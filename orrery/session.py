@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,10 +31,10 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
+def settled(df: DataFrame, name: str, parts: Sequence[str] = ()) -> DataFrame:
     """`df` as a Parquet table in the shared folder: loops over it neither recompute nor depend on executors. The
-    folder has the application's name and can be deleted when that has ended."""
+    folder has the application's name and can be deleted when that has ended. `parts`: columns to be folders of."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/orrery-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*parts).parquet(path) if parts else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

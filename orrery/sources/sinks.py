@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.session import settled
+
 
 def bucketed_files(df: DataFrame, column: str = "path", buckets: int = 64) -> DataFrame:
     """Rows with `part`, a hash of the file: the unit that an incremental run rewrites."""
@@ -21,14 +23,29 @@ def write_entities(df: DataFrame, path: str, partitions: Sequence[str] = ("part"
 def replace_files(stored: DataFrame, fresh: DataFrame, changed: DataFrame, column: str = "path", buckets: int = 64) -> DataFrame:
     """The partitions that changed files touch, with their rows of those files replaced: what write_entities() then writes.
 
-    `buckets` must be what the stored table was written with. A partition that loses all its rows has none here and so
-    keeps its old ones: files that vanish are dropped by rewriting the table, or their partitions, as a whole.
+    `buckets` must be what the stored table was written with. A partition that loses all its rows has none here: write_changes()
+    deletes it.
     """
     parts = bucketed_files(changed.select(column).distinct(), column, buckets)
     touched = stored.join(parts.select("part").distinct(), "part", "left_semi").join(changed.select(column).distinct(), column, "left_anti")
     return touched.unionByName(bucketed_files(fresh, column, buckets))
 
 
+def write_changes(spark: SparkSession, path: str, fresh: DataFrame, changed: DataFrame, column: str = "path", buckets: int = 64) -> None:
+    """The stored table at `path` with the rows of changed files replaced by `fresh`, whose columns it has; partitions that lose all
+    their rows go. Only touched partitions are read and written."""
+    stored = spark.read.parquet(path)
+    new = settled(replace_files(stored, fresh, changed, column, buckets).select(*stored.columns), "sink-new")
+    write_entities(new, path)
+    touched = bucketed_files(changed.select(column).distinct(), column, buckets).select("part").distinct()
+    empty = [r["part"] for r in touched.join(new.select("part").distinct(), "part", "left_anti").collect()]  # at most `buckets`
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)  # type: ignore[union-attr]
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())  # type: ignore[union-attr]
+    for part in empty:
+        store.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"part={part}"), True)  # type: ignore[union-attr]
+    spark.catalog.refreshByPath(path)
+
+
 def missing_content(files: DataFrame, contents: DataFrame, key: str = "file_id") -> DataFrame:
     """Files that have no content row yet: to be read again."""
     return files.join(contents.select(key), key, "left_anti")

@@ -88,15 +88,19 @@ def apply_changes(table: DataFrame, changes: DataFrame, contents: DataFrame, key
     return kept.unionByName(contents.join(alive, key, "left_semi").select(*table.columns))
 
 
-def maintain(stream: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], contents: Callable[[DataFrame], DataFrame], checkpoint: str) -> object:
-    """A query that applies each micro-batch of changes (path, kind, ts) to a table.
+def maintain(stream: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], contents: Callable[[DataFrame], DataFrame], checkpoint: str, full: Callable[[], DataFrame] | None = None, bulk: int = BULK) -> object:
+    """A query that applies each micro-batch of changes (path, kind, ts) to a table; a batch beyond `bulk` changes is answered by
+    `full`, if there is one, which gives the table from the files as they are.
 
     `write` gets the whole new table and the batch number; a batch that is run again after a failure must replace what it wrote
     before, so it writes by that number.
     """
 
     def one(batch: DataFrame, number: int) -> None:
-        if not batch.isEmpty():
+        count = batch.count()
+        if full is not None and route(count, bulk) == "full":
+            write(full(), number)
+        elif count:
             write(apply_changes(read(), batch, contents(batch)), number)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

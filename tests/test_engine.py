@@ -98,7 +98,9 @@ def test_incremental_equals_full(spark, tmp_path):
     (root / "pkg/b.py").write_text("def other():\n    return 1\n")
     (root / "notes.md").unlink()
     write(root, {"new.go": "package m\nfunc F(a int) int { return g(a) }\n"})
-    after = indexing.update(before, files.scan(spark, str(root)))
+    # What hasn't changed isn't opened: it could not be read.
+    scanned = files.scan(spark, str(root)).withColumn("uri", F.when(F.col("path").isin("pkg/b.py", "new.go"), F.col("uri")).otherwise("file:/nowhere"))
+    after = indexing.update(before, scanned)
     whole = indexing.index(spark, str(root))
     for name in whole:
         key = lambda r: str(r)
@@ -174,11 +176,14 @@ def test_sinks(spark, tmp_path):
     changed = spark.createDataFrame([("p3",), ("p9",)], "path string")
     fresh = spark.createDataFrame([("p3", 300)], "path string, v long")
     old = spark.read.parquet(str(tmp_path / "t")).select("path", "v", "part")
-    new = sinks.replace_files(old, fresh, changed, buckets=4).cache()
-    new.count()
-    sinks.write_entities(new, str(tmp_path / "t"))
+    sinks.write_changes(spark, str(tmp_path / "t"), fresh, changed, buckets=4)
     got = {r.path: r.v for r in spark.read.parquet(str(tmp_path / "t")).collect()}
     assert got == {f"p{i}": i for i in range(40) if i != 9} | {"p3": 300}
+    # A partition that loses all its rows goes.
+    lost = old.filter("part = 1").select("path")
+    names = [r.path for r in lost.collect()]
+    sinks.write_changes(spark, str(tmp_path / "t"), fresh.limit(0), spark.createDataFrame([(n,) for n in names], "path string"), buckets=4)
+    assert names and not (tmp_path / "t/part=1").exists() and spark.read.parquet(str(tmp_path / "t")).count() == 39 - len(set(names) - {"p9"})
     sinks.snapshot({"a": first}, str(tmp_path / "s"))
     assert sinks.load(spark, str(tmp_path / "s"), ["a"])["a"].count() == 40
     both = sinks.repositories({"x": first, "y": first.limit(3)})

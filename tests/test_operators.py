@@ -149,6 +149,59 @@ def test_grep(spark):
     assert {r.path: r.hits for r in grep.compact(found).collect()}["b"] == "2: hit 1\n4: hit 2"
 
 
+def test_guard_refuses_code_and_files(spark):
+    spark.range(5).createOrReplaceTempView("numbers")
+    bad = ["SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT java_method('java.lang.System', 'nanoTime')", "SELECT * FROM text.`/etc/hostname`"]
+    bad += ["SELECT id FROM numbers WHERE id IN (SELECT length(value) FROM text.`/etc/hostname`)", "WITH a AS (SELECT try_reflect('java.lang.System', 'nanoTime') AS x) SELECT x FROM a"]
+    bad += ["SELECT (SELECT max(value) FROM text.`/etc/hostname`)", "SELECT input_file_name() FROM numbers", "SELECT id FROM numbers WHERE EXISTS (SELECT 1 FROM parquet.`/x`)", "SELECT * FROM read_files('/etc')"]
+    for sql in bad:
+        with pytest.raises(guard.Refused, match="allowed|tables of the index"):
+            guard.query(spark, sql)
+    assert guard.run(spark, "SELECT 'a\nCreate reflect(x) text.y' AS s, id FROM numbers WHERE id IN (SELECT max(id) FROM range(3))").rows[0][1] == 2
+
+
+def test_walk_flags(spark):
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}", i) for i in range(12)], "src string, dst string, pick int")
+    assert graph.walk(chain, "n0", "n9", 4).depth_exhausted and not graph.walk(chain, "n0", "n9", 10).depth_exhausted
+    assert graph.walk(chain, "n0", "n9", 10).rows.count() == 9 and not graph.walk(chain, "n10", "zz", 10).depth_exhausted
+    assert graph.walk(chain, "n0", "n9", 10, most=3).nodes_capped
+
+
+def test_dialect_modules():
+    from orrery.operators import dialect
+
+    source = "Перем А, Б Экспорт;\n\n&НаСервере\nПроцедура Один(х) Экспорт\n  Если Верно(х) Тогда\n    Модуль.Метод(Свой()).Ещё(\"Нет(\"); // Нет()\n  КонецЕсли;\nКонецПроцедуры\n\n&Перед(\"Два\")\nФункция Р_Два()\n  Возврат 1;\nКонецФункции\nГлавный();\n"
+    rows = extract.extract_text("m", "bsl", source)
+    got = lambda kind: [(r[2], r[6], r[7], r[8]) for r in rows if r[1] == kind]
+    assert got("function") == [("Один", "(х) Export", "&НаСервере", None), ("Р_Два", "()", "&Перед", None)]
+    assert [(r[2], r[3], r[7]) for r in rows if r[1] == "override"] == [("Р_Два", "Два", "Перед")]
+    assert [(n, c) for n, _, _, c in got("call")] == [("Верно", "Один"), ("Модуль.Метод", "Один"), ("Свой", "Один"), ("Ещё", "Один"), ("Главный", "<module>")]
+    assert [r[2] for r in rows if r[1] == "variable"] == ["А", "Б"]
+    assert extract.extract_text("m", "bsl", "Процедура Без\n") and dialect.EVENTS["OnCopy"] == "ПриКопировании"
+
+
+def test_extraction_gives_up_in_time(monkeypatch):
+    monkeypatch.setattr(extract, "SECONDS", 0.05)
+    monkeypatch.setitem(extract.EXTRACTORS, "slow", lambda text, rows: [None for _ in iter(int, 1)])
+    assert extract.extract_text("p", "slow", "x") == []
+
+
+def test_stored_index_upkeep(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "tests run"), (2, "test the foo_bar test"), (3, "foo x bar"), (4, "testing foo barn")], "id long, t string")
+    shape = lambda d: search.postings(d, "id", ["t"], positions=True)
+    search.write_postings(shape(docs), str(tmp_path / "i"), 4)
+    fresh = spark.createDataFrame([(2, "foo bars and tests"), (5, "tests test")], "id long, t string")
+    gone = spark.createDataFrame([(2,), (3,), (5,)], "doc long")
+    stored = spark.read.parquet(str(tmp_path / "i"))
+    index = search.update_postings(stored, shape(fresh), gone)
+    now = docs.filter("id IN (1, 4)").union(fresh)
+    sizes = index.groupBy("doc").agg(F.sum("tf").cast("double").alias("size"))
+    for query in ("test tests", "foo_bar", "tests foo_b run", "zzz"):
+        want = [tuple(r) for r in search.bm25(now, "id", {"t": 1.0}, query).collect()]
+        assert [tuple(r) for r in search.bm25_postings(index, sizes, {"t": 1.0}, query).collect()] == want, query
+    assert [r.doc for r in search.bm25(docs, "id", {"t": 1.0}, "foo_bar").collect()] == [4, 2]
+
+
 def test_guard(spark):
     spark.range(5).createOrReplaceTempView("numbers")
     assert guard.query(spark, "-- c\nSELECT id /* x */ FROM numbers WHERE id > ?", [2]).count() == 2
@@ -210,6 +263,10 @@ def test_scan_and_load(spark, tmp_path):
     assert {r.path for r in searched.collect()} == {"n.txt", "bad.txt", "h.h"} and parsed.count() == 3
     found = extract.extract(parsed).collect()
     assert {(r.path, r.entity, r.name) for r in found} >= {("a.py", "variable", "x"), ("src/b.RS", "function", "a")}
+    # A file that is gone by the time it is read fails alone.
+    (tmp_path / "n.txt").unlink()
+    listing = scanned.unionByName(scanned.filter("path = 'a.py'").withColumns({"path": F.lit("gone.txt"), "uri": F.lit(f"file:{tmp_path}/gone.txt")}))
+    assert {r.path: r.content is None for r in files.loaded(listing).collect() if r.path in ("gone.txt", "a.py")} == {"gone.txt": True, "a.py": False}
 
 
 def names(language, source, entity):
