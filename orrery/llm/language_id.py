@@ -17,8 +17,8 @@ from .shared import crc_fold
 
 #: Bound of the documents that are learned from: those with the smallest hashes of their ids. All their words and n-grams are kept.
 SAMPLE = 20_000
-#: Entries that a task counts before it passes them on, and words whose rows a worker remembers.
-HELD, MEMORY = 500_000, 200_000
+#: Entries that a task counts before it passes them on, and numbers (words times languages) that a worker remembers.
+HELD, MEMORY = 500_000, 4_000_000
 ORDERS = (5, 4, 3, 2, 1)
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
@@ -57,58 +57,81 @@ class Table:
         self.floor = np.log(0.5) - np.log(np.bincount(languages, counts, n) + 0.5 * len(starts)) if len(entries) else np.zeros(n)
         self.gain = (np.log(counts[order] + 0.5) - np.log(0.5)).astype(np.float32)
 
-    def find(self, entries: list[str]) -> list[int]:
-        """Rows of those entries that are known."""
-        if not len(self.keys) or not entries:
-            return []
-        keys = np.array([_key(e) for e in entries], np.uint64)
+    def find(self, entries: list[str]) -> np.ndarray:
+        """Row of each entry; -1 if it isn't known."""
+        keys = np.fromiter(map(_key, entries), np.uint64, len(entries))
+        if not len(self.keys):
+            return np.full(len(keys), -1)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return at[self.keys[at] == keys].tolist()
+        return np.where(self.keys[at] == keys, at, -1)
 
-    def add(self, out: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> None:
-        """Add the weighted log frequencies of some rows, in all languages."""
+    def add(self, out: np.ndarray, rows: np.ndarray, owner: np.ndarray) -> None:
+        """To the lines `owner` of `out`, the mean of their rows' log frequencies in each language."""
+        weight = 1.0 / np.bincount(owner, minlength=len(out))[owner]
         size = self.ends[rows + 1] - self.ends[rows]
         at = np.arange(size.sum()) + np.repeat(self.ends[rows] - (np.cumsum(size) - size), size)
-        out += weights.sum() * self.floor + np.bincount(self.language[at], self.gain[at] * np.repeat(weights, size), len(out))
+        cell = np.repeat(owner, size) * out.shape[1] + self.language[at]
+        out += np.bincount(cell, self.gain[at] * np.repeat(weight, size), out.size).reshape(out.shape)
+        out[np.unique(owner)] += self.floor
 
 
 class Model:
-    """A table for each order, 0 for words, and the languages' prior. What a worker has looked up it remembers for a while."""
+    """A table for each order, 0 for words, and the languages' prior. What a worker has found out about words it remembers, as rows of
+    one array, until that is full; then it starts anew."""
 
     def __init__(self, languages: list[str], prior: np.ndarray, tables: dict[int, Table]) -> None:
         self.languages, self.prior, self.tables = languages, prior, tables
-        self._known: dict[str, tuple[int, list[int]]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self._place: dict[str, int] = {}
+        self._held = np.empty((0, len(self.languages)))
 
     def __getstate__(self) -> dict[str, object]:
-        return {**self.__dict__, "_known": {}}
-
-    def rows(self, word: str) -> tuple[int, list[int]]:
-        """Order and rows of a word: its own if it is known, else those of its n-grams of the longest order of which any is."""
-        found = self._known.get(word)
-        if found is None:
-            if len(self._known) >= MEMORY:
-                self._known.clear()
-            found = -1, []
-            for n in (0, *ORDERS):
-                if own := self.tables[n].find(grams(word, n) if n else [word]):
-                    found = n, own
-                    break
-            self._known[word] = found
-        return found
-
-    def total(self, found: list[str]) -> np.ndarray:
-        """Sum over words: a known word's log frequencies, or else the mean of its n-grams'; and the prior."""
-        out = self.prior.copy()
-        rows: dict[int, list[int]] = {n: [] for n in (0, *ORDERS)}
-        weights: dict[int, list[float]] = {n: [] for n in (0, *ORDERS)}
-        for word, count in Counter(found).items():
-            n, own = self.rows(word)
-            if own:
-                rows[n] += own
-                weights[n] += [count / len(own)] * len(own)
-        for n, own in rows.items():
-            if own:
-                self.tables[n].add(out, np.array(own), np.array(weights[n]))
+        return {k: v for k, v in self.__dict__.items() if k not in ("_place", "_held")}
+
+    def __setstate__(self, state: dict[str, object]) -> None:
+        self.__dict__.update(state)
+        self._forget()
+
+    def lines(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each word its log frequencies, or else the mean of those of its n-grams of the longest order of which any is known; and
+        that order (0: the word, -1: nothing is known)."""
+        out, order = np.zeros((len(words), len(self.languages))), np.full(len(words), -1)
+        left = np.arange(len(words))
+        for n in (0, *ORDERS):
+            parts = [grams(words[k], n) if n else [words[k]] for k in left.tolist()]
+            owner = np.repeat(left, list(map(len, parts)))
+            rows = self.tables[n].find([g for p in parts for g in p])
+            known = rows >= 0
+            if known.any():
+                self.tables[n].add(out, rows[known], owner[known])
+                order[owner[known]] = n
+                left = left[order[left] < 0]
+            if not len(left):
+                break
+        return out, order
+
+    def totals(self, texts: list[list[str]]) -> np.ndarray:
+        """A line for each text: the sum over its words, and the prior. Texts are taken together, long ones in parts."""
+        out = np.repeat(self.prior[None, :], len(texts), axis=0)
+        most, flat = max(1000, MEMORY // max(1, len(self.languages))), [w for t in texts for w in t]
+        text = np.repeat(np.arange(len(texts)), list(map(len, texts)))
+        for lo in range(0, len(flat), most):
+            part = flat[lo : lo + most]
+            fresh = list({w for w in part if w not in self._place})
+            if len(self._place) + len(fresh) > most:
+                self._forget()
+                fresh = list(set(part))
+            if fresh:
+                self._place.update(zip(fresh, range(len(self._place), len(self._place) + len(fresh)), strict=True))
+                held = np.empty((len(self._place), len(self.languages)))
+                held[: len(held) - len(fresh)] = self._held[: len(held) - len(fresh)]
+                held[len(held) - len(fresh) :] = self.lines(fresh)[0]
+                self._held = held
+            values, own = self._held[list(map(self._place.__getitem__, part))], text[lo : lo + most]
+            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            out[own[starts]] += np.add.reduceat(values, starts, axis=0)
         return out
 
 
@@ -169,19 +192,17 @@ def identify(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            predicted, certain = [], []
-            for value in batch.column(2).to_pylist():
-                found = words(value or "")
-                if not model.languages or not has_letter(found):
-                    predicted.append(UNKNOWN)
-                    certain.append(0.0)
-                    continue
-                total = model.total(found)
-                chance = np.exp(total - total.max())
-                best = int(chance.argmax())
-                predicted.append(model.languages[best])
-                certain.append(float(chance[best] / chance.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(predicted, pa.string()), pa.array(certain, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            for lo in range(0, len(batch), 1000):
+                part = batch.slice(lo, 1000)
+                found = [words(t or "") for t in part.column(2).to_pylist()]
+                predicted, certain = [UNKNOWN] * len(found), [0.0] * len(found)
+                told = [k for k, w in enumerate(found) if model.languages and has_letter(w)]
+                for k, total in zip(told, model.totals([found[k] for k in told]), strict=True):
+                    chance = np.exp(total - total.max())
+                    best = int(chance.argmax())
+                    predicted[k], certain[k] = model.languages[best], float(chance[best] / chance.sum())
+                made = [pa.array(predicted, pa.string()), pa.array(certain, pa.float64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], names=["doc_id", "held_out", "lang_pred", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
     held = F.coalesce(crc_fold(F.col(key), FOLDS) == HELD_OUT, F.lit(False))

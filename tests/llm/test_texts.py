@@ -338,23 +338,26 @@ def plain_total(docs, counts, text):
     return out
 
 
-def test_language_id_equals_plain_python(spark, sf_dir):
+@pytest.mark.parametrize("memory", [1, 1_000_000])
+def test_language_id_equals_plain_python(spark, sf_dir, monkeypatch, memory):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
     rows = [r for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
     model, plain = language_id.train(docs), plain_model([(r.lang, r.text) for r in rows if r.lang and r.text])
     assert model.languages == sorted(plain[0])
-    for text in [r.text for r in docs.collect()[:20]] + ["schlafender kätzchen", "unseenish wordlike", "qqqq ййй", "the the the"]:
-        assert np.allclose(model.total(language_id.words(text)), plain_total(*plain, text), rtol=1e-4)
+    monkeypatch.setattr(language_id, "MEMORY", memory)
+    texts = [r.text for r in docs.collect()[:20]] + ["schlafender kätzchen", "", "unseenish wordlike", "qqqq ййй", "the the the"]
+    for _ in range(2):
+        for text, total in zip(texts, model.totals([language_id.words(t) for t in texts]), strict=True):
+            assert np.allclose(total, plain_total(*plain, text), rtol=1e-4)
 
 
-def test_language_id_backoff_and_edges(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "MEMORY", 3)
+def test_language_id_backoff_and_edges(spark):
     rows = [(i, "the cat sat on the mat and the hat", "en", 0) for i in range(20)] + [(100 + i, "der hund und die katze schlafen", "de", 0) for i in range(20)]
     rows += [(300, None, "en", 0), (301, "12 + 3 ²", "en", 0), (302, "text", None, 0), (None, "the", "de", 0), (303, "hund " * 40_000, None, 0), (0, "the cat", "en", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
     model = language_id.train(docs)
     assert model.languages == ["de", "en"]
-    assert model.total(["schlafender"]).argmax() == 0 and model.rows("schlafender")[0] == 5 and model.rows("qqqqq") == (-1, [])
+    assert model.totals([["schlafender"]]).argmax() == 0 and model.lines(["schlafender", "qqqqq", "und"])[1].tolist() == [5, -1, 0]
     found = language_id.identify(docs, model).collect()
     assert len(found) == len(rows)
     got = {r.doc_id: (r.lang_pred, r.score) for r in found}
