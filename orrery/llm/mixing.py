@@ -44,10 +44,14 @@ def units(weights: DataFrame) -> DataFrame:
     """
     share = F.col("share").cast("double")
     good = weights.select("source", F.when(share.isNotNull() & ~F.isnan(share) & (share > 0) & (share < float("inf")), share).alias("share")).filter("share IS NOT NULL")
-    summed = good.groupBy("source").agg(F.sum("share").alias("share"))
-    whole = summed.agg(F.sum("share").alias("total"), F.bool_and(F.col("share") == F.floor("share")).alias("whole")).withColumn("whole", F.col("whole") & (F.col("total") <= UNITS))
-    scaled = summed.join(F.broadcast(whole)).select("source", F.when(F.col("whole"), F.col("share")).otherwise(F.greatest(F.lit(1), F.round(F.col("share") / F.col("total") * UNITS))).cast("long").alias("a"))
-    return scaled.join(F.broadcast(scaled.agg(F.sum("a").alias("q"))))
+    summed = settled(good.groupBy("source").agg(F.sum("share").alias("share")), "mix-shares")
+    facts = summed.agg(F.sum("share").alias("total"), F.bool_and(F.col("share") == F.floor("share")).alias("whole")).first()
+    if facts["whole"] and facts["total"] <= UNITS:
+        a = F.col("share")
+    else:
+        a = F.greatest(F.lit(1), F.round(F.col("share") / F.lit(facts["total"] or 1.0) * UNITS))
+    scaled = summed.select("source", a.cast("long").alias("a"))
+    return scaled.withColumn("q", F.lit(scaled.agg(F.sum("a")).first()[0] or 0).cast("long"))
 
 
 def _release(j: Column, a: Column, q: Column) -> Column:
