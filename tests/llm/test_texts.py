@@ -504,6 +504,48 @@ def test_pack_in_order_of_any_table(spark, reference_ids):
     assert packing.pack_in_order(named).count() == 1
 
 
+def odd_documents(spark):
+    good = " ".join(f"the word{chr(97 + i % 26)}{chr(97 + i // 26)} of" for i in range(60))
+    other = " ".join(f"of thing{chr(97 + i % 26)}{chr(97 + i // 26)} and" for i in range(60)) + " write to a.b@mail.example"
+    long = " ".join(f"the part{i // 676 % 26}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}x{i} of" for i in range(20_000))
+    rows = [(1, good, "en", "a"), (1, good, "en", "a"), (2, good, None, None), (3, None, "en", "a"), (4, "", "en", "b"), (5, other, "de", "b"), (None, other + " more", "de", "b"), (6, long, "xx", "c"), (7, " \n\t ", None, "c")]
+    shape = "doc_id long, text string, lang string, source string, n_chars long, quality string, component_id int, pii string, mix_slot int, row string, _part int, _window string"
+    return spark.createDataFrame([(*r, len(r[1]) if r[1] is not None else None, "q", 5, "p", 9, "r", 3, "w") for r in rows], shape)
+
+
+def test_pipeline_stages_on_odd_documents(spark):
+    """Null, empty, blank, repeated and very long texts, null ids and sources, and columns named like those that operators make."""
+    docs, stage = odd_documents(spark), dict(corpus_pipeline.STAGES)
+    want = {"quality_rules": [None, 1, 1, 2, 5, 6], "ngram_jaccard_join": [1, 3, 4, 5, 6, 7], "pii": [None, 1, 1, 2, 3, 4, 5, 6, 7], "mixing": [None, 1, 1, 2, 3, 4, 5, 6, 7]}
+    for name, ids in want.items():
+        out = stage[name](spark, docs, "")
+        rows = out.collect()
+        assert out.columns == docs.columns and sorted((r.doc_id for r in rows), key=lambda i: (i is not None, i)) == ids, name
+        assert all((r.quality, r.component_id, r.pii, r.mix_slot, r.row) == ("q", 5, "p", 9, "r") for r in rows)
+        empty = stage[name](spark, docs.limit(0), "")
+        assert empty.columns == docs.columns and empty.count() == 0
+        if name == "pii":
+            texts = {r.doc_id: r.text for r in rows}
+            assert texts[3] is None and texts[4] == "" and texts[5].endswith("write to [EMAIL]")
+    pieces = stage["best_fit_packing"](spark, docs, "").collect()
+    assert Counter(r.doc_id for r in pieces if r.piece == 0) == Counter([None, 1, 1, 2, 3, 4, 5, 6, 7])
+    assert sum(r.length for r in pieces if r.doc_id in (3, 4)) == 2 and sum(r.doc_id == 6 for r in pieces) > 50
+    assert stage["best_fit_packing"](spark, docs.limit(0), "").count() == 0
+
+
+def test_operators_on_odd_documents(spark):
+    from orrery.llm import near_duplicates, quality_rules
+
+    docs = odd_documents(spark)
+    assert len(near_duplicates.near_duplicates(docs).collect()) == 9
+    assert {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(docs).collect()}[2] == 1
+    assert len(packing.pack(docs).collect()) > 60 and packing.pack(docs.limit(0)).count() == 0
+    assert len(quality_rules.verdicts(docs).collect()) == 9
+    assert token_counts.section_tokens(docs, fields=("source", "text")).select("doc_id", "field").distinct().count() == 16
+    assert len(media.media_columns(docs).collect()) == 9
+    assert len(language_id.identify(docs, language_id.train(docs)).collect()) == 9
+
+
 def test_lists_survive_arrow_slices():
     from orrery.llm.near_duplicates import _groups
 
