@@ -259,16 +259,16 @@ def search_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25_postings(index, sizes, PART_FIELDS, "steel red")
 
 
-@query("search_stored_overlap", _bm25_sql("part", "p_partkey", PART_FIELDS, ["ste", "steel"]))
+@query("search_stored_overlap", _bm25_sql("part", "p_partkey", PART_FIELDS, ["gi", "gizmo"]))
 def search_stored_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of which one is a prefix of the other: a posting counts for both."""
     part = Tables(spark, sf_dir).raw("part")
     index = search.postings(part, "p_partkey", list(PART_FIELDS))
     sizes = index.groupBy("doc").agg(F.sum("tf").cast("double").alias("size"))
-    return search.bm25_postings(index, sizes, PART_FIELDS, "ste steel")
+    return search.bm25_postings(index, sizes, PART_FIELDS, "gi gizmo")
 
 
-_PHRASE = "len(list_filter(range(1, len(ts)), lambda i: ts[i] = 'steel' AND starts_with(ts[i + 1], 'b')))"
+_PHRASE = "len(list_filter(range(1, len(ts)), lambda i: ts[i] = 'blue' AND starts_with(ts[i + 1], 'gi')))"
 _PHRASE_SQL = f"""WITH t AS (SELECT p_partkey AS doc, regexp_extract_all(lower(p_name), '[\\p{{L}}\\p{{N}}]+') AS ts FROM part), r AS (SELECT doc, CAST(len(ts) AS DOUBLE) AS size, {_PHRASE} AS tf FROM t),
 s AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(size) AS mean, CAST(count(*) FILTER (tf > 0) AS DOUBLE) AS df FROM r)
 SELECT doc, round(-(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 9) AS score FROM r, s WHERE tf > 0 ORDER BY score, doc LIMIT 20"""
@@ -276,14 +276,14 @@ SELECT doc, round(-(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 /
 
 @query("search_phrase", _PHRASE_SQL)
 def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.bm25(Tables(spark, sf_dir).raw("part"), "p_partkey", {"p_name": 1.0}, "steel_b")
+    return search.bm25(Tables(spark, sf_dir).raw("part"), "p_partkey", {"p_name": 1.0}, "blue_gi")
 
 
 @query("search_stored_phrase", _PHRASE_SQL)
 def search_stored_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = search.postings(Tables(spark, sf_dir).raw("part"), "p_partkey", ["p_name"], positions=True)
     sizes = index.groupBy("doc").agg(F.sum("tf").cast("double").alias("size"))
-    return search.bm25_postings(index, sizes, {"p_name": 1.0}, "steel_b")
+    return search.bm25_postings(index, sizes, {"p_name": 1.0}, "blue_gi")
 
 
 @query("postings", "SELECT term, doc, 'p_name' AS field, CAST(count(*) AS BIGINT) AS tf FROM (SELECT p_partkey AS doc, unnest(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+')) AS term FROM part) GROUP BY term, doc")
