@@ -68,6 +68,44 @@ def reconcile(stored: DataFrame, declared: DataFrame, key: str = "full_name", ve
     return a.join(b, key, "full_outer").select(key, state.alias("state"))
 
 
+def reconcile_area(stored: DataFrame, declared: DataFrame, objects: DataFrame, area: str) -> DataFrame:
+    """(full_name, state, action): one area's manifest against the stored ones (area, full_name, config_version), unchanged names left out.
+
+    objects: (full_name, home), the area that an object belongs to. An object that its home no longer declares is dropped with
+    all that hangs on it; one that another area has let go is merged again from the areas that are left.
+    """
+    own = stored.filter(F.col("area") == area)
+    changed = reconcile(own, declared).filter("state <> 'kept'")
+    home = objects.select("full_name", "home").dropDuplicates(["full_name"])
+    action = F.when((F.col("state") == "removed") & (F.col("home") == area), "drop").when((F.col("state") == "removed") & F.col("home").isNotNull(), "merge")
+    return changed.join(home, "full_name", "left").select("full_name", "state", action.alias("action"))
+
+
+#: Tables of a configuration, with the columns that name an object and whether its parts (Type.Name.Part) go with it.
+OWNED = {"objects": {"full_name": True}, "links": {"from_object": False, "to_object": False}, "forms": {"owner_full_name": False}, "modules": {"object_name": False}, "manifest": {"full_name": True}}
+
+
+def drop_cascade(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """The tables (see OWNED) without the rows of the objects in `gone` (full_name), their parts included; other tables stay as they are."""
+    names = gone.select(F.col("full_name").alias("_gone")).distinct()
+
+    def without(rows: DataFrame, column: str, parts: bool) -> DataFrame:
+        if not parts:
+            return rows.join(names, F.col(column) == F.col("_gone"), "left_anti")
+        # Every dotted beginning of a name is looked up: an equality join, not one by prefix.
+        split = F.split("_name", r"\.")
+        begins = F.transform(F.sequence(F.lit(1), F.size(split)), lambda n: F.array_join(F.slice(split, F.lit(1), n), "."))
+        hit = rows.select(F.col(column).alias("_name")).distinct().select("_name", F.explode(begins).alias("_gone")).join(names, "_gone", "left_semi")
+        return rows.join(hit.select("_name").distinct(), F.col(column) == F.col("_name"), "left_anti")
+
+    out = dict(tables)
+    for table, columns in OWNED.items():
+        for column, parts in columns.items():
+            if table in out:
+                out[table] = without(out[table], column, parts)
+    return out
+
+
 def edge_delta(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges that were added and those that are gone."""
     return new.exceptAll(old), old.exceptAll(new)

@@ -75,19 +75,27 @@ def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    files = Tables(spark, sf_dir).files().select("file_id", "path", F.sha2("content", 256).alias("content_hash"), F.col("file_id").alias("mtime"), "file_size")
-    kept = F.col("file_id") % 10
-    stored = files.filter(kept != 1).drop("file_id")
-    seen = files.filter(kept != 2).select("path", F.when(kept == 3, F.sha2("path", 256)).otherwise(F.col("content_hash")).alias("content_hash"), F.when(kept == 4, F.col("mtime") + 1).otherwise(F.col("mtime")).alias("mtime"), "file_size")
-    return stored, seen
+    """Two states of the files: toxic documents came, those of low quality went, French ones have other contents, German ones another time."""
+    t = Tables(spark, sf_dir)
+    files = t.files().select("file_id", "path", "language", F.sha2("content", 256).alias("content_hash"), F.col("file_id").alias("mtime"), "file_size")
+    marked = files.join(t.raw("labels").withColumnRenamed("doc_id", "file_id"), "file_id", "left")
+    came, went = F.coalesce(F.col("toxic") == 1, F.lit(False)), F.coalesce(F.col("quality") == 0, F.lit(False))
+    french, german = (F.coalesce(F.col("language") == x, F.lit(False)) for x in ("fr", "de"))
+    stored = marked.filter(~came)
+    seen = marked.filter(came | ~went).withColumns({"content_hash": F.when(french, F.sha2("path", 256)).otherwise(F.col("content_hash")), "mtime": F.when(german, F.col("mtime") + 1).otherwise(F.col("mtime"))})
+    return tuple(x.select("path", "content_hash", "mtime", "file_size") for x in (stored, seen))  # type: ignore[return-value]
+
+
+_CHANGES = f"""WITH {FILES}, marked AS (SELECT path, CASE WHEN toxic = 1 THEN 'new' WHEN quality = 0 THEN 'deleted' WHEN language = 'fr' THEN 'changed' WHEN language = 'de' THEN 'touched' ELSE 'same' END AS change
+ FROM files LEFT JOIN labels ON doc_id = file_id)"""
 
 
-@query("file_change_diff", f"WITH {FILES} SELECT path, CASE file_id % 10 WHEN 1 THEN 'new' WHEN 2 THEN 'deleted' WHEN 3 THEN 'changed' WHEN 4 THEN 'touched' ELSE 'same' END AS change FROM files")
+@query("file_change_diff", f"{_CHANGES} SELECT path, change FROM marked")
 def file_change_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.file_changes(*_snapshots(spark, sf_dir))
 
 
-@query("files_to_read", f"WITH {FILES} SELECT path FROM files WHERE file_id % 10 IN (1, 4)")
+@query("files_to_read", f"{_CHANGES} SELECT path FROM marked WHERE change IN ('new', 'touched')")
 def files_to_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.unchanged_fast(*_snapshots(spark, sf_dir)).select("path")
 
@@ -304,6 +312,13 @@ def search_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.term_search(Tables(spark, sf_dir).raw("documents"), "doc_id", "text", "license trash")
 
 
+@query("search_trigram_stored", "SELECT p_partkey, CAST(contains(lower(p_name), 'izm') AS BIGINT) + CAST(contains(lower(p_name), 'blue') AS BIGINT) AS matched FROM part WHERE contains(lower(p_name), 'izm') OR contains(lower(p_name), 'blue') ORDER BY matched DESC, p_partkey LIMIT 200")
+def search_trigram_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search over an index of triples."""
+    part = Tables(spark, sf_dir).raw("part")
+    return search.term_search(part, "p_partkey", "p_name", "izm blue", 200, search.trigram_index(part, "p_partkey", "p_name"))
+
+
 @query("trigram_postings", "SELECT t AS trigram, CAST(count(*) AS BIGINT) AS docs FROM (SELECT s_suppkey, unnest(list_distinct(list_transform(range(1, length(s_name) - 1), lambda i: substr(lower(s_name), i, 3)))) AS t FROM supplier) GROUP BY t")
 def trigram_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Tables(spark, sf_dir).raw("supplier").select(F.explode(search.trigrams(F.col("s_name"))).alias("trigram"))
@@ -743,16 +758,16 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.latest(Tables(spark, sf_dir).raw("orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-@query("upsert_files", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE lang END AS lang FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")
+@query("upsert_files", "SELECT coalesce(doc_id, vec_id) AS doc_id, CASE WHEN vec_id IS NULL THEN 'q' || quality ELSE 'v' || label END AS mark FROM labels FULL JOIN embeddings ON doc_id = vec_id")
 def upsert_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = Tables(spark, sf_dir).raw("documents").select("doc_id", "lang")
-    return merge.upsert(docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 3 = 0").withColumn("lang", F.lit("new")), ["doc_id"])
+    t = Tables(spark, sf_dir)
+    return merge.upsert(t.raw("labels").select("doc_id", key("q", "quality").alias("mark")), t.raw("embeddings").select(F.col("vec_id").alias("doc_id"), key("v", "label").alias("mark")), ["doc_id"])
 
 
-@query("insert_ignore", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'new' END AS lang FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")
+@query("insert_ignore", "SELECT coalesce(l.doc_id, d.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN lang ELSE 'q' || quality END AS mark FROM labels l FULL JOIN documents d ON l.doc_id = d.doc_id")
 def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = Tables(spark, sf_dir).raw("documents").select("doc_id", "lang")
-    return merge.insert_missing(docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 3 = 0").withColumn("lang", F.lit("new")), ["doc_id"])
+    t = Tables(spark, sf_dir)
+    return merge.insert_missing(t.raw("labels").select("doc_id", key("q", "quality").alias("mark")), t.raw("documents").select("doc_id", F.col("lang").alias("mark")), ["doc_id"])
 
 
 @query("delete_cascade", f"WITH {CALLS} SELECT * FROM calls WHERE file_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
@@ -766,11 +781,39 @@ def delete_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.delete_prefix(Tables(spark, sf_dir).files().select("path"), "src1/")
 
 
-@query("manifest_reconcile", "SELECT c_name AS full_name, CASE c_custkey % 5 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' WHEN 2 THEN 'updated' ELSE 'kept' END AS state FROM customer")
+#: Two manifests over parts of suppliers: what was returned, and what was taken.
+_MANIFESTS = """WITH m AS (SELECT l_returnflag AS area, 'Part' || l_partkey || '.Supplier' || l_suppkey AS full_name, CAST(max(l_quantity) AS VARCHAR) AS config_version FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY 1, 2),
+s AS (SELECT * FROM m WHERE area = 'R'), d AS (SELECT * FROM m WHERE area = 'A'),
+r AS (SELECT coalesce(s.full_name, d.full_name) AS full_name, CASE WHEN s.full_name IS NULL THEN 'added' WHEN d.full_name IS NULL THEN 'removed' WHEN s.config_version <> d.config_version THEN 'updated' ELSE 'kept' END AS state FROM s FULL JOIN d ON s.full_name = d.full_name)"""
+#: An object is at home in the area that its supplier's nation names.
+_HOMES = "h AS (SELECT DISTINCT 'Part' || l_partkey || '.Supplier' || l_suppkey AS full_name, CASE WHEN s_nationkey < 12 THEN 'R' ELSE 'N' END AS home FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"
+
+
+def _manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    t = Tables(spark, sf_dir)
+    name = F.concat(key("Part", "l_partkey"), key(".Supplier", "l_suppkey"))
+    rows = t.raw("lineitem").select("l_returnflag", "l_quantity", "l_suppkey", name.alias("full_name"))
+    each = rows.filter("l_returnflag IN ('R', 'A')").groupBy(F.col("l_returnflag").alias("area"), "full_name").agg(F.max("l_quantity").cast("string").alias("config_version"))
+    homes = rows.join(t.raw("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("full_name", F.when(F.col("s_nationkey") < 12, "R").otherwise("N").alias("home")).distinct()
+    return each, each.filter("area = 'A'").drop("area"), homes
+
+
+@query("manifest_reconcile", f"{_MANIFESTS} SELECT full_name, state FROM r")
 def manifest_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = Tables(spark, sf_dir).raw("customer").select(F.col("c_name").alias("full_name"), F.col("c_mktsegment").alias("config_version"), (F.col("c_custkey") % 5).alias("r"))
-    declared = rows.filter("r <> 1").withColumn("config_version", F.when(F.col("r") == 2, "next").otherwise(F.col("config_version")))
-    return merge.reconcile(rows.filter("r <> 0").drop("r"), declared.drop("r"))
+    stored, declared, _ = _manifests(spark, sf_dir)
+    return merge.reconcile(stored.filter("area = 'R'"), declared)
+
+
+@query("manifest_actions", f"{_MANIFESTS}, {_HOMES} SELECT r.full_name, state, CASE WHEN state = 'removed' THEN CASE home WHEN 'R' THEN 'drop' ELSE 'merge' END END AS action FROM r JOIN h ON r.full_name = h.full_name WHERE state <> 'kept'")
+def manifest_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.reconcile_area(*_manifests(spark, sf_dir), "R")
+
+
+@query("drop_object_cascade", f"WITH {LINKS}, g AS (SELECT 'Supplier.' || s_suppkey AS full_name FROM supplier WHERE s_acctbal < 0 UNION ALL SELECT 'Customer.' || c_custkey FROM customer WHERE c_acctbal < 0) SELECT * FROM links WHERE from_object NOT IN (SELECT full_name FROM g) AND to_object NOT IN (SELECT full_name FROM g)")
+def drop_object_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    gone = t.raw("supplier").filter("s_acctbal < 0").select(key("Supplier.", "s_suppkey").alias("full_name")).union(t.raw("customer").filter("c_acctbal < 0").select(key("Customer.", "c_custkey")))
+    return merge.drop_cascade({"links": t.data_links()}, gone)["links"]
 
 
 @query("edge_delta", f"WITH {CALLS} SELECT 'added' AS delta, caller, callee FROM (SELECT DISTINCT caller, callee FROM calls WHERE line <= 3 EXCEPT SELECT caller, callee FROM calls WHERE line >= 2) UNION ALL SELECT 'gone', caller, callee FROM (SELECT DISTINCT caller, callee FROM calls WHERE line >= 2 EXCEPT SELECT caller, callee FROM calls WHERE line <= 3)")
@@ -781,11 +824,13 @@ def edge_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return added.select(F.lit("added").alias("delta"), "caller", "callee").union(gone.select(F.lit("gone"), "caller", "callee"))
 
 
-@query("session_dedupe", "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 3 <> 0")
+@query("session_dedupe", "SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50)")
 def session_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = Tables(spark, sf_dir).raw("supplier").select("s_suppkey", "s_name")
-    mark = F.xxhash64(F.to_json(F.struct("s_suppkey", "s_name"), {"ignoreNullFields": "false"}))
-    sent = rows.filter("s_suppkey % 3 = 0").select(F.lit("tool|repo").alias("scope"), mark.alias("row_hash"))
+    t = Tables(spark, sf_dir)
+    rows = t.raw("part").select("p_partkey", "p_name")
+    mark = F.xxhash64(F.to_json(F.struct("p_partkey", "p_name"), {"ignoreNullFields": "false"}))
+    returned = t.raw("lineitem").filter("l_returnflag = 'R' AND l_quantity = 50")
+    sent = rows.join(returned, F.col("p_partkey") == F.col("l_partkey"), "left_semi").select(F.lit("tool|repo").alias("scope"), mark.alias("row_hash"))
     return merge.fresh_rows(rows, sent, "tool|repo")
 
 
@@ -1016,7 +1061,7 @@ def config_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- sinks, text helpers, repositories
 
 
-@query("entity_sink_round_trip", "SELECT doc_id, lang, CASE WHEN doc_id % 4 = 0 THEN 'again' ELSE source END AS source FROM documents")
+@query("entity_sink_round_trip", "SELECT doc_id, lang, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'again' ELSE source END AS source FROM documents")
 def entity_sink_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows written by partition, then the partitions of changed files written again."""
     import uuid
@@ -1027,7 +1072,7 @@ def entity_sink_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = Tables(spark, sf_dir).raw("documents").select("doc_id", "lang", "source", key("", "doc_id").alias("path"))
     place = f"{shared_folder(spark)}/orrery-{spark.sparkContext.applicationId}/sink-{uuid.uuid4().hex}"
     sinks.write_entities(sinks.bucketed_files(docs, buckets=8), place)
-    changed = docs.filter("doc_id % 4 = 0")
+    changed = docs.join(Tables(spark, sf_dir).raw("labels").select("doc_id"), "doc_id", "left_semi")
     sinks.write_changes(spark, place, changed.withColumn("source", F.lit("again")), changed, buckets=8)
     return spark.read.parquet(place).select("doc_id", "lang", "source")
 
@@ -1040,20 +1085,22 @@ def repository_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.repository_stats(sinks.repositories({"a": part, "b": part.filter("p_size > 25")}))
 
 
-@query("enrichment_candidates", "SELECT p_name || '#' || p_partkey AS proc_key FROM part WHERE p_partkey % 3 <> 0")
+@query("enrichment_candidates", "SELECT p_name || '#' || p_partkey AS proc_key FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 1)")
 def enrichment_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.sources import sinks
 
-    procedures = Tables(spark, sf_dir).raw("part").select("p_partkey", F.concat_ws("#", "p_name", key("", "p_partkey")).alias("proc_key"))
-    return sinks.enrichment_candidates(procedures, procedures.filter("p_partkey % 3 = 0")).select("proc_key")
+    t = Tables(spark, sf_dir)
+    procedures = t.raw("part").select("p_partkey", F.concat_ws("#", "p_name", key("", "p_partkey")).alias("proc_key"))
+    enriched = procedures.join(t.raw("lineitem").filter("l_quantity = 1"), F.col("p_partkey") == F.col("l_partkey"), "left_semi")
+    return sinks.enrichment_candidates(procedures, enriched).select("proc_key")
 
 
-@query("content_backfill", "SELECT doc_id AS file_id FROM documents WHERE doc_id % 5 = 0")
+@query("content_backfill", "SELECT doc_id AS file_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def content_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.sources import sinks
 
-    files = Tables(spark, sf_dir).files()
-    return sinks.missing_content(files.select("file_id"), files.filter("file_id % 5 <> 0").select("file_id"))
+    t = Tables(spark, sf_dir)
+    return sinks.missing_content(t.files().select("file_id"), t.raw("labels").select(F.col("doc_id").alias("file_id")))
 
 
 @query("leading_comments", "SELECT p_partkey AS id, 'Makes ' || p_name || '. Type ' || p_type AS comment FROM part")

@@ -24,7 +24,7 @@ CLASS_FIELDS = {"name": 10.0, "docstring": 2.0, "body": 1.0}
 @dataclass
 class Engine:
     """tables: files, functions, classes, imports, calls, variables, texts, codes; and of the derived layer objects, links, forms,
-    subscriptions, rights, usages, procedure_graph, terms. Entities carry `path`."""
+    subscriptions, rights, usages, procedure_graph, terms, and term_triples (their trigram index, if there is one). Entities carry `path`."""
 
     spark: SparkSession
     tables: Mapping[str, DataFrame]
@@ -66,7 +66,7 @@ class Engine:
         return self._rows(found.select("path", text.snippet(F.col("content"), token).alias("snippet")))
 
     def search_terms(self, query: str, limit: int = 20) -> list[dict]:
-        found = search.term_search(self._t("terms"), "proc_key", "terms", query, min(max(limit, 1), 200))
+        found = search.term_search(self._t("terms"), "proc_key", "terms", query, min(max(limit, 1), 200), self.tables.get("term_triples"))
         return self._rows(found.join(self._t("terms"), "proc_key").orderBy(F.desc("matched"), "proc_key"))
 
     # ---- lookup

@@ -202,6 +202,34 @@ def test_stored_index_upkeep(spark, tmp_path):
     assert [r.doc for r in search.bm25(docs, "id", {"t": 1.0}, "foo_bar").collect()] == [4, 2]
 
 
+def test_trigram_index_gives_the_same(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Onion soup"), (2, "alpine ONIONS, soup"), (3, "nio oni ion"), (4, None), (5, "ёлка и ель"), (6, "so")], "id long, t string")
+    search.write_postings(search.trigram_index(docs, "id", "t"), str(tmp_path / "t"), 4)
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    for query in ("onion", "onion AND soup", "soup NOT alpine", '"n soup"', "елка onio", "zzz", "so"):
+        want = [tuple(r) for r in search.term_search(docs, "id", "t", query).collect()]
+        assert [tuple(r) for r in search.term_search(docs, "id", "t", query, index=stored).collect()] == want, query
+    fresh = spark.createDataFrame([(2, "chives"), (7, "an onion")], "id long, t string")
+    index = search.update_postings(stored, search.trigram_index(fresh, "id", "t"), fresh.select(F.col("id").alias("doc")))
+    now = docs.filter("id <> 2").union(fresh)
+    assert [r.id for r in search.term_search(now, "id", "t", "onion chive", index=index).collect()] == [1, 2, 7]
+
+
+def test_area_reconciliation_and_cascade(spark):
+    stored = spark.createDataFrame([("A", "Doc.X", "1"), ("A", "Doc.Y", "1"), ("A", "Doc.Z", "1"), ("A", "Doc.Q", "1"), ("B", "Doc.W", "1")], "area string, full_name string, config_version string")
+    declared = spark.createDataFrame([("Doc.Z", "1"), ("Doc.N", "1"), ("Doc.Q", "2")], "full_name string, config_version string")
+    objects = spark.createDataFrame([("Doc.X", "A"), ("Doc.Y", "B"), ("Doc.Z", "A"), ("Doc.W", "B")], "full_name string, home string")
+    found = merge.reconcile_area(stored, declared, objects, "A")
+    assert {tuple(r) for r in found.collect()} == {("Doc.X", "removed", "drop"), ("Doc.Y", "removed", "merge"), ("Doc.N", "added", None), ("Doc.Q", "updated", None)}
+    names = lambda *rows: spark.createDataFrame([(r,) for r in rows], "full_name string")
+    links = spark.createDataFrame([("Doc.X", "Doc.Z"), ("Doc.Z", "Doc.X"), ("Doc.Z", "Doc.XY"), ("Doc.Z", None)], "from_object string, to_object string")
+    tables = {"objects": names("Doc.X", "Doc.X.Template.T", "Doc.XY", "Doc.Z", None), "links": links, "files": names("Doc.X")}
+    kept = merge.drop_cascade(tables, found.filter("action = 'drop'"))
+    assert {r[0] for r in kept["objects"].collect()} == {"Doc.XY", "Doc.Z", None}
+    assert {tuple(r) for r in kept["links"].collect()} == {("Doc.Z", "Doc.XY"), ("Doc.Z", None)}
+    assert kept["files"] is tables["files"]
+
+
 def test_guard(spark):
     spark.range(5).createOrReplaceTempView("numbers")
     assert guard.query(spark, "-- c\nSELECT id /* x */ FROM numbers WHERE id > ?", [2]).count() == 2
