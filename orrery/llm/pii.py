@@ -225,13 +225,14 @@ def detect(docs: DataFrame, rule: Disclosure = Disclosure(), text: str = "text",
 
 
 def report(found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Counts, digest and joined spans of what detect() found, in its last column."""
+    """Counts, digest and joined spans of what detect() found, in its last column. n_spans: all spans, the added ones included."""
     spans, extra = F.col(f"{found.columns[-1]}.spans"), F.col(f"{found.columns[-1]}.extra")
     count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = _joined(spans)
     # Base spans come before those that the method adds; the added ones share one kind name here.
     added = F.transform(extra, lambda s: s.withField("kind", F.lit("term")))
-    return found.select(F.col(key), *[count(kind) for kind, *_ in KINDS], F.sha2(base, 256).alias("base_sha256"), _joined(F.concat(spans, added)).alias("spans"))
+    total = F.size(F.concat(spans, extra)).cast("long").alias("n_spans")
+    return found.select(F.col(key), *[count(kind) for kind, *_ in KINDS], F.sha2(base, 256).alias("base_sha256"), _joined(F.concat(spans, added)).alias("spans"), total)
 
 
 def sanitised(text: Column, spans: Column) -> Column:
