@@ -107,9 +107,13 @@ def code_usages(lines: DataFrame, collections: list[str], types: list[str]) -> D
 
     lines: (path, line, text). Comments after // outside literals are dropped; a literal ends with its line.
     """
-    bare = F.regexp_replace("text", r'"[^"]*"?', '""')
-    code = F.regexp_replace(bare, "//.*$", "")
-    said = F.array_join(F.regexp_extract_all(F.regexp_replace("text", r'^((?:[^"/]|/(?!/)|"[^"]*")*)//.*$', "$1"), F.lit('"([^"]*)"?'), 1), " ")
+    quoted = F.contains("text", F.lit('"'))
+    bare = F.when(quoted, F.regexp_replace("text", r'"[^"]*+"?', '""')).otherwise(F.col("text"))
+    # Possessive: a long line costs neither stack nor second tries.
+    cut = F.regexp_replace("text", r'^((?:[^"/]++|/(?!/)|"[^"]*+")*+)//.*$', "$1")
+    said = F.when(quoted, F.array_join(F.regexp_extract_all(cut, F.lit('"([^"]*+)"?'), 1), " ")).otherwise("")
+    lines = lines.select("path", "line", F.regexp_replace(bare, "//.*$", "").alias("code"), said.alias("said"))
+    code, said = F.col("code"), F.col("said")
     word = r"[\p{L}_][\p{L}\p{N}_]*"
     one = lambda kind, text, pattern: F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda x: F.struct(F.lit(kind).alias("usage_kind"), x.alias("object_ref")))
     found = F.concat(

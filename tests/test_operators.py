@@ -350,6 +350,13 @@ def test_code_usages_skip_comments(spark):
     assert {(r.line, r.usage_kind, r.object_ref) for r in found.collect()} == {(1, "manager", "Catalogs.A"), (2, "query", "Catalog.C"), (2, "ref_type", "CatalogRef.D")}
 
 
+def test_code_usages_of_a_very_long_line(spark):
+    long = 'x = "Catalog.A"; ' + "y = 1 / 2; " * 50_000 + 'Catalogs.B.Find(); "Catalog.C // no comment"; // Catalogs.D'
+    rows = spark.createDataFrame([("p", 1, long), ("p", 2, None), ("p", 3, 'z = "CatalogRef.E')], "path string, line long, text string")
+    found = derive.code_usages(rows, ["Catalogs"], ["Catalog"]).collect()
+    assert {(r.line, r.usage_kind, r.object_ref) for r in found} == {(1, "query", "Catalog.A"), (1, "manager", "Catalogs.B"), (1, "query", "Catalog.C"), (3, "ref_type", "CatalogRef.E")}
+
+
 def test_link_targets(spark):
     rows = [("o", "a", "cfg:CatalogRef.X"), ("o", "b", "cfg:DocumentRef"), ("o", "c", "xs:string"), ("o", "d", "cfg:AnyRef"), ("o", "e", "cfg:DefinedType.T")] + [("o", "m", f"cfg:CatalogRef.N{i}") for i in range(31)]
     found = derive.link_targets(spark.createDataFrame(rows, "object string, attribute string, type string"))
