@@ -10,6 +10,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.session import settled
+
 K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -77,7 +79,8 @@ def bm25(entities: DataFrame, doc: str, weights: Mapping[str, float], query: str
 
     length = sum((F.size(lists[f]) for f in fields), F.lit(0))
     tf = [sum((F.lit(float(weights[f])) * count(f, t) for f in fields), F.lit(0.0)).alias(f"tf{i}") for i, t in enumerate(wanted)]
-    rows = entities.select(F.col(doc).alias("doc"), length.cast("double").alias("size"), *tf)
+    # Texts are read once: what statistics and scores need of a row is a few numbers.
+    rows = settled(entities.select(F.col(doc).alias("doc"), length.cast("double").alias("size"), *tf), "bm25")
     stats = rows.agg(F.count("*").cast("double").alias("n"), F.avg("size").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"df{i}") for i in range(len(wanted))])
     any_ = F.lit(False)
     for i in range(len(wanted)):
