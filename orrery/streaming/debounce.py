@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -88,22 +88,36 @@ def apply_changes(table: DataFrame, changes: DataFrame, contents: DataFrame, key
     return kept.unionByName(contents.join(alive, key, "left_semi").select(*table.columns))
 
 
-def maintain(stream: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], contents: Callable[[DataFrame], DataFrame], checkpoint: str, full: Callable[[], DataFrame] | None = None, bulk: int = BULK) -> object:
-    """A query that applies each micro-batch of changes (path, kind, ts) to a table; a batch beyond `bulk` changes is answered by
-    `full`, if there is one, which gives the table from the files as they are.
+def apply_dated(table: DataFrame, rows: DataFrame, key: str = "path", order: Sequence[str] = ("ts", "kind")) -> DataFrame:
+    """`table` and `rows`, of each path the last in the order, in whatever batches they came. Deletions stay as rows of their kind, so
+    that an older change that comes late doesn't bring a path back; `alive` leaves them out."""
+    return latest(table.unionByName(rows.select(*table.columns)), [key], order)
 
-    `write` gets the whole new table and the batch number; a batch that is run again after a failure must replace what it wrote
-    before, so it writes by that number.
+
+def alive(table: DataFrame) -> DataFrame:
+    """The rows of a dated table whose path isn't deleted."""
+    return table.filter(F.col("kind") != "Deleted")
+
+
+def maintain(stream: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], contents: Callable[[DataFrame], DataFrame], checkpoint: str, full: Callable[[], DataFrame] | None = None, bulk: int = BULK, key: str = "path", order: Sequence[str] = ("ts", "kind")) -> object:
+    """A query that applies each micro-batch of changes (path, kind, ts) to a dated table (see `apply_dated`), which has `key`, `kind` and
+    the columns of `order`; a batch beyond `bulk` changes is answered by `full`, if there is one, which gives the table from the
+    files as they are.
+
+    `contents` gets the last change of each path in a batch and gives the table's rows for them, deletions too. `write` gets the
+    whole new table and the batch number; a batch that is run again after a failure must replace what it wrote before, so it
+    writes by that number.
     """
 
     def one(batch: DataFrame, number: int) -> None:
         count = batch.count()
         if full is not None and route(count, bulk) == "full":
-            write(full(), number)
+            now, known = full(), apply_dated(read(), contents(latest(batch, [key], order)), key, order)
+            write(now.unionByName(delete_keys(known, now, [key]).withColumn("kind", F.lit("Deleted")).select(*now.columns)), number)
         elif count:
-            write(apply_changes(read(), batch, contents(batch)), number)
+            write(apply_dated(read(), contents(latest(batch, [key], order)), key, order), number)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-__all__ = ["apply_changes", "batches", "debounce_stream", "maintain", "route", "sessions", "upsert"]
+__all__ = ["alive", "apply_changes", "apply_dated", "batches", "debounce_stream", "maintain", "route", "sessions", "upsert"]
