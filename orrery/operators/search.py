@@ -39,11 +39,37 @@ def tokens(text: Column) -> Column:
 
 def postings(entities: DataFrame, doc: str, fields: list[str], positions: bool = False) -> DataFrame:
     """(term, doc, field, tf): the inverted index, to be stored and sorted by term. With `positions` also `at`, those of the term in
-    the field, for phrases."""
+    the field, for phrases.
+
+    Terms are counted within their row, so no task gathers the postings of its rows; only those of documents that several rows
+    make up (looked for in the keys) are added up.
+    """
     each = [F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("terms")) for f in fields]
-    rows = entities.select(F.col(doc).alias("doc"), F.explode(F.array(*each)).alias("f")).select("doc", "f.field", F.posexplode("f.terms").alias("i", "term"))
-    more = [F.sort_array(F.collect_list("i")).alias("at")] if positions else []
-    return rows.groupBy("term", "doc", "field").agg(F.count("*").alias("tf"), *more)
+    rows = entities.select(F.col(doc).alias("doc"), F.explode(F.array(*each)).alias("f")).select("doc", "f.field", "f.terms").filter(F.size("terms") > 0)
+    # Each step is a column of its own: sorted occurrences, and the places in them where another term begins.
+    rows = rows.withColumn("sorted", F.sort_array(F.transform("terms", lambda t, i: F.struct(t.alias("term"), i.alias("i"))))) if positions else rows.withColumn("sorted", F.sort_array("terms"))
+    term = lambda i: F.get("sorted", i).getField("term") if positions else F.get("sorted", i)
+    rows = rows.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("sorted") - 1), lambda i: (i == 0) | (term(i) != term(i - 1))))
+
+    def entry(start: Column, n: Column) -> Column:
+        tf = F.coalesce(F.get("starts", n + 1), F.size("sorted")) - start
+        more = [F.transform(F.slice("sorted", start + 1, tf), lambda x: x.getField("i")).alias("at")] if positions else []
+        return F.struct(term(start).alias("term"), tf.cast("long").alias("tf"), *more)
+
+    rows = rows.select("doc", "field", F.explode(F.transform("starts", entry)).alias("e")).select("e.term", "doc", "field", "e.tf", *(["e.at"] if positions else []))
+    repeated = entities.groupBy(F.col(doc).alias("_doc")).agg(F.count("*").alias("n")).filter("n > 1").select("_doc")
+    if repeated.isEmpty():
+        return rows
+    same = F.col("doc").eqNullSafe(F.col("_doc"))
+    more = [F.sort_array(F.flatten(F.collect_list("at"))).alias("at")] if positions else []
+    added = rows.join(repeated, same, "left_semi").groupBy("term", "doc", "field").agg(F.sum("tf").alias("tf"), *more)
+    return rows.join(repeated, same, "left_anti").unionByName(added)
+
+
+def lengths(entities: DataFrame, doc: str, fields: list[str]) -> DataFrame:
+    """(doc, size): the number of tokens of each document, those without one included; stored beside the postings."""
+    size = sum((F.size(tokens(F.col(f))) for f in fields), F.lit(0))
+    return entities.select(F.col(doc).alias("doc"), size.alias("size")).groupBy("doc").agg(F.sum("size").cast("double").alias("size"))
 
 
 def write_postings(index: DataFrame, path: str, buckets: int = 64) -> None:

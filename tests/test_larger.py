@@ -4,7 +4,10 @@ import datetime
 import random
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
+from orrery.operators import search
 from orrery.plans.catalogue import ORACLES, QUERIES
 from orrery.streaming import debounce
 
@@ -49,3 +52,32 @@ def test_definitions_with_keys_far_apart(spark, tmp_path):
     orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string")
     orders.write.parquet(str(tmp_path / "orders.parquet"))
     assert len(same_as_sql(spark, str(tmp_path), "merged_structure", "orders")) == 33
+
+
+@pytest.mark.parametrize("positions", [False, True])
+def test_postings_are_counted_within_rows(spark, positions):
+    """One task's memory doesn't grow with the postings of its rows: nothing is aggregated, unless documents have several rows."""
+    docs = spark.createDataFrame([(1, "b a b", "x"), (2, None, ""), (3, "...", "a a"), (4, "Straße é b2 b b2", None)], "id long, t string, u string")
+    index = search.postings(docs, "id", ["t", "u"], positions)
+    assert "Aggregate" not in index._jdf.queryExecution().toString()
+    want = {(1, "t", "a"): [1], (1, "t", "b"): [0, 2], (1, "u", "x"): [0], (3, "u", "a"): [0, 1], (4, "t", "straße"): [0], (4, "t", "é"): [1], (4, "t", "b2"): [2, 4], (4, "t", "b"): [3]}
+    rows = index.collect()
+    assert {(r.doc, r.field, r.term): r.tf for r in rows} == {k: len(v) for k, v in want.items()} and len(rows) == len(want)
+    assert not positions or {(r.doc, r.field, r.term): r["at"] for r in rows} == want
+    assert dict(index.dtypes)["tf"] == "bigint"
+    assert {r.doc: r["size"] for r in search.lengths(docs, "id", ["t", "u"]).collect()} == {1: 4, 2: 0, 3: 2, 4: 5}
+
+
+def test_postings_of_documents_with_several_rows(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "b c b"), (None, "a"), (None, "a"), (2, "a a")], "id long, t string")
+    found = sorted(((r.doc, r.term, r.tf) for r in search.postings(docs, "id", ["t"]).collect()), key=repr)
+    assert found == [(1, "a", 1), (1, "b", 3), (1, "c", 1), (2, "a", 2), (None, "a", 2)]
+
+
+@pytest.mark.parametrize("name", ["search_stored_index", "search_weighted_fields"])
+def test_stored_search_counts_rows_without_tokens(spark, tmp_path, name):
+    words = ["steel red", "gizmo blue", "blue gizmo gi", "gi", "red", "", "--"]
+    rows = [(i, words[i % 7], None if i % 7 > 4 else "tin", "" if i % 7 > 4 else "big") for i in range(70)]
+    parts = spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string")
+    parts.write.parquet(str(tmp_path / "part.parquet"))
+    assert same_as_sql(spark, str(tmp_path), name, "part")
